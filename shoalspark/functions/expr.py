@@ -83,7 +83,7 @@ def beta_log_density(x: str | Column, a: float, b: float, eps: float = 1e-9) ->
 
 
 def mean_sd_text(label: str, mean: Column, sd: Column) -> Column:
-    return F.format_string(f"{label} : %.1f %%%% ± %.1f %%%%", mean, sd)
+    return F.format_string(f"{label} : %.1f %% ± %.1f %%", mean, sd)
 
 
 def stationary3(p: Mapping[tuple[int, int], Column]) -> list[Column]:

@@ -69,7 +69,7 @@ def zone_share(cells: DataFrame, within: Sequence[str], zone: str, keep: str | N
     ``cells`` is aggregated already: a group holds one row per zone.
     """
     total = F.sum("sum").over(Window.partitionBy(*within))
-    share = F.when(F.col("sum") == 0, F.lit(0.0)).otherwise(F.try_divide(100 * F.col("sum"), F.col("total_sum")))
+    share = F.when(F.col("sum") == 0, F.lit(0.0)).otherwise(100 * F.try_divide(F.col("sum"), F.col("total_sum")))
     out = cells.withColumn("total_sum", total).withColumn("ratioside", share)
     return out if keep is None else out.where(F.col(zone) == keep)
 

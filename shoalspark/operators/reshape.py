@@ -22,7 +22,7 @@ def compartment_long(df: DataFrame, keys: Sequence[str] = ("fish", "treatment",
     wide = df.select(*keys, "total_sum", F.col("sum").alias("cue"),
                      (F.col("total_sum") - F.col("sum")).alias("nocue"))
     long = wide.unpivot([*keys, "total_sum"], ["cue", "nocue"], "compartment", "time")
-    share = F.when(F.col("time") == 0, F.lit(0.0)).otherwise(F.try_divide(100 * F.col("time"), F.col("total_sum")))
+    share = F.when(F.col("time") == 0, F.lit(0.0)).otherwise(100 * F.try_divide(F.col("time"), F.col("total_sum")))
     return long.withColumn("ratioside", share)
 
 

@@ -145,14 +145,21 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
               keys: Sequence[str] = ()) -> DataFrame:
     """Counts in ``bins`` equal bins over [low, high]; bounds default to the observed range.
 
-    The last bin is closed. Bins without rows are absent, values outside the bounds are left out.
+    Bins are closed on the right and the first one on both sides; a value within 1e-7 bin widths
+    of an edge counts as lying on it. Empty bins are absent, values outside are left out.
     """
     v = F.col(value)
-    lo = F.lit(float(low)) if low is not None else df.select(F.min(v)).scalar()
-    hi = F.lit(float(high)) if high is not None else df.select(F.max(v)).scalar()
+    if low is None or high is None:
+        seen = df.agg(F.min(v).alias("low"), F.max(v).alias("high"))
+        lo = F.lit(float(low)) if low is not None else seen.select("low").scalar()
+        hi = F.lit(float(high)) if high is not None else seen.select("high").scalar()
+    else:
+        lo, hi = F.lit(float(low)), F.lit(float(high))
     width = (hi - lo) / bins
-    index = F.when(width > 0, F.least(F.floor(F.try_divide(v - lo, width)), F.lit(bins - 1))).otherwise(0)
-    binned = df.where(v.isNotNull() & (v >= lo) & (v <= hi)).select(*keys, (index + 1).cast("int").alias("bin"))
+    fuzz = 1e-7
+    index = F.coalesce(F.ceil(F.try_divide(v - lo, width) - fuzz), F.lit(1))
+    binned = df.where(v.isNotNull() & (v >= lo - fuzz * width) & (v <= hi + fuzz * width)) \
+        .select(*keys, F.least(F.greatest(index, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("count"))
     return counts.select(*keys, "bin", (lo + (F.col("bin") - 1) * width).alias("low"),
                          (lo + F.col("bin") * width).alias("high"), "count")
