@@ -30,6 +30,16 @@ from shoalspark.staging import stage
 DRIVER_SIZES = 4096
 
 
+@dataclass
+class Sums:
+    """Entity sums at one theta, with derivatives."""
+
+    w: np.ndarray
+    logdet: float
+    dw: np.ndarray
+    dlogdet: float
+
+
 @dataclass
 class GroupSums:
     """Outer products of entity row sums, added up per entity size n."""
@@ -38,32 +48,32 @@ class GroupSums:
     width: int
     local: tuple[np.ndarray, np.ndarray, np.ndarray] | None
 
-    def at(self, thetas: Sequence[float]) -> list[tuple[np.ndarray, float]]:
-        """For each theta: sum of w r r' and sum of log(1 + theta n)."""
+    def at(self, thetas: Sequence[float]) -> list[Sums]:
+        """For each theta the sums of w r r' and log(1 + theta n), and their derivatives in theta."""
         k = self.width
         if self.local is not None:
             n, groups, outer = self.local
             out = []
             for th in thetas:
-                w = th / (1 + th * n)
-                out.append((np.tensordot(w, outer, axes=1), float((groups * np.log1p(th * n)).sum())))
+                d = 1 + th * n
+                out.append(Sums(np.tensordot(th / d, outer, axes=1), float((groups * np.log(d)).sum()),
+                                np.tensordot(1 / d**2, outer, axes=1), float((groups * n / d).sum())))
             return out
         grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("th"))
                                    for i, t in enumerate(thetas)])).alias("g")
-        n, th = F.col("n"), F.col("g.th")
+        th, v = F.col("g.th"), F.col("value")
+        d = 1 + th * F.col("n")
         # position -1 holds the number of entities of that size
-        value = F.when(F.col("pos") < 0, F.col("value") * F.log1p(th * n)) \
-            .otherwise(F.col("value") * th / (1 + th * n))
-        rows = self.table.select("n", "pos", "value", grid).groupBy("g.i", "pos") \
-            .agg(F.sum(value).alias("value")).collect()
-        mats = np.zeros((len(thetas), k * k))
-        logs = np.zeros(len(thetas))
+        head = F.col("pos") < 0
+        rows = self.table.select("n", "pos", "value", grid).groupBy("g.i", "pos").agg(
+            F.sum(F.when(head, v * F.log(d)).otherwise(v * th / d)).alias("value"),
+            F.sum(F.when(head, v * F.col("n") / d).otherwise(v / (d * d))).alias("slope")).collect()
+        mats, slopes = np.zeros((len(thetas), k * k + 1)), np.zeros((len(thetas), k * k + 1))
         for r in rows:
-            if r["pos"] < 0:
-                logs[r["i"]] = r["value"]
-            else:
-                mats[r["i"], r["pos"]] = r["value"]
-        return [(mats[i].reshape(k, k), float(logs[i])) for i in range(len(thetas))]
+            mats[r["i"], r["pos"] + 1] = r["value"]
+            slopes[r["i"], r["pos"] + 1] = r["slope"]
+        return [Sums(m[1:].reshape(k, k), float(m[0]), q[1:].reshape(k, k), float(q[0]))
+                for m, q in zip(mats, slopes)]
 
 
 def entity_sums(sums: DataFrame, basis: Basis) -> DataFrame:
@@ -120,6 +130,7 @@ class Point:
     rss: float
     logdet_groups: float
     logdet_a: float
+    slope: float
 
 
 @dataclass
@@ -146,13 +157,20 @@ class LmmFit:
     def points(self, thetas: Sequence[float]) -> list[Point]:
         b, m = self.design.matrix, self.moments
         k = self.basis.size
+        n, p = m.n, self.design.p
         out = []
-        for w, logdet in self.groups.at(thetas):
-            a = b.T @ (m.zz - w[:k, :k]) @ b
-            c = b.T @ (m.zy - w[:k, k])
+        for g in self.groups.at(thetas):
+            a = b.T @ (m.zz - g.w[:k, :k]) @ b
+            c = b.T @ (m.zy - g.w[:k, k])
             beta = np.linalg.solve(a, c)
-            rss = float(m.yy - w[k, k] - c @ beta)
-            out.append(Point(a, beta, rss, logdet, float(np.linalg.slogdet(a)[1])))
+            rss = float(m.yy - g.w[k, k] - c @ beta)
+            full = np.append(-(b @ beta), 1.0)
+            drss = -float(full @ g.dw @ full)
+            if self.method == "ML":
+                slope = n * drss / rss + g.dlogdet
+            else:
+                slope = (n - p) * drss / rss + g.dlogdet - float(np.trace(np.linalg.solve(a, b.T @ g.dw[:k, :k] @ b)))
+            out.append(Point(a, beta, rss, g.logdet, float(np.linalg.slogdet(a)[1]), slope))
         return out
 
     def objective(self, pt: Point) -> float:
@@ -163,19 +181,22 @@ class LmmFit:
         return (n - p) * (1 + np.log(2 * np.pi * pt.rss / (n - p))) + pt.logdet_groups + pt.logdet_a
 
     def optimise(self) -> LmmFit:
-        """Grid over log theta, then zoom on the best bracket; theta = 0 is tried as well."""
+        """Best point of a grid over log theta, then the root of the slope next to it."""
         grid = np.linspace(np.log(1e-8), np.log(1e8), 33)
-        values = [self.objective(q) for q in self.points(np.exp(grid))]
-        while True:
-            i = int(np.argmin(values))
-            lo, hi = grid[max(i - 1, 0)], grid[min(i + 1, len(grid) - 1)]
-            if hi - lo < 1e-9:
-                break
-            grid = np.linspace(lo, hi, 17)
-            values = [self.objective(q) for q in self.points(np.exp(grid))]
-        best = float(np.exp(grid[int(np.argmin(values))]))
+        points = self.points(np.exp(grid))
+        i = int(np.argmin([self.objective(q) for q in points]))
+        if points[i].slope >= 0 and i == 0:
+            best = 0.0
+        else:
+            lo, hi = (grid[i - 1], grid[i]) if points[i].slope >= 0 else (grid[i], grid[min(i + 1, 32)])
+            for _ in range(12):
+                inner = np.linspace(lo, hi, 17)
+                up = [q.slope >= 0 for q in self.points(np.exp(inner))]
+                j = up.index(True) if True in up else 16
+                lo, hi = inner[max(j - 1, 0)], inner[j]
+            best = float(np.exp((lo + hi) / 2))
         at_best, at_zero = self.points([best, 0.0])
-        if self.objective(at_zero) <= self.objective(at_best) + 1e-9:
+        if self.objective(at_zero) < self.objective(at_best):
             best, at_best = 0.0, at_zero
         dof = self.moments.n if self.method == "ML" else self.moments.n - self.design.p
         self.theta, self.beta, self.criterion = best, at_best.beta, float(self.objective(at_best))
