@@ -80,13 +80,14 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     on = same_keys("r", "h", keys)
     small = rows.alias("r").join(hot, on, "left_anti").groupBy(*keys).agg(exact)
     large = rows.alias("r").join(hot, on, "left_semi").where(F.col(value).isNotNull())
-    return small.unionByName(_selected(large, keys, value, probs))
+    return small.unionByName(_selected(large, keys, value, probs, hot_rows))
 
 
-def _selected(rows: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Quantiles of few, very large groups."""
+def _selected(rows: DataFrame, keys: list[str], value: str, probs: list[float], more_than: int) -> DataFrame:
+    """Quantiles of few, very large groups, each of more than ``more_than`` rows."""
     accuracy = 10_000
-    slack = 2.0 / accuracy
+    # the sketch is off by at most n / accuracy ranks; two ranks more cover both neighbours
+    slack = 2.0 / accuracy + 2.0 / more_than
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
     sketch = rows.groupBy(*keys).agg(
@@ -119,7 +120,9 @@ def _selected(rows: DataFrame, keys: list[str], value: str, probs: list[float])
                          F.when(hi_rank.between(first, last), v).alias("__hi"))
     per = stat.groupBy(*keys, "__i").agg(F.max("__w").alias("w"), F.max("__lo").alias("lo"),
                                          F.max("__hi").alias("hi"))
-    q = F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))
+    per = per.withColumn("lo", F.when(F.col("lo").isNotNull(), F.col("lo")).otherwise(
+        F.raise_error("order statistic outside its bracket").cast("double")))
+    q = F.when(F.col("w") == 0, F.col("lo")).otherwise(F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo")))
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))).alias("p"))
     return packed.select(*keys, F.transform("p", lambda s: s["q"]).alias("quantiles"))
 
