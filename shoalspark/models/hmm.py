@@ -22,7 +22,7 @@ from shoalspark.functions import special as S
 from shoalspark.functions.expr import beta_log_density, second_bucket, shape_to_prec, stationary3
 from shoalspark.operators.reshape import flag_pairs, matrix_long, params_wide, tidy_param_names
 from shoalspark.operators.summary import median_qi, poisson_weights
-from shoalspark.staging import stage
+from shoalspark.staging import shuffle_partitions, stage
 
 # fixed values: state shapes, names and starting transitions of the behaviour model
 SHAPES = ((3.0, 10.0), (200.0, 200.0), (10.0, 3.0))
@@ -49,6 +49,8 @@ def series(df: DataFrame, entity: Sequence[str], values: Mapping[str, str], by:
 
     means = df.groupBy(*entity, *by, second_bucket(secs, width).alias("secs")) \
         .agg(*[mean(c).alias(name) for name, c in values.items()]).dropna("any")
+    # one exchange by entity serves the numbering, the packing and the compute-bound recursions
+    means = means.repartition(shuffle_partitions(df.sparkSession), *entity)
     order = Window.partitionBy(*entity).orderBy("secs")
     return means.withColumn("time", F.row_number().over(order))
 

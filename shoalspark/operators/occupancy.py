@@ -39,27 +39,40 @@ def zero_fill(df: DataFrame, entity: Sequence[str], levels: Mapping[str, Sequenc
     """Every combination of an observed ``entity`` and the ``levels``; missing measures become ``fill``.
 
     ``entity`` lists columns whose observed combinations form one axis. A level list of None means
-    the values observed anywhere in ``df`` (null included). Each entity's cells, at most as many
-    as there are level combinations, are packed in a map and looked up while the levels are
-    exploded: one shuffle of the aggregated table, no join. ``carry`` columns are kept where the
-    cell exists and null elsewhere.
+    the values observed anywhere in ``df`` (null included); a value outside a declared list is an
+    error. Each entity's cells, at most as many as there are level combinations, are packed in a
+    map by cell number and looked up while the levels are exploded: one shuffle of the aggregated
+    table, no join. ``carry`` columns are kept where the cell exists and null elsewhere.
     """
-    names = list(levels)
-    cell = F.struct(*names)
-    packed = df.groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct(
-        cell.alias("k"), F.struct(measure, *carry).alias("v")))).alias("__cells"))
     types = {f.name: f.dataType for f in df.schema.fields}
-    grid = packed
-    for name in names:
-        values = levels[name]
+    missing = "\u0000"
+    axes, labels = {}, {}
+    for name, values in levels.items():
         if values is None:
-            seen = df.select(F.array_sort(F.collect_set(F.struct(name)))).scalar()
-            grid = grid.withColumn(name, F.explode(seen)).withColumn(name, F.col(f"{name}.{name}"))
+            # structs keep a null level in the set
+            level = F.struct(F.col(name).alias("v"), F.coalesce(F.col(name).cast("string"), F.lit(missing)).alias("l"))
+            seen = df.select(F.array_sort(F.collect_set(level)).alias("s")) \
+                .select(F.struct(F.col("s.v").alias("v"), F.col("s.l").alias("l"))).scalar()
+            axes[name], labels[name] = seen["v"], seen["l"]
         else:
-            literal = F.array(*[F.lit(v).cast(types[name]) for v in values])
-            grid = grid.withColumn(name, F.explode(literal))
-    grid = grid.withColumn("__hit", F.try_element_at("__cells", cell))
-    return grid.select(*entity, *names, F.coalesce(F.col(f"__hit.{measure}"), F.lit(fill)).alias(measure),
+            axes[name] = F.array(*[F.lit(v).cast(types[name]) for v in values])
+            labels[name] = F.array(*[F.coalesce(F.lit(v).cast(types[name]).cast("string"), F.lit(missing)) for v in values])
+
+    number = F.lit(0)
+    for name in axes:
+        label = F.coalesce(F.col(name).cast("string"), F.lit(missing))
+        at = F.array_position(labels[name], label)
+        known = F.when(at > 0, at - 1).otherwise(F.raise_error(
+            F.concat(F.lit(f"undeclared level of {name}: "), label)).cast("bigint"))
+        number = number * F.size(axes[name]) + known
+    packed = df.select(*entity, number.cast("int").alias("__k"), F.struct(measure, *carry).alias("__v")) \
+        .groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__cells"))
+    grid, number = packed, F.lit(0)
+    for name, axis in axes.items():
+        grid = grid.select("*", F.posexplode(axis).alias(f"__at_{name}", name))
+        number = number * F.size(axis) + F.col(f"__at_{name}")
+    grid = grid.withColumn("__hit", F.try_element_at("__cells", number))
+    return grid.select(*entity, *axes, F.coalesce(F.col(f"__hit.{measure}"), F.lit(fill)).alias(measure),
                        *[F.col(f"__hit.{c}").alias(c) for c in carry])
 
 

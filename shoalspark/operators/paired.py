@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoalspark.functions import special as S
 from shoalspark.functions.pvalues import normal_quantile, normal_upper, signed_rank_p, t_p_value, z_p_value
 from shoalspark.operators.ranks import average_rank, same_keys, value_ranks
+from shoalspark.staging import small_side
 
 SHAPIRO_MAX = 5000
 
@@ -103,7 +104,8 @@ def shapiro(df: DataFrame, keys: Sequence[str] = (), value: str = "diff") -> Dat
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("__lo"),
                                   F.max(value).alias("__hi"), F.avg(value).alias("__mean"))
     usable = sizes.where(F.col("n").between(3, SHAPIRO_MAX) & (F.col("__lo") < F.col("__hi")))
-    inner = rows.alias("r").join(usable.alias("s"), same_keys("r", "s", keys)) \
+    usable = (small_side(usable) if keys else usable).alias("s")
+    inner = rows.alias("r").join(usable, same_keys("r", "s", keys)) \
         .select(*[f"r.{k}" for k in keys], (F.col("r.x") - F.col("s.__mean")).alias("x"), F.col("s.n").alias("n"))
     order = Window.partitionBy(*keys).orderBy("x")
     n = F.col("n").cast("double")

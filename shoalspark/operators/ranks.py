@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalspark.staging import small_side
+
 
 def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
     """Null-safe join condition between two aliases."""
@@ -27,11 +29,10 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 3
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("__cuts")) \
-        if keys else rows.agg(F.percentile_approx(value, probs, 10_000).alias("__cuts"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("__cuts"))
     extra = [c.alias(name) for name, c in (sums or {}).items()]
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), *extra)
-    placed = counts.alias("a").join(cuts.alias("b"), same_keys("a", "b", keys), "left") if keys else \
+    placed = counts.alias("a").join(small_side(cuts).alias("b"), same_keys("a", "b", keys), "left") if keys else \
         counts.alias("a").withColumn("__cuts", cuts.scalar())
     bucket = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     placed = placed.withColumn("__bucket", bucket).select("a.*", "__bucket") if keys else \

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shoalspark.functions import expr as X
 from shoalspark.operators.enrich import PARTS
+from shoalspark.staging import small_side
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
@@ -51,10 +52,10 @@ def paired_text(pairs: DataFrame, diff_label: str = "Baisse") -> DataFrame:
 def center(df: DataFrame, col: str, by: Sequence[str], name: str | None = None) -> DataFrame:
     """``col`` minus its group mean.
 
-    The means are a combined aggregate joined back; groups may be as large as half the table, so
-    no window gathers them.
+    The means are a combined aggregate joined back, broadcast when they are few: groups may be as
+    large as half the table, so neither a window nor a shuffle join should gather them.
     """
-    means = df.groupBy(*by).agg(F.avg(col).alias("__mean"))
+    means = small_side(df.groupBy(*by).agg(F.avg(col).alias("__mean")))
     on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])
     return df.alias("l").join(means.alias("r"), on, "left") \
         .select("l.*", (F.col(f"l.{col}") - F.col("r.__mean")).alias(name or f"{col}_centered"))

@@ -201,7 +201,8 @@ def cue_share_minute_summary(spark, sf_dir):
 @query
 def cue_share_crossed(spark, sf_dir):
     """Zero-fill that crosses every fish with every treatment, then the cohort rule."""
-    cells = O.time_in_zone(frames(spark, sf_dir), [*FISH, "minute", "part"], "zone_cue")
+    # staged, as the observed levels are read from it next to the cells
+    cells = stage(O.time_in_zone(frames(spark, sf_dir), [*FISH, "minute", "part"], "zone_cue"))
     cells = O.zero_fill(cells, ["fish"], {"minute": None, "zone_cue": None, "treatment": None})
     cells = Q.valid_cohort(E.with_part_from_minute(cells).drop("part_ord", "minute_relative"))
     shares = O.zone_share(cells, [*FISH, "minute", "part"], "zone_cue", keep="cue")

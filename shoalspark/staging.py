@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -28,3 +29,17 @@ def stage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` staged, with a broadcast hint if it has at most ``max_rows`` rows.
+
+    A larger table is returned without the hint and joins by shuffle.
+    """
+    staged = stage(df)
+    return F.broadcast(staged) if staged.limit(max_rows + 1).count() <= max_rows else staged
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle width, for steps whose cost is compute rather than bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
