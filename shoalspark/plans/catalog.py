@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,9 @@ from shoalspark.operators import quality as Q
 from shoalspark.operators import ranks as R
 from shoalspark.operators import reshape as RS
 from shoalspark.operators import summary as SM
-from shoalspark.sources.io import with_file_metadata
+from shoalspark.sources.io import read_table, with_file_metadata, write_table
 from shoalspark.sources.tables import events_as_frames
-from shoalspark.staging import stage
+from shoalspark.staging import checkpoint_dir, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -330,6 +331,30 @@ def covariate_grid(spark, sf_dir):
     return RS.cov_grid(frames(spark, sf_dir), {"part": list(E.PARTS)}, FISH)
 
 
+@query
+def speed_table_handoff(spark, sf_dir):
+    """Speed per fish and minute written as one CSV per study, read back and stacked."""
+    table = stage(speed_minute_table(spark, sf_dir))
+    folder = f"{checkpoint_dir(spark)}/handoff-{uuid.uuid4().hex}"
+    for name, rows in {"cue": table.where("treatment <> 'menthe'"), "mint": table.where("treatment = 'menthe'")}.items():
+        write_table(rows, f"{folder}/{name}", "csv")
+    back = [read_table(spark, f"{folder}/{name}", table.schema) for name in ("cue", "mint")]
+    return E.with_key(back[0].unionByName(back[1]), FISH, "fish_id")
+
+
+@query
+def marginal_share_interval(spark, sf_dir):
+    """Each fish-part's minute shares as numbered draws, joined to the covariate grid, averaged over
+    fish within a draw and summarised over draws."""
+    df = E.with_part_from_minute(cue_minute(spark, sf_dir))
+    cells = df.groupBy(*FISH, "part").agg(F.array_sort(F.collect_list(F.struct("minute_relative", "ratioside"))).alias("q"))
+    lists = RS.explode_list(cells.select(*FISH, "part", F.col("q.ratioside").alias("prob")), "prob")
+    grid = RS.cov_grid(df, {"part": list(E.PARTS)}, FISH)
+    numbered = lists.withColumn("cov_id", X.level_index("part", E.PARTS) + 1).drop("part")
+    joined = RS.attach_grid(numbered, grid, [*FISH, "cov_id"])
+    return SM.median_qi(RS.marginal_mean(joined, ["part", "treatment"]), ["part", "treatment"], "prob")
+
+
 # --- tests --------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalspark.plans.oracle import CUE_MINUTE, FRAMES, t_tail, twin
+from shoalspark.plans.oracle import CUE_MINUTE, FRAMES, SPEED, quantile_ctes, t_tail, twin
 
 # --- least squares of seconds in the cue on the part
 OLS = CUE_MINUTE + """, two AS (
@@ -63,10 +63,22 @@ CRIT = ("(20 * g - 4) * (1 + ln(2 * pi() * s2)) + g * ln(1 + 20 * theta) + 4 * l
 twin("lmm_variance", LMM,
      f"""SELECT CAST(20 * g AS BIGINT) AS n, sb AS var_group, s2 AS var_resid, {CRIT} AS criterion, {CRIT} + 12 AS aic,
        sqrt(theta) < 1e-4 AS singular FROM vars""", "var_group var_resid criterion aic")
-twin("lmm_anova", LMM,
-     """SELECT 'part' AS term, CAST(1 AS INTEGER) AS df1, pow(b2 / se2, 2) AS f FROM est
-     UNION ALL SELECT 'minute_relative', 1, pow(b1 + b3 / 2, 2) / (s2 / (165e0 * g)) FROM est
-     UNION ALL SELECT 'minute_relative:part', 1, pow(b3 / se3, 2) FROM est""", "f")
+# Satterthwaite: within-fish contrasts have the within df, the intercept mixes both mean squares
+DF_W = "(CASE WHEN sqrt(theta) < 1e-4 THEN 20 * g - 4 ELSE 20 * g - g - 3 END)"
+K0 = "(1 / 10e0 + 5.5e0 * 5.5e0 / 82.5e0)"
+DF_0 = (f"(CASE WHEN sqrt(theta) < 1e-4 THEN 20 * g - 4 ELSE pow(se0, 4) / (pow((s2 + 20 * sb) / (20 * g), 2) / (g - 1) "
+        f"+ pow(s2 * ({K0} / g - 1 / (20e0 * g)), 2) / (19 * g - 3)) END)")
+twin("lmm_coef_tests", LMM + f""", four AS (
+  SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS se, {DF_0} AS df FROM est
+  UNION ALL SELECT 'minute_relative', b1, se1, {DF_W} FROM est UNION ALL SELECT 'partAfter', b2, se2, {DF_W} FROM est
+  UNION ALL SELECT 'minute_relative:partAfter', b3, se3, {DF_W} FROM est
+)""", f"SELECT term, estimate, se, t, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM four) AS f",
+     "estimate se t p")
+twin("lmm_anova", LMM + f""", three AS (
+  SELECT 'part' AS term, pow(b2 / se2, 2) AS f, {DF_W} AS df FROM est
+  UNION ALL SELECT 'minute_relative', pow(b1 + b3 / 2, 2) / (s2 / (165e0 * g)), {DF_W} FROM est
+  UNION ALL SELECT 'minute_relative:part', pow(b3 / se3, 2), {DF_W} FROM est
+)""", f"SELECT term, CAST(1 AS INTEGER) AS df1, f, {t_tail('sqrt(f)', 'df')} AS p FROM three", "f p")
 twin("lmm_r2", LMM,
      """SELECT v / (v + sb + s2) AS r2_marginal, (v + sb) / (v + sb + s2) AS r2_conditional
      FROM vars, (SELECT var_samp(fix) AS v FROM fixed) AS f""", "r2_marginal r2_conditional")
@@ -87,14 +99,66 @@ twin("lmm_emmeans", LMM,
      """SELECT part, icept + 5.5e0 * slope AS emmean, sqrt(sb / g + s2 / (10 * g)) AS se FROM lines, vars""",
      "emmean se")
 twin("lmm_contrasts", LMM,
-     """SELECT 'After - Before' AS contrast, b2 + 5.5e0 * b3 AS estimate, sqrt(s2 / (5 * g)) AS se,
-       (b2 + 5.5e0 * b3) / sqrt(s2 / (5 * g)) AS t FROM est""", "estimate se t")
+     f"""SELECT *, p AS p_holm FROM (SELECT * EXCLUDE (df), {t_tail('t', 'df')} AS p FROM (
+       SELECT 'After - Before' AS contrast, b2 + 5.5e0 * b3 AS estimate, sqrt(s2 / (5 * g)) AS se,
+         (b2 + 5.5e0 * b3) / sqrt(s2 / (5 * g)) AS t, {DF_W} AS df FROM est) AS e) AS f""", "estimate se t p p_holm")
 twin("lmm_predict", LMM,
      """SELECT *, predicted - 1.959963984540054e0 * se AS conf_low, predicted + 1.959963984540054e0 * se AS conf_high
      FROM (SELECT CAST(i AS DOUBLE) AS minute_relative, part, icept + slope * i AS predicted,
          sqrt(sb / g + s2 / g * (1 / 10e0 + pow(i - 5.5e0, 2) / 82.5e0)) AS se
        FROM lines, vars, range(1, 11) AS r(i)) AS q""", "predicted se conf_low conf_high")
 
+twin("lmm_residual_qq", RESID + """, qq_rows AS (
+  SELECT resid AS sample, row_number() OVER (ORDER BY resid) AS rank, count(*) OVER () AS n FROM resids
+)""" + quantile_ctes("qq_z", "qq_rows", "((rank - 0.5e0) / n)"),
+     "SELECT rank, z AS theoretical, sample FROM qq_z", "theoretical sample")
+
+# --- speed ~ part + (1 | fish) with unequal fish: the slope of the profiled REML criterion in theta is written
+# out for two coefficients and its root found by bisection on log theta
+
+
+def group_sum(term: str, th: str) -> str:
+    """Sum over fish of w times a product; w is theta / (1 + theta n)."""
+    return f"(SELECT sum({th} / (1 + {th} * n) * {term}) FROM ent)"
+
+
+def slope_sum(term: str, th: str) -> str:
+    return f"(SELECT sum({term} / pow(1 + {th} * n, 2)) FROM ent)"
+
+
+def profile(source: str, th: str) -> str:
+    """Rows of ``source`` with the 2 x 2 system, coefficients, rss and slope at ``th``."""
+    return f"""SELECT *, -(dq - 2 * b0 * d1 - 2 * b1 * d2 + b0 * b0 * d11 + 2 * b0 * b1 * d12 + b1 * b1 * d22) AS drss FROM (
+      SELECT *, q - c1 * b0 - c2 * b1 AS rss FROM (
+        SELECT *, (a22 * c1 - a12 * c2) / det AS b0, (a11 * c2 - a12 * c1) / det AS b1 FROM (
+          SELECT *, a11 * a22 - a12 * a12 AS det FROM (
+            SELECT *, {th} AS th, tot.n - {group_sum('n * n', th)} AS a11, tot.a - {group_sum('n * a', th)} AS a12,
+              tot.a - {group_sum('a * a', th)} AS a22, tot.t - {group_sum('n * t', th)} AS c1,
+              tot.ta - {group_sum('a * t', th)} AS c2, tot.yy - {group_sum('t * t', th)} AS q,
+              {slope_sum('n * n', th)} AS d11, {slope_sum('n * a', th)} AS d12, {slope_sum('a * a', th)} AS d22,
+              {slope_sum('n * t', th)} AS d1, {slope_sum('a * t', th)} AS d2, {slope_sum('t * t', th)} AS dq,
+              (SELECT sum(n / (1 + {th} * n)) FROM ent) AS dlog, (SELECT sum(ln(1 + {th} * n)) FROM ent) AS logdet
+            FROM {source}, tot) AS p1) AS p2) AS p3) AS p4"""
+
+
+SLOPE = "((n - 2) * drss / rss + dlog - (a22 * d11 - 2 * a12 * d12 + a11 * d22) / det)"
+twin("lmm_speed_part", SPEED.replace("clock AS", "RECURSIVE clock AS", 1) + f""", ent AS MATERIALIZED (
+  SELECT fish, treatment, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (part = 'After') AS DOUBLE) AS a, sum(m1) AS t,
+    coalesce(sum(m1) FILTER (part = 'After'), 0) AS ta, sum(m1 * m1) AS yy FROM speed_min WHERE m1 IS NOT NULL GROUP BY ALL
+), tot AS MATERIALIZED (
+  SELECT sum(n) AS n, sum(a) AS a, sum(t) AS t, sum(ta) AS ta, sum(yy) AS yy FROM ent
+), halves AS (
+  SELECT 0 AS k, ln(1e-8) AS lo, ln(1e8) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN s >= 0 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN s >= 0 THEN (lo + hi) / 2 ELSE hi END FROM (
+    SELECT k, lo, hi, {SLOPE} AS s FROM ({profile('(SELECT * FROM halves WHERE k < 60)', 'exp((lo + hi) / 2)')}) AS h) AS g
+), root AS (
+  SELECT CASE WHEN hi < ln(1.1e-8) THEN 0e0 ELSE exp(hi) END AS r FROM halves WHERE k = 60
+)""", f"""SELECT CAST(n AS BIGINT) AS n, th * rss / (n - 2) AS var_group, rss / (n - 2) AS var_resid,
+  (n - 2) * (1 + ln(2 * pi() * rss / (n - 2))) + logdet + ln(det) AS criterion, b0, sqrt(rss / (n - 2) * a22 / det) AS se0,
+  b1, sqrt(rss / (n - 2) * a11 / det) AS se1 FROM ({profile('root', 'r')}) AS f""",
+     "var_group var_resid criterion b0 se0 b1 se1")
+
 # --- hidden Markov model
 SER = FRAMES + """, ser AS MATERIALIZED (
   SELECT *, CAST(row_number() OVER (PARTITION BY fish, treatment ORDER BY secs) AS INTEGER) AS time FROM (

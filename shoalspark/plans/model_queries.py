@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import numpy as np
 from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from shoalspark.functions import expr as X
 from shoalspark.models import hmm as H
@@ -92,7 +93,7 @@ def lmm_fit(spark, sf_dir):
 
 @query
 def lmm_coef_tests(spark, sf_dir):
-    return share_fit(spark, sf_dir)[1].coef()
+    return share_fit(spark, sf_dir)[1].coef().drop("df")
 
 
 @query
@@ -102,7 +103,7 @@ def lmm_variance(spark, sf_dir):
 
 @query
 def lmm_anova(spark, sf_dir):
-    return share_fit(spark, sf_dir)[1].anova().select("term", "df1", "f")
+    return share_fit(spark, sf_dir)[1].anova().select("term", "df1", "f", "p")
 
 
 @query
@@ -141,7 +142,7 @@ def lmm_emmeans(spark, sf_dir):
 @query
 def lmm_contrasts(spark, sf_dir):
     fit = share_fit(spark, sf_dir)[1]
-    return fit.contrasts(["part"], "part", reverse=True).select("contrast", "estimate", "se", "t")
+    return fit.contrasts(["part"], "part", reverse=True).select("contrast", "estimate", "se", "t", "p", "p_holm")
 
 
 @query
@@ -151,6 +152,16 @@ def lmm_predict(spark, sf_dir):
     return fit.predict(grid)
 
 
+@query
+def lmm_speed_part(spark, sf_dir):
+    """Speed by period with fish of unequal size: coefficients and variance parts in one row."""
+    fit = lmm(speed_rows(spark, sf_dir), "m1 ~ part", "fish_id", levels=LEVELS)
+    (b0, b1), (se0, se1) = fit.beta, np.sqrt(np.diag(fit.vcov))
+    cols = {"b0": b0, "se0": se0, "b1": b1, "se1": se1}
+    return fit.variance().select("n", "var_group", "var_resid", "criterion",
+                                 *[F.lit(float(v)).alias(c) for c, v in cols.items()])
+
+
 @query
 def lmm_speed_compare(spark, sf_dir):
     return compare_models(speed_fits(spark, sf_dir)[1])

@@ -258,6 +258,13 @@ twin("covariate_grid", FRAMES,
      f"""SELECT e.fish, e.treatment, p.part, CAST(CASE p.part WHEN 'Before' THEN 1 ELSE 2 END AS INTEGER) AS cov_id
      FROM {FISH} CROSS JOIN {PARTS}""")
 
+twin("speed_table_handoff", SPEED, "SELECT *, fish || '_' || treatment AS fish_id FROM speed_min", "m1 sd se")
+twin("marginal_share_interval", CUE_MINUTE + """, per_draw AS (
+  SELECT part, treatment, CASE WHEN minute > 10 THEN minute - 10 ELSE minute END AS draw, avg(ratioside) AS prob
+  FROM cue_minute GROUP BY ALL
+)""", """SELECT part, treatment, quantile_cont(prob, 0.5) AS median, quantile_cont(prob, 0.025) AS lower,
+  quantile_cont(prob, 0.975) AS upper FROM per_draw GROUP BY part, treatment""", "median lower upper")
+
 # --- tests. Tail areas by Simpson's rule on the density, 4000 panels.
 
 
@@ -334,6 +341,64 @@ twin("welch_t", CUE_PART + """, sides AS (
 twin("signed_rank", CUE_PART + ranks("cue_diff", "treatment") + EXACT, rank_result("cue_diff", "treatment"), "v z p")
 twin("signed_rank_speed", SPEED + ranks("speed_diff", "") + EXACT, rank_result("speed_diff", ""), "v z p")
 
+
+
+def quantile_ctes(name: str, source: str, p: str) -> str:
+    """Normal quantile of ``p`` as column z of CTE ``name``: a rational start and three Newton steps,
+    the CDF by Simpson's rule with 400 panels."""
+    tail = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    start = (f"sign({p} - 0.5) * ({tail} - (2.515517e0 + 0.802853e0 * {tail} + 0.010328e0 * pow({tail}, 2)) / "
+             f"(1 + 1.432788e0 * {tail} + 0.189269e0 * pow({tail}, 2) + 0.001308e0 * pow({tail}, 3)))")
+    out = f", {name}_0 AS (SELECT *, {start} AS z FROM {source})"
+    cdf = ("(0.5e0 + (SELECT sum(CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END "
+           "* exp(-0.5e0 * pow(z * i / 400e0, 2))) FROM range(0, 401) AS r(i)) * z / 1200e0 / sqrt(2 * pi()))")
+    for k in (1, 2, 3):
+        last = name if k == 3 else f"{name}_{k}"
+        out += (f", {last} AS (SELECT * REPLACE (z - ({cdf} - {p}) * sqrt(2 * pi()) * exp(z * z / 2) AS z) "
+                f"FROM {name}_{k - 1})")
+    return out
+
+
+def poly(coef, x: str) -> str:
+    return "(" + " + ".join(f"({c}e0) * pow({x}, {i})" for i, c in enumerate(coef)) + ")"
+
+
+# Royston's approximation for more than eleven values; fixed values: the published coefficients
+SHAPIRO = SPEED + """, sw_rows AS (
+  SELECT treatment, diff - avg(diff) OVER (PARTITION BY treatment) AS x,
+    CAST(row_number() OVER (PARTITION BY treatment ORDER BY diff) AS DOUBLE) AS i,
+    count(*) OVER (PARTITION BY treatment) AS n FROM speed_diff WHERE diff IS NOT NULL
+)""" + quantile_ctes("sw_z", "sw_rows", "((i - 0.375e0) / (n + 0.25e0))") + f""", sw_sums AS (
+  SELECT treatment, n, sum(z * z) AS mm, sum(z * x) AS mx, sum(x * x) AS xx, max(z) AS m1,
+    max(z) FILTER (i = n - 1) AS m2, max(x) - min(x) AS e1,
+    max(x) FILTER (i = n - 1) - max(x) FILTER (i = 2) AS e2 FROM sw_z GROUP BY treatment, n
+), sw_ends AS (
+  SELECT *, {poly((0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), '(1 / sqrt(n))')} + m1 / sqrt(mm) AS a1,
+    {poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), '(1 / sqrt(n))')} + m2 / sqrt(mm) AS a2 FROM sw_sums
+), sw_w AS (
+  SELECT treatment, n, pow(a1 * e1 + a2 * e2 + (mx - m1 * e1 - m2 * e2)
+    / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / xx AS w FROM sw_ends
+), sw_p AS (
+  SELECT *, (ln(1 - w) - {poly((-1.5861, -0.31082, -0.083751, 0.0038915), 'ln(n)')})
+    / exp({poly((-0.4803, -0.082676, 0.0030302), 'ln(n)')}) AS u FROM sw_w
+), sw AS (
+  SELECT treatment, n, w, 0.5e0 - sign(u) * (1 - ({z_tail('u')})) / 2 AS p FROM sw_p
+)"""
+twin("shapiro", SHAPIRO, "SELECT * FROM sw", "w p")
+twin("gated_test", SHAPIRO + ranks("speed_diff", "treatment") + EXACT + f""", t_test AS (
+  {paired('speed_diff', 'treatment')}
+), r_test AS (
+  {rank_result('speed_diff', 'treatment')}
+)""", """SELECT t.treatment, t.n, sw.p AS shapiro_p, CASE WHEN sw.p > 0.05 THEN 'paired t' ELSE 'signed rank' END AS test,
+  CASE WHEN sw.p > 0.05 THEN t.p ELSE r.p END AS test_p
+FROM t_test AS t JOIN r_test AS r USING (treatment) JOIN sw USING (treatment)""", "shapiro_p test_p")
+twin("qq_points", SPEED + """, qq_rows AS (
+  SELECT treatment, diff AS sample, row_number() OVER (PARTITION BY treatment ORDER BY diff) AS rank,
+    count(*) OVER (PARTITION BY treatment) AS n FROM speed_diff WHERE diff IS NOT NULL
+)""" + quantile_ctes("qq_z", "qq_rows", "((rank - CASE WHEN n <= 10 THEN 0.375e0 ELSE 0.5e0 END)"
+                     " / (n + 1 - CASE WHEN n <= 10 THEN 0.75e0 ELSE 1e0 END))"),
+     "SELECT treatment, rank, z AS theoretical, sample FROM qq_z", "theoretical sample")
+
 # --- distributions
 twin("median_interval", FRAMES,
      """SELECT part, treatment, quantile_cont(cue_x, 0.5) AS median, quantile_cont(cue_x, 0.025) AS lower,
