@@ -159,6 +159,45 @@ twin("lmm_speed_part", SPEED.replace("clock AS", "RECURSIVE clock AS", 1) + f"""
   b1, sqrt(rss / (n - 2) * a11 / det) AS se1 FROM ({profile('root', 'r')}) AS f""",
      "var_group var_resid criterion b0 se0 b1 se1")
 
+# --- seconds per compartment: four equal cells of ten minutes per fish, so both candidates have closed forms
+COMP = CUE_MINUTE + """, comp AS (
+  SELECT fish || '_' || treatment AS fish_id, part, 'cue' AS side, sum AS y FROM cue_minute
+  UNION ALL SELECT fish || '_' || treatment, part, 'nocue', total_sum - sum FROM cue_minute
+)"""
+twin("lmm_cue_plain", COMP + """, fitted AS (
+  SELECT fish_id, y - avg(y) OVER (PARTITION BY part, side) AS e4,
+    y - avg(y) OVER (PARTITION BY part) - avg(y) OVER (PARTITION BY side) + avg(y) OVER () AS e3 FROM comp
+), squares AS (
+  SELECT 'time ~ part*fishSide' AS model, 4 AS p, ln(1e4) AS logdet, fish_id, avg(e4) AS b, sum(e4 * e4) AS ss
+  FROM fitted GROUP BY fish_id
+  UNION ALL SELECT 'time ~ part + fishSide', 3, ln(4e3), fish_id, avg(e3), sum(e3 * e3) FROM fitted GROUP BY fish_id
+), parts AS (
+  SELECT model, p, logdet, count(*) AS g, 40 * sum(b * b) AS ssb, sum(ss) - 40 * sum(b * b) AS ssw FROM squares GROUP BY ALL
+), ratios AS (
+  SELECT *, greatest(0e0, (ssb / (g - 1) / (ssw / (39 * g - p + 1)) - 1) / 40) AS theta FROM parts
+), aics AS (
+  SELECT model, (40 * g - p) * (1 + ln(2 * pi() * (ssw + ssb / (1 + 40 * theta)) / (40 * g - p))) + g * ln(1 + 40 * theta)
+    + p * ln(g) + logdet - ln(1 + 40 * theta) + 2 * (p + 2) AS aic FROM ratios
+)""", "SELECT model, aic, aic = min(aic) OVER () AS best FROM aics", "aic")
+# a saturated gamma model with log link fits the cell means; its dispersion is Pearson's
+twin("gamma_glm", COMP + """, pos AS (
+  SELECT part, side, y, avg(y) OVER (PARTITION BY part, side) AS mu FROM comp WHERE y > 0
+), disp AS (
+  SELECT sum(pow((y - mu) / mu, 2)) / (count(*) - 4) AS phi, count(*) - 4 AS df FROM pos
+), cell AS (
+  SELECT max(ln(mu)) FILTER (part = 'Before' AND side = 'nocue') AS m00, 1e0 / count(*) FILTER (part = 'Before' AND side = 'nocue') AS v00,
+    max(ln(mu)) FILTER (part = 'After' AND side = 'nocue') AS m10, 1e0 / count(*) FILTER (part = 'After' AND side = 'nocue') AS v10,
+    max(ln(mu)) FILTER (part = 'Before' AND side = 'cue') AS m01, 1e0 / count(*) FILTER (part = 'Before' AND side = 'cue') AS v01,
+    max(ln(mu)) FILTER (part = 'After' AND side = 'cue') AS m11, 1e0 / count(*) FILTER (part = 'After' AND side = 'cue') AS v11
+  FROM pos
+), gcoef AS (
+  SELECT '(Intercept)' AS term, m00 AS estimate, sqrt(phi * v00) AS se, df FROM cell, disp
+  UNION ALL SELECT 'partAfter', m10 - m00, sqrt(phi * (v00 + v10)), df FROM cell, disp
+  UNION ALL SELECT 'fishSidecue', m01 - m00, sqrt(phi * (v00 + v01)), df FROM cell, disp
+  UNION ALL SELECT 'partAfter:fishSidecue', m11 - m10 - m01 + m00, sqrt(phi * (v00 + v10 + v01 + v11)), df FROM cell, disp
+)""", f"SELECT term, estimate, se, t, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM gcoef) AS g",
+     "estimate se t p")
+
 # --- hidden Markov model
 SER = FRAMES + """, ser AS MATERIALIZED (
   SELECT *, CAST(row_number() OVER (PARTITION BY fish, treatment ORDER BY secs) AS INTEGER) AS time FROM (
@@ -237,6 +276,22 @@ twin("hmm_loglik", FORWARD,
      """SELECT fish, treatment, CAST(time AS BIGINT) AS steps, ll AS loglik FROM fwd
      JOIN (SELECT fish, treatment, max(time) AS time FROM emit GROUP BY ALL) AS m USING (fish, treatment, time)""",
      "loglik")
+
+
+def beta_cdf(a: int, b: int) -> str:
+    """Distribution function for whole-number shapes, as a binomial tail."""
+    m = a + b - 1
+    return (f"(SELECT sum(exp(lgamma({m + 1}) - lgamma(j + 1) - lgamma({m + 1} - j) + j * ln(n_cuex) + ({m} - j) * ln(1 - n_cuex))) "
+            f"FROM range({a}, {m + 1}) AS r(j))")
+
+
+LAW = [f"CASE WHEN d.time = 1 THEN 1 / 3e0 ELSE {flow(A, j)} END" for j in (1, 2, 3)]
+twin("hmm_forecast_residuals", FORWARD + f""", cdf AS (
+  SELECT d.fish, d.treatment, CAST(d.time AS BIGINT) AS time, n_cuex, {LAW[0]} AS g1, {LAW[1]} AS g2, {LAW[2]} AS g3
+  FROM dens AS d LEFT JOIN fwd AS f ON f.fish = d.fish AND f.treatment = d.treatment AND f.time = d.time - 1
+), level AS (
+  SELECT fish, treatment, time, g1 * {beta_cdf(3, 10)} + g2 * {beta_cdf(200, 200)} + g3 * {beta_cdf(10, 3)} AS u FROM cdf
+)""" + quantile_ctes("fr", "level", "u"), "SELECT fish, treatment, time, z AS residual FROM fr", "residual")
 H = ["d.d1 * w.w1", "d.d2 * w.w2", "d.d3 * w.w3"]
 XI = ", ".join(f"f.a{i} * {0.8 if i == j else 0.1}e0 * d.d{j} * w.w{j} AS x{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
 TOTAL = " + ".join(f"x{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))

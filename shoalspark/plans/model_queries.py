@@ -348,6 +348,13 @@ def hmm_pseudo_residuals(spark, sf_dir):
     return H.pseudo_residuals(fit.seqs, fit.entity, fit.tpm, fit.strata)
 
 
+@query
+def hmm_forecast_residuals(spark, sf_dir):
+    """Pseudo-residuals under the starting matrix."""
+    seqs, strata = packed(spark, sf_dir)
+    return H.pseudo_residuals(seqs, FISH, H.START, strata, "uniform")
+
+
 @query
 def hmm_stationary(spark, sf_dir):
     return H.with_stationary(hard_matrices(spark, sf_dir)).drop("p")
