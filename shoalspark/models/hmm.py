@@ -30,7 +30,7 @@ STATE_NAMES = ("Repoussé", "Indifférent", "Attiré")
 START = ((0.8, 0.1, 0.1), (0.1, 0.8, 0.1), (0.1, 0.1, 0.8))
 START_NEIGHBOURS = ((0.8, 0.2, 0.0), (0.1, 0.8, 0.1), (0.0, 0.2, 0.8))
 
-BLOCK = 256
+BLOCK = 512
 EPS = 1e-9
 
 
@@ -137,6 +137,11 @@ def _log_emission(x: np.ndarray, shapes) -> np.ndarray:
     return np.stack([(a - 1) * lx + (b - 1) * l1 - (lgamma(a) + lgamma(b) - lgamma(a + b)) for a, b in shapes], axis=-1)
 
 
+def _left(row: np.ndarray, mats: np.ndarray) -> np.ndarray:
+    """Row vector times matrix for each sequence."""
+    return row[:, :1] * mats[:, 0] + row[:, 1:2] * mats[:, 1] + row[:, 2:] * mats[:, 2]
+
+
 def _forward(x, s, lens, tpm, delta, shapes):
     """Filtered laws, one-step predictions, scaled emissions and log-likelihood per sequence."""
     n, t_max = x.shape
@@ -150,7 +155,7 @@ def _forward(x, s, lens, tpm, delta, shapes):
     current = None
     for t in range(t_max):
         live = t < lens
-        pred[:, t] = delta[s[:, 0]] if t == 0 else np.einsum("ni,nij->nj", current, tpm[s[:, t]])
+        pred[:, t] = delta[s[:, 0]] if t == 0 else _left(current, tpm[s[:, t]])
         joint = pred[:, t] * b[:, t]
         c = joint.sum(axis=1)
         alpha[:, t] = joint / c[:, None]
@@ -173,7 +178,7 @@ def _expected_counts(x, s, lens, tpm, delta, shapes):
         ahead = b[:, t] * beta / scale[:, t, None]
         xi = alpha[:, t - 1, :, None] * g * ahead[:, None, :]
         counts[rows, s[:, t]] += np.where(live[:, None, None], xi, 0.0)
-        beta = np.where(live[:, None], np.einsum("nij,nj->ni", g, ahead), beta)
+        beta = np.where(live[:, None], (g * ahead[:, None, :]).sum(axis=2), beta)
     return counts, loglik
 
 
@@ -323,8 +328,10 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
     the matrix is left out of the M-step; with a fixed law EM is exact. A fish effect on the
     transitions is not part of this fit, see ``shrink_by_entity``.
     """
-    strata = strata_of(df, strata_cols)
-    seqs = stage(sequences(df, entity, value, strata, time))
+    # the series is staged before its covariate cells are listed, so its frames are read once
+    rows = stage(df.select(*dict.fromkeys([*entity, *strata_cols, time, value])))
+    strata = strata_of(rows, strata_cols)
+    seqs = stage(sequences(rows, entity, value, strata, time).repartition(shuffle_partitions(df.sparkSession), *entity))
     mats = _matrices(start, strata).copy()
     for i, j in zeros:
         mats[:, i - 1, j - 1] = 0.0
