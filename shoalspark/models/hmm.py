@@ -80,9 +80,12 @@ class Strata:
     levels: tuple[tuple[str, ...], ...]
 
     def index(self) -> Column:
+        """0-based number of a row's combination; any other combination is an error."""
         here = F.concat_ws("\u0001", *self.cols) if self.cols else F.lit("")
         labels = F.array(*[F.lit("\u0001".join(v)) for v in self.levels])
-        return (F.array_position(labels, here) - 1).cast("int")
+        at = F.array_position(labels, here)
+        unknown = F.raise_error(F.concat(F.lit("undeclared covariate cell: "), here)).cast("bigint")
+        return F.when(at > 0, at - 1).otherwise(unknown).cast("int")
 
     def frame(self, spark, extra: Sequence[tuple], schema: str) -> DataFrame:
         head = "".join(f"`{c}` string, " for c in self.cols)
@@ -98,6 +101,8 @@ def strata_of(df: DataFrame, cols: Sequence[str], limit: int = 200) -> Strata:
     seen = df.select(*cols).distinct().limit(limit + 1).collect()
     if len(seen) > limit:
         raise ValueError(f"more than {limit} combinations of {cols}")
+    if any(v is None for r in seen for v in r):
+        raise ValueError(f"a row has no value in one of {cols}")
     return Strata(cols, tuple(sorted(tuple(r) for r in seen)))
 
 
@@ -297,6 +302,9 @@ def _normalise(counts: np.ndarray, fallback: np.ndarray) -> np.ndarray:
 
 @dataclass
 class HmmFit:
+    """Fitted matrices with the staged series (``rows``) and its packed form (``seqs``)."""
+
+    rows: DataFrame
     seqs: DataFrame
     entity: tuple[str, ...]
     strata: Strata
@@ -343,7 +351,7 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
         if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * (1 + abs(ll)):
             break
         mats = _normalise(counts, mats)
-    return HmmFit(seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace)
+    return HmmFit(rows, seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace)
 
 
 def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",
@@ -544,7 +552,7 @@ def marginal_draws(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, strength:
 
 
 def state_interval(draw_df: DataFrame, keys: Sequence[str], width: float = 0.95) -> DataFrame:
-    """Interval of each state's probability over a table with ``state1..state3``."""
+    """Interval of each state's probability over a (staged) table with ``state1..state3``."""
     long = draw_df.select(*keys, "state1", "state2", "state3") \
         .unpivot(list(keys), ["state1", "state2", "state3"], "state", "prob")
     return median_qi(long, [*keys, "state"], "prob", width)

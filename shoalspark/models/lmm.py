@@ -489,7 +489,11 @@ class LmmFit:
 
 def lmm(df: DataFrame, formula: str | Sequence[str], group: str, response: str | None = None,
         levels: Mapping[str, Sequence[str]] | None = None, method: str = "REML") -> LmmFit:
-    """Fit ``y ~ terms + (1 | group)``."""
+    """Fit ``y ~ terms + (1 | group)``.
+
+    Rows with a missing value or a level outside the declared ones are left out; ``variance()``
+    tells how many remain.
+    """
     return lmm_candidates(df, [formula], group, response, levels, method)[0]
 
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalspark.functions import special as S
 from shoalspark.functions.pvalues import normal_quantile, normal_upper, signed_rank_p, t_p_value, z_p_value
 from shoalspark.operators.ranks import average_rank, same_keys, value_ranks
 from shoalspark.staging import small_side

@@ -7,7 +7,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.expr import beta_log_density, col
@@ -184,16 +184,10 @@ def state_density(spark: SparkSession, shapes: Sequence[tuple[float, float]], po
 def density_vs_states(df: DataFrame, value: str, shapes: Sequence[tuple[float, float]],
                       bins: int = 50) -> DataFrame:
     """Observed density in each bin of (0, 1) next to every state's density at the bin centre."""
-    n = F.sum("count").over(_whole())
+    # at most ``bins`` rows
+    n = F.sum("count").over(Window.partitionBy(F.lit(1)))
     hist = histogram(df, value, bins, 0.0, 1.0)
     hist = hist.select("bin", ((F.col("low") + F.col("high")) / 2).alias("x"),
                        (F.col("count") * bins / n).alias("observed"))
     return hist.select("*", *[F.exp(beta_log_density("x", a, b)).alias(f"state{i + 1}")
                               for i, (a, b) in enumerate(shapes)])
-
-
-def _whole():
-    from pyspark.sql import Window
-
-    # only ever applied to at most ``bins`` rows
-    return Window.partitionBy(F.lit(1))

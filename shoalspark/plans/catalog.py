@@ -346,13 +346,14 @@ def speed_table_handoff(spark, sf_dir):
 def marginal_share_interval(spark, sf_dir):
     """Each fish-part's minute shares as numbered draws, joined to the covariate grid, averaged over
     fish within a draw and summarised over draws."""
-    df = E.with_part_from_minute(cue_minute(spark, sf_dir))
+    df = E.with_part_from_minute(stage(cue_minute(spark, sf_dir)))
     cells = df.groupBy(*FISH, "part").agg(F.array_sort(F.collect_list(F.struct("minute_relative", "ratioside"))).alias("q"))
     lists = RS.explode_list(cells.select(*FISH, "part", F.col("q.ratioside").alias("prob")), "prob")
     grid = RS.cov_grid(df, {"part": list(E.PARTS)}, FISH)
     numbered = lists.withColumn("cov_id", X.level_index("part", E.PARTS) + 1).drop("part")
     joined = RS.attach_grid(numbered, grid, [*FISH, "cov_id"])
-    return SM.median_qi(RS.marginal_mean(joined, ["part", "treatment"]), ["part", "treatment"], "prob")
+    per_draw = stage(RS.marginal_mean(joined, ["part", "treatment"]))
+    return SM.median_qi(per_draw, ["part", "treatment"], "prob")
 
 
 # --- tests --------------------------------------------------------------------------------
@@ -403,7 +404,7 @@ def median_interval(spark, sf_dir):
 
 @query
 def shape_moments(spark, sf_dir):
-    return SM.moments(cue_minute(spark, sf_dir), "sum", ["treatment"])
+    return SM.moments(stage(cue_minute(spark, sf_dir)), "sum", ["treatment"])
 
 
 @query

@@ -164,7 +164,7 @@ COMP = CUE_MINUTE + """, comp AS (
   SELECT fish || '_' || treatment AS fish_id, part, 'cue' AS side, sum AS y FROM cue_minute
   UNION ALL SELECT fish || '_' || treatment, part, 'nocue', total_sum - sum FROM cue_minute
 )"""
-twin("lmm_cue_plain", COMP + """, fitted AS (
+CUE_PLAIN = COMP + """, fitted AS (
   SELECT fish_id, y - avg(y) OVER (PARTITION BY part, side) AS e4,
     y - avg(y) OVER (PARTITION BY part) - avg(y) OVER (PARTITION BY side) + avg(y) OVER () AS e3 FROM comp
 ), squares AS (
@@ -177,8 +177,17 @@ twin("lmm_cue_plain", COMP + """, fitted AS (
   SELECT *, greatest(0e0, (ssb / (g - 1) / (ssw / (39 * g - p + 1)) - 1) / 40) AS theta FROM parts
 ), aics AS (
   SELECT model, (40 * g - p) * (1 + ln(2 * pi() * (ssw + ssb / (1 + 40 * theta)) / (40 * g - p))) + g * ln(1 + 40 * theta)
-    + p * ln(g) + logdet - ln(1 + 40 * theta) + 2 * (p + 2) AS aic FROM ratios
-)""", "SELECT model, aic, aic = min(aic) OVER () AS best FROM aics", "aic")
+    + p * ln(g) + logdet - ln(1 + 40 * theta) + 2 * (p + 2) AS aic,
+    p, g, theta, (ssw + ssb / (1 + 40 * theta)) / (40 * g - p) AS s2 FROM ratios
+)"""
+twin("cue_percent_prediction", CUE_PLAIN + """, cell_means AS (
+  SELECT part, side, avg(y) AS mu FROM comp GROUP BY part, side
+), cell_se AS (
+  SELECT sqrt(s2 * theta / g + s2 / (10 * g)) AS se FROM aics WHERE p = 4
+)""", """SELECT part, CASE side WHEN 'cue' THEN 'menthe' ELSE 'edm' END AS "fishSide", 100 * mu / 60 AS predicted,
+  100 * (mu - 1.959963984540054e0 * se) / 60 AS conf_low, 100 * (mu + 1.959963984540054e0 * se) / 60 AS conf_high
+FROM cell_means, cell_se""", "predicted conf_low conf_high")
+twin("lmm_cue_plain", CUE_PLAIN, "SELECT model, aic, aic = min(aic) OVER () AS best FROM aics", "aic")
 # a saturated gamma model with log link fits the cell means; its dispersion is Pearson's
 twin("gamma_glm", COMP + """, pos AS (
   SELECT part, side, y, avg(y) OVER (PARTITION BY part, side) AS mu FROM comp WHERE y > 0

@@ -232,6 +232,18 @@ def lmm_cue_plain(spark, sf_dir):
     return compare_models(lmm_candidates(df, PLAIN_CUE_CANDIDATES, "fish_id", levels=LEVELS))
 
 
+@query
+def cue_percent_prediction(spark, sf_dir):
+    """Predicted seconds per compartment with limits, as percent of a minute under display labels."""
+    df = compartment_rows(spark, sf_dir)
+    fit = lmm(df, PLAIN_CUE_CANDIDATES[0], "fish_id", levels=LEVELS)
+    out = fit.predict(fit.grid({"part": LEVELS["part"], "fishSide": LEVELS["fishSide"]}))
+    for c in ("predicted", "conf_low", "conf_high"):
+        out = E.with_percent(out, c, 60.0, c)
+    return E.recode(out, "fishSide", {"cue": "menthe", "nocue": "edm"}).select(
+        "part", "fishSide", "predicted", "conf_low", "conf_high")
+
+
 @query
 def lmm_lineitem(spark, sf_dir):
     """The same model form on the largest table: supplier as entity."""
@@ -338,8 +350,7 @@ def hmm_decoded_share(spark, sf_dir):
     """Seconds decoded in each state, by part and treatment, under the fitted matrices."""
     fit = hmm_fit(spark, sf_dir)
     path = H.viterbi(fit.seqs, fit.entity, fit.tpm, fit.strata)
-    parts = one_hertz(spark, sf_dir).select(*FISH, "time", "part")
-    return path.join(parts, [*FISH, "time"]).groupBy("part", "treatment", "state").agg(F.count("*").alias("seconds"))
+    return path.join(fit.rows.select(*FISH, "time", "part"), [*FISH, "time"]).groupBy("part", "treatment", "state").agg(F.count("*").alias("seconds"))
 
 
 @query
@@ -368,12 +379,13 @@ def hmm_tpm_long(spark, sf_dir):
 @query
 def hmm_state_interval(spark, sf_dir):
     """Interval of each state's probability with every fish as one draw."""
-    return H.state_interval(H.with_stationary(hard_matrices(spark, sf_dir)), ["part", "treatment"])
+    laws = stage(H.with_stationary(hard_matrices(spark, sf_dir)).drop("p"))
+    return H.state_interval(laws, ["part", "treatment"])
 
 
 @query
 def hmm_transition_interval(spark, sf_dir):
-    out = H.transition_interval(hard_matrices(spark, sf_dir), ["part", "treatment"])
+    out = H.transition_interval(stage(hard_matrices(spark, sf_dir)), ["part", "treatment"])
     return out.withColumn("step", F.concat_ws("->", "from", "to"))
 
 
@@ -387,13 +399,13 @@ def fitted_draws(spark, sf_dir):
 def hmm_draw_state_interval(spark, sf_dir):
     """Marginal interval per part and treatment from 1000 resampled fits, averaged over fish."""
     fit, counts, d = fitted_draws(spark, sf_dir)
-    return H.state_interval(H.marginal_draws(counts, d, fit), ["part", "treatment"])
+    return H.state_interval(stage(H.marginal_draws(counts, d, fit)), ["part", "treatment"])
 
 
 @query
 def hmm_draw_transition_interval(spark, sf_dir):
     fit, counts, d = fitted_draws(spark, sf_dir)
-    return H.transition_interval(H.marginal_draws(counts, d, fit), ["part", "treatment"])
+    return H.transition_interval(stage(H.marginal_draws(counts, d, fit)), ["part", "treatment"])
 
 
 @query

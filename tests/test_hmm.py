@@ -150,3 +150,11 @@ def test_state_parameters(spark):
     near = H.emission(spark.createDataFrame([(0.2,), (0.5,), (0.8,), (0.0,), (1.0,)], "x double"), "x")
     assert [r[0] for r in near.select(H.nearest_state()).collect()] == [1, 2, 3, 1, 3]
     assert near.where(F.col("log_b1").isNull()).count() == 0
+
+
+def test_unknown_covariate_cell_is_an_error(spark):
+    df = spark.createDataFrame([("f", "During", 0.4, 1)], "fish string, part string, x double, time int")
+    with pytest.raises(Exception, match="undeclared covariate cell"):
+        H.sequences(df, ["fish"], "x", STRATA).collect()
+    with pytest.raises(ValueError):
+        H.strata_of(df.withColumn("part", F.lit(None).cast("string")), ["part"])

@@ -90,6 +90,11 @@ def test_zero_fill(sparse):
     assert {r["tag"] for r in carried.collect()} == {"t"}
 
 
+def test_zero_fill_refuses_undeclared_levels(sparse):
+    with pytest.raises(Exception, match="undeclared level of minute"):
+        O.zero_fill(sparse, ["fish"], {"minute": [1], "zone": None}).collect()
+
+
 def test_share_sums_to_hundred(sparse):
     filled = O.zero_fill(sparse, ["fish"], {"minute": [1, 2, 3], "zone": ["cue", "control", None]})
     got = O.zone_share(filled, ["fish", "minute"], "zone").groupBy("fish", "minute") \
