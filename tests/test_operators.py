@@ -77,7 +77,8 @@ def sparse(spark):
 
 
 def test_zero_fill(sparse):
-    nested = O.zero_fill(sparse, ["fish", "treatment"], {"minute": [1, 2, 3], "zone": ["cue", "control"]}).collect()
+    tracked = sparse.where("zone is not null")
+    nested = O.zero_fill(tracked, ["fish", "treatment"], {"minute": [1, 2, 3], "zone": ["cue", "control"]}).collect()
     assert len(nested) == 2 * 3 * 2
     cell = {(r["fish"], r["minute"], r["zone"]): r["sum"] for r in nested}
     assert cell["1", 1, "cue"] == 5.0 and cell["1", 3, "cue"] == 0.0 and cell["2", 2, "control"] == 0.0
@@ -86,8 +87,9 @@ def test_zero_fill(sparse):
     assert len(crossed) == 2 * 2 * 3 * 2
     null_cell = [r["sum"] for r in crossed if r["zone"] is None and r["fish"] == "2" and r["minute"] == 2 and r["treatment"] == "b"]
     assert null_cell == [2.0]
-    carried = O.zero_fill(sparse.withColumn("tag", F.lit("t")), ["fish"], {"minute": [1, 2]}, carry=["tag"])
-    assert {r["tag"] for r in carried.collect()} == {"t"}
+    carried = O.zero_fill(tracked.withColumn("tag", F.lit("t")), ["fish"], {"minute": [1, 2]}, carry=["tag"])
+    assert {(r["fish"], r["minute"]): r["tag"] for r in carried.collect()} == \
+        {("1", 1): "t", ("1", 2): "t", ("2", 1): "t", ("2", 2): None}
 
 
 def test_zero_fill_refuses_undeclared_levels(sparse):
