@@ -18,6 +18,7 @@ from shoalspark.operators import quality as Q
 from shoalspark.operators import ranks as R
 from shoalspark.operators import reshape as RS
 from shoalspark.operators import summary as SM
+from shoalspark.shipping import ship_package
 from shoalspark.sources.io import read_table, with_file_metadata, write_table
 from shoalspark.sources.tables import events_as_frames
 from shoalspark.staging import checkpoint_dir, stage
@@ -43,7 +44,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return rounded(fn(spark, sf_dir))
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
