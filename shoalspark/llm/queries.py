@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalspark.llm import line_dedup, mixing, sharding, url_cascade
+from shoalspark.llm import jaccard_join, language, line_dedup, mixing, near_vectors, quality, sharding, templates, url_cascade
 from shoalspark.shipping import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,31 @@ def op3_url_filters(spark, sf_dir):
     return url_cascade.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+@query
+def op4_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents")).drop("shares")
+
+
+@query
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark, sf_dir):
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_decontamination(spark, sf_dir):
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
