@@ -182,11 +182,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Classes and near-duplicate groups of ``docs`` by Jaccard similarity of five-word shingles.
 
     Returns one row per input row: doc_id, class_id (smallest id with the same words), n_links (other rows of
-    similarity >= threshold, copies included), group_id (smallest id reachable over links) and kept (whether
-    this is the row of its group that stays). Words are runs of anything but ASCII space; a text of one to four
+    similarity >= threshold, copies included), group_id (smallest id reachable over links), kept (whether
+    this is the row of its group that stays) and text_hash. Words are runs of anything but ASCII space; a text of one to four
     words is one shingle; a null text or one without words links with nothing. A null id is a row like any
-    other, orders last, and comes back null. Repeated rows are copies of each other with one id, so all or none
-    of them are kept; ``one_of_each`` keeps one. An empty table gives no rows. Other columns are ignored.
+    other, orders last, and comes back null. Repeated rows are copies of each other and all marked
+    alike; ``one_of_each`` keeps one of them. An empty table gives no rows. Other columns are ignored.
     """
     last = (1 << 63) - 1
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(last)).alias("doc"),
@@ -210,24 +210,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stage(verified(members.join(texts, ["doc", "th"]), ["sig", "text"], exact_links(threshold, tolerance, WIDTH)))
     links = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    ids = groups.join(classes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("group"))
-    judged = groups.join(ids, "root").join(links, "node").select("node", "group", "links")
-    per_class = classes.select("digest", "node", F.col("doc").alias("class"), "weight").join(judged, "node", "left")
-    back = signed.select("doc", "digest").join(per_class, "digest")
-    group = F.coalesce("group", "class")
+    lows = groups.join(classes.select("node", F.struct("doc", "th").alias("low")), "node")
+    judged = lows.groupBy("root").agg(F.min("low").alias("group")).join(groups, "root").join(links, "node").select("node", "group", "links")
+    per_class = classes.select("digest", "node", F.struct("doc", "th").alias("low"), "weight").join(judged, "node", "left")
+    back = signed.select("doc", "th", "digest").join(per_class, "digest").withColumn("group", F.coalesce("group", "low"))
 
     def shown(c):
         return F.when(c != last, c)
 
-    return back.select(shown(F.col("doc")).alias("doc_id"), shown(F.col("class")).alias("class_id"),
-                       (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                       shown(group).alias("group_id"), (F.col("doc") == group).alias("kept"))
+    return back.select(shown(F.col("doc")).alias("doc_id"), shown(F.col("low.doc")).alias("class_id"),
+                       (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), shown(F.col("group.doc")).alias("group_id"),
+                       (F.struct("doc", "th") == F.col("group")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, judged: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``judged`` does not keep; of rows equal in id and text one stays."""
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("__id"), th.alias("__th"), F.struct("*").alias("__row"))
-    kept = judged.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    stay = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = judged.where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__kept_th")).distinct()
+    stay = rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__th") == F.col("__kept_th")), "left_semi")
     return stay.groupBy("__id", "__th").agg(F.first("__row").alias("__row")).select("__row.*")

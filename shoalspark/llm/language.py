@@ -11,8 +11,11 @@ import functools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
 SPACE = 32
@@ -109,15 +112,17 @@ def mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int, most:
     return top, chosen
 
 
-def predicted(names: list[str], shared, rounds: int, most: int, slice_docs: int = 128):
+def predicted(names: list[str], shared, rounds: int, most: int, text_at: int, slice_docs: int = 128):
     def run(batches):
         table = np.frombuffer(shared.value, np.float32).reshape(BUCKETS, len(names))
-        for pdf in batches:
-            lang, score, shares = ["und"] * len(pdf), [0.0] * len(pdf), [None] * len(pdf)
-            for lo in range(0, len(pdf), slice_docs):
+        for batch in batches:
+            texts = pc.struct_field(batch.column("row"), [text_at])
+            n = len(texts)
+            lang, score, shares = ["und"] * n, [0.0] * n, [None] * n
+            for lo in range(0, n, slice_docs):
                 which, idx, cnt = [], [], []
-                for r in range(lo, min(lo + slice_docs, len(pdf))):
-                    grams = trigrams(pdf["text"].iat[r] or "")
+                for r in range(lo, min(lo + slice_docs, n)):
+                    grams = trigrams(texts[r].as_py() or "")
                     if len(grams) and names:
                         counts = np.bincount(grams, minlength=BUCKETS)
                         seen = np.flatnonzero(counts)
@@ -130,10 +135,23 @@ def predicted(names: list[str], shared, rounds: int, most: int, slice_docs: int
                     k = int(s.argmax())
                     lang[r], score[r] = names[t[k]], min(1.0, max(0.0, float(s[k])))
                     shares[r] = {names[t[j]]: float(s[j]) for j in np.flatnonzero(s > 0)}
-            yield pd.DataFrame({"row": pdf["row"], "lang_pred": lang, "score": score, "shares": shares})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(lang), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
+                ["row", "lang_pred", "score", "shares"])
     return run
 
 
+def annotate(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", rounds: int = 6, most: int = 4) -> DataFrame:
+    """(row, lang_pred, score, shares) for every row of ``docs``; ``row`` holds its columns as they are."""
+    names, table = learn(train, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    rows = docs.select(F.struct("*").alias("row"))
+    kind = rows.schema["row"].dataType
+    schema = T.StructType([T.StructField("row", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+                           T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
+    return rows.mapInArrow(predicted(names, shared, rounds, most, docs.columns.index(text_col)), schema)
+
+
 def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang", rounds: int = 6, most: int = 4, parts: int = 4, part: int = 2) -> DataFrame:
     """Predicted language of every row of ``docs``.
@@ -145,11 +163,12 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     get equal results, an empty table gives no rows, other columns are ignored.
     """
     known = (docs if train is None else train).where(~is_held_out(id_col, parts, part))
-    names, table = learn(known, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), is_held_out(id_col, parts, part).alias("held_out")).alias("row"),
-                       F.col(text_col).alias("text"))
-    out = rows.select(F.to_json("row", {"ignoreNullFields": "false"}).alias("row"), "text").mapInPandas(
-        predicted(names, shared, rounds, most), "row string, lang_pred string, score double, shares map<string,double>")
-    back = F.from_json("row", rows.schema["row"].dataType)
-    return out.withColumn("row", back).select("row.*", "lang_pred", "score", "shares")
+    rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
+    out = annotate(rows, known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), rounds=rounds, most=most)
+    return out.select("row.doc_id", "row.held_out", "lang_pred", "score", "shares")
+
+
+def in_a_language(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, unchanged, of which one language makes up at least ``least``; learns like ``identify``."""
+    known = docs.where(~is_held_out(id_col, 4, 2))
+    return annotate(docs, known, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -124,7 +124,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return both.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
-def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", most: int = 2) -> DataFrame:
+def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
     """Documents as the mix takes them: whole texts, each 0 to ``most`` times, the nearest number to its share.
 
     ``mixed`` has doc_id and taken; rows that share an id are told apart by size. Columns stay as they are.
@@ -132,7 +132,7 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", most: in
     copies = F.least(F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"), F.lit(most))
     per = mixed.where((F.col("size") > 0) & (copies > 0)).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")) \
         .agg(F.max(copies).alias("__copies"))
-    size = F.regexp_count(F.coalesce(F.col("__row.text"), F.lit("")), F.lit(WORDS)).cast("bigint")
+    size = F.regexp_count(F.coalesce(F.col(f"__row.{text_col}"), F.lit("")), F.lit(WORDS)).cast("bigint")
     rows = docs.select(F.struct("*").alias("__row")).withColumn("__n", size)
     joined = rows.join(per, F.col(f"__row.{id_col}").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
     return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

@@ -31,4 +31,53 @@ fits AS (
   FROM parts JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
 SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
 FROM parts LEFT JOIN fits ON parts.page_id = fits.page_id""",
+    "op7_repeated_phrases": r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS f FROM wins GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+bad AS (
+  SELECT doc_id, list(s) AS starts FROM wins JOIN firsts USING (win) WHERE doc_id > f GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM (SELECT doc_id, unnest(starts) AS s FROM bad), range(50) AS r(k)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words),
+kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) FILTER (g.i IS NULL) AS t, count(g.i) AS n_removed
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT words.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+classes AS (SELECT array_to_string(w, ' ') AS t, any_value(w) AS w, min(doc_id) AS c, count(*) AS n FROM words WHERE len(w) > 0 GROUP BY 1),
+grams AS (
+  SELECT DISTINCT c, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT c, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM classes)),
+sizes AS (SELECT c, count(*) AS k FROM grams GROUP BY c),
+links AS (
+  SELECT x.c AS a, y.c AS b FROM grams x JOIN grams y ON x.g = y.g AND x.c <> y.c
+  JOIN sizes sx ON sx.c = x.c JOIN sizes sy ON sy.c = y.c
+  GROUP BY x.c, y.c HAVING count(*) * 1000 >= 800 * (any_value(sx.k) + any_value(sy.k) - count(*))),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+grp AS (SELECT a AS c, min(b) AS g FROM reach GROUP BY a),
+deg AS (SELECT a AS c, sum(n) AS links FROM links JOIN classes ON classes.c = links.b GROUP BY a)
+SELECT words.doc_id, coalesce(k.c, words.doc_id) AS class_id,
+       CAST(coalesce(k.n - 1, 0) + coalesce(deg.links, 0) AS BIGINT) AS n_links,
+       coalesce(least(grp.g, k.c), k.c, words.doc_id) AS group_id,
+       words.doc_id = coalesce(least(grp.g, k.c), k.c, words.doc_id) AS kept
+FROM words LEFT JOIN classes k ON len(words.w) > 0 AND k.t = array_to_string(words.w, ' ')
+LEFT JOIN grp ON grp.c = k.c LEFT JOIN deg ON deg.c = k.c""",
+    "op4_near_vectors": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+grp AS (SELECT a, min(b) AS g FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(g, vec_id), vec_id) AS component_id,
+       vec_id = coalesce(least(g, vec_id), vec_id) AS kept
+FROM embeddings LEFT JOIN grp ON grp.a = vec_id LEFT JOIN deg ON deg.a = vec_id""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -50,16 +50,15 @@ def text_stats(text: str | None) -> tuple[float, ...]:
 
 
 def stat_rows(batches):
-    for pdf in batches:
-        stats = np.array([text_stats(t) for t in pdf["text"]], np.float64).reshape(len(pdf), len(STATS))
-        out = pd.DataFrame(stats, columns=STATS)
-        out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy(object))
-        yield out
+    for batch in batches:
+        texts = batch.column("text")
+        stats = np.array([text_stats(t.as_py()) for t in texts], np.float64).reshape(len(texts), len(STATS))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x) for x in stats.T]], ["doc_id", *STATS])
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(stat_rows, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS))
+    return rows.mapInArrow(stat_rows, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Condition = tuple[str, str, float]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalspark.llm import jaccard_join, language, line_dedup, mixing, near_vectors, quality, sharding, templates, url_cascade
+from shoalspark.llm import jaccard_join, language, line_dedup, mixing, near_vectors, phrases, quality, sharding, templates, url_cascade
 from shoalspark.shipping import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,7 +62,13 @@ def op5_language_id(spark, sf_dir):
 
 @query
 def op6_jaccard_join(spark, sf_dir):
-    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op7_repeated_phrases(spark, sf_dir):
+    kept = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
 @query
