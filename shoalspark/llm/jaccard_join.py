@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.llm.pairs import blocked, components, forest, pair_lists, verified, whole_groups
-from shoalspark.staging import stage
+from shoalspark.staging import small_side, stage
 
 WIDTH = 5
 BANDS, ROWS = 24, 5
@@ -206,7 +206,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = components(edges)
 
     members = stage(near.withColumnRenamed("root", "group").join(reps, "node"))
-    texts = rows.join(members.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.first("text").alias("text"))
+    # up to a million members are broadcast, so texts without a partner are not shuffled
+    wanted = small_side(members.select("doc", "th"), 1_000_000)
+    texts = rows.join(wanted, ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.first("text").alias("text"))
     found = stage(verified(members.join(texts, ["doc", "th"]), ["sig", "text"], exact_links(threshold, tolerance, WIDTH)))
     links = found.groupBy("node").agg(F.sum("n_links").alias("links"))
     groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
