@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -39,9 +40,13 @@ def normal_upper(z: pd.Series) -> pd.Series:
     return _masked(S.norm_sf, z)
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return _masked(S.norm_ppf, p)
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile as a column expression; null outside (0, 1)."""
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    outer = F.when(r <= 5, S.rational(S.PPF_MIDDLE, r - 1.6)).otherwise(S.rational(S.PPF_TAIL, r - 5))
+    inner = q * S.rational(S.PPF_CENTRE, 0.180625 - q * q)
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.signum(q) * outer))
 
 
 @F.pandas_udf(DoubleType())

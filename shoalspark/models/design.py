@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from shoalspark.functions.expr import level_index
 
-MAX_LEVELS = 200
-
-
 def terms_of(formula: str | Sequence[str]) -> tuple[str | None, list[tuple[str, ...]]]:
     """(response, terms) of ``y ~ a*b + z`` or of a list like ``["a", "z", "a:z"]``.
 
@@ -60,10 +57,12 @@ class Basis:
         return len(self.cells) * len(self.monomials)
 
     def cell_column(self) -> Column:
-        """Cell number of a row; null when a factor holds an undeclared value."""
+        """Cell number of a row, null when a factor is null; an undeclared value is an error."""
         index = F.lit(0)
         for name, levels in self.factors.items():
-            index = index * len(levels) + level_index(name, levels)
+            at = level_index(name, levels)
+            unknown = F.raise_error(F.concat(F.lit(f"undeclared level of {name}: "), F.col(name).cast("string"))).cast("int")
+            index = index * len(levels) + F.when(F.col(name).isNotNull() & at.isNull(), unknown).otherwise(at)
         return index
 
     def monomial_columns(self) -> list[Column]:
@@ -87,9 +86,8 @@ def basis_for(df: DataFrame, term_lists: Sequence[Sequence[tuple[str, ...]]],
         if name in levels:
             factors[name] = list(levels[name])
         elif types[name] == "string":
-            seen = df.select(name).where(F.col(name).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-            if len(seen) > MAX_LEVELS:
-                raise ValueError(f"{name} has more than {MAX_LEVELS} levels; use it as the group")
+            # one row per level; a model has a coefficient for each
+            seen = df.select(name).where(F.col(name).isNotNull()).distinct().collect()
             factors[name] = sorted(r[0] for r in seen)
     monomials: list[tuple[str, ...]] = [()]
     for terms in term_lists:
@@ -154,7 +152,7 @@ def _column(basis: Basis, choice: Mapping[str, int], covs: tuple[str, ...], codi
 
 
 def usable_rows(df: DataFrame, basis: Basis, response: str, group: str | None = None) -> DataFrame:
-    """Complete rows as (group, cell, monomials, y)."""
+    """Rows without a null in the model's columns as (group, cell, monomials, y)."""
     covs = sorted({v for m in basis.monomials for v in m})
     rows = df.where(F.col(response).isNotNull())
     for c in covs:

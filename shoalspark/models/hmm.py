@@ -93,14 +93,12 @@ class Strata:
         return spark.createDataFrame(rows, head + schema)
 
 
-def strata_of(df: DataFrame, cols: Sequence[str], limit: int = 200) -> Strata:
-    """The observed combinations, sorted; they are covariate cells and must be few."""
+def strata_of(df: DataFrame, cols: Sequence[str]) -> Strata:
+    """The observed combinations, sorted; each has a transition matrix of its own on the driver."""
     cols = tuple(cols)
     if not cols:
         return Strata((), ((),))
-    seen = df.select(*cols).distinct().limit(limit + 1).collect()
-    if len(seen) > limit:
-        raise ValueError(f"more than {limit} combinations of {cols}")
+    seen = df.select(*cols).distinct().collect()
     if any(v is None for r in seen for v in r):
         raise ValueError(f"a row has no value in one of {cols}")
     return Strata(cols, tuple(sorted(tuple(r) for r in seen)))
@@ -312,6 +310,7 @@ class HmmFit:
     shapes: tuple
     initial: object
     trace: list[float]
+    converged: bool
 
     def transitions(self) -> DataFrame:
         """(strata, p) with the matrix as array of rows."""
@@ -320,7 +319,7 @@ class HmmFit:
 
     def summary(self) -> DataFrame:
         return self.seqs.sparkSession.createDataFrame(
-            [(i + 1, v) for i, v in enumerate(self.trace)], "round int, loglik double")
+            [(i + 1, v, self.converged) for i, v in enumerate(self.trace)], "round int, loglik double, converged boolean")
 
     def counts(self) -> DataFrame:
         return expected_counts(self.seqs, self.entity, self.tpm, self.strata, self.initial, self.shapes)
@@ -328,13 +327,15 @@ class HmmFit:
 
 def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_cols: Sequence[str] = ("part",),
                     start=START, zeros: Sequence[tuple[int, int]] = (), shapes=SHAPES, max_iter: int = 100,
-                    tol: float = 1e-6, initial="stationary", time: str = "time") -> HmmFit:
+                    tol: float = 1e-6, initial="stationary", time: str = "time", strict: bool = True) -> HmmFit:
     """Transition matrix per stratum by EM with fixed emissions.
 
     The stratum of the destination row governs a step. ``zeros`` are (from, to) pairs that stay
     impossible. With the stationary start law, refreshed each round, the law's own dependence on
     the matrix is left out of the M-step; with a fixed law EM is exact. A fish effect on the
-    transitions is not part of this fit, see ``shrink_by_entity``.
+    transitions is not part of this fit, see ``shrink_by_entity``. Rounds end when the relative gain is
+    below ``tol``; not getting there in ``max_iter`` rounds is an error unless ``strict`` is off. The matrices
+    belong to the last logged likelihood.
     """
     # the series is staged before its covariate cells are listed, so its frames are read once
     rows = stage(df.select(*dict.fromkeys([*entity, *strata_cols, time, value])))
@@ -345,18 +346,21 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
         mats[:, i - 1, j - 1] = 0.0
     mats = mats / mats.sum(axis=-1, keepdims=True)
     trace: list[float] = []
-    for _ in range(max_iter):
+    converged, counts = False, None
+    while not converged and len(trace) < max_iter:
+        if counts is not None:
+            mats = _normalise(counts, mats)
         counts, ll = _round(seqs, mats, _start_law(mats, initial), shapes)
         trace.append(ll)
-        if len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * (1 + abs(ll)):
-            break
-        mats = _normalise(counts, mats)
-    return HmmFit(rows, seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace)
+        converged = len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * (1 + abs(ll))
+    if strict and not converged:
+        raise RuntimeError(f"no convergence in {max_iter} rounds; raise max_iter or tol, or pass strict=False")
+    return HmmFit(rows, seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace, converged)
 
 
 def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",
             shapes=SHAPES) -> DataFrame:
-    """Decoded ``state`` per (entity, time)."""
+    """Decoded ``state`` per (entity, time), with the number ``s`` of the row's stratum."""
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
 
@@ -364,12 +368,12 @@ def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial
         for pdf in batches:
             for part, (x, s, lens) in _blocks(pdf):
                 path = _viterbi(x, s, lens, mats, delta, shapes)
-                yield part[[*entity, "t", "x"]].assign(z=[path[i, :n].astype(np.int32) for i, n in enumerate(lens)])
+                yield part[[*entity, "t", "x", "s"]].assign(z=[path[i, :n].astype(np.int32) for i, n in enumerate(lens)])
 
-    schema = T.StructType([*_fields(seqs, [*entity, "t", "x"]), T.StructField("z", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*_fields(seqs, [*entity, "t", "x", "s"]), T.StructField("z", T.ArrayType(T.IntegerType()))])
     packed = seqs.select(*entity, "t", "x", "s").mapInPandas(run, schema)
-    rows = packed.select(*entity, F.explode(F.arrays_zip("t", "x", "z")).alias("q"))
-    return rows.select(*entity, F.col("q.t").alias("time"), F.col("q.x").alias("value"), F.col("q.z").alias("state"))
+    rows = packed.select(*entity, F.explode(F.arrays_zip("t", "x", "s", "z")).alias("q"))
+    return rows.select(*entity, F.col("q.t").alias("time"), F.col("q.x").alias("value"), F.col("q.s").alias("s"), F.col("q.z").alias("state"))
 
 
 def pseudo_residuals(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",
@@ -429,11 +433,37 @@ def tpm_long(df: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
     return matrix_long(df, p, keys)
 
 
-def shrink_by_entity(counts: DataFrame, fit: HmmFit, strength: float = 10.0) -> DataFrame:
+def pooling_strength(counts: DataFrame, fit: HmmFit, most: float = 1e4) -> float:
+    """How strongly entities resemble their stratum, as a number of pseudo-counts, by moments.
+
+    If an entity's transition row scatters around the stratum's row p like a Dirichlet law of weight A, the squared
+    gap between its n expected counts and n p has mean p (1 - p) (n + (n^2 - n) / (1 + A)). Sums over all
+    entities, strata and rows give A; 0 to ``most``, which stands for no entity effect.
+    """
+    priors = F.array(*[F.lit([float(v) for v in m.ravel()]) for m in fit.tpm])
+    c, prior = F.col("c"), priors[F.col("s")]
+    gap, base, extra = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for i in range(3):
+        n = c[3 * i] + c[3 * i + 1] + c[3 * i + 2]
+        for j in range(3):
+            p = prior[3 * i + j]
+            gap = gap + (c[3 * i + j] - n * p) ** 2
+            base = base + p * (1 - p) * n
+            extra = extra + p * (1 - p) * (n * n - n)
+    total = counts.agg(F.sum(gap), F.sum(base), F.sum(extra)).first()
+    if not total[2] or total[2] <= 0:
+        return most
+    share = (total[0] - total[1]) / total[2]
+    return float(min(most, max(0.0, 1 / share - 1))) if share > 0 else most
+
+
+def shrink_by_entity(counts: DataFrame, fit: HmmFit, strength: float | None = None) -> DataFrame:
     """Matrix per entity and stratum: expected counts plus ``strength`` pseudo-counts of the stratum's.
 
-    An approximation of an entity effect on the transitions, not the same estimator.
+    An approximation of an entity effect on the transitions, not the same estimator. The strength is
+    estimated by ``pooling_strength`` unless it is given.
     """
+    strength = pooling_strength(counts, fit) if strength is None else strength
     priors = fit.seqs.sparkSession.createDataFrame(
         [(i, m.tolist()) for i, m in enumerate(fit.tpm)], "s int, prior array<array<double>>")
     joined = counts.join(F.broadcast(priors), "s")
@@ -490,16 +520,18 @@ def _draw_stack(draw_df: DataFrame, k: int) -> np.ndarray:
 def _entity_draws(c: np.ndarray, stack: np.ndarray, strength: float) -> np.ndarray:
     """(entity, draw, 3, 3) from counts (entity, 9) and the stratum's draws."""
     c = c.reshape(-1, 1, 3, 3)
-    return (c + strength * stack[None]) / (c.sum(axis=-1, keepdims=True) + strength)
+    total = c.sum(axis=-1, keepdims=True) + strength
+    return np.where(total > 0, (c + strength * stack[None]) / np.where(total > 0, total, 1), stack[None])
 
 
-def entity_state_interval(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, strength: float = 10.0,
+def entity_state_interval(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, strength: float | None = None,
                           width: float = 0.95) -> DataFrame:
     """Median and interval of each state's stationary probability per entity and stratum.
 
     The draws of an entity live and die inside its row, so no (entity x draw) table is shuffled.
     """
     stack = _draw_stack(draw_df, len(fit.tpm))
+    strength = pooling_strength(counts, fit) if strength is None else strength
     entity = list(fit.entity)
     probs = [0.5, (1 - width) / 2, 1 - (1 - width) / 2]
 
@@ -522,9 +554,10 @@ def entity_state_interval(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, st
     return _label_strata(out, fit).select(*entity, *extra, "state", "median", "lower", "upper")
 
 
-def marginal_draws(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, strength: float = 10.0) -> DataFrame:
+def marginal_draws(counts: DataFrame, draw_df: DataFrame, fit: HmmFit, strength: float | None = None) -> DataFrame:
     """Mean over entities, per stratum and draw, of the matrix ``p`` and of ``state1..state3``."""
     stack = _draw_stack(draw_df, len(fit.tpm))
+    strength = pooling_strength(counts, fit) if strength is None else strength
     k, reps = stack.shape[:2]
 
     def run(batches):

@@ -21,7 +21,7 @@ from shoalspark.functions import special as S
 from shoalspark.models.design import (Basis, Design, Moments, basis_for, cell_sums, collect_moments, design,
                                       linear_form, terms_of, usable_rows)
 from shoalspark.models.ols import ols
-from shoalspark.operators.paired import SHAPIRO_MAX, shapiro
+from shoalspark.operators.paired import shapiro
 from shoalspark.operators.ranks import qq_points
 from shoalspark.operators.summary import histogram
 from shoalspark.staging import stage
@@ -131,6 +131,9 @@ class Point:
     logdet_groups: float
     logdet_a: float
     slope: float
+    drss: float
+    dlogdet: float
+    da: np.ndarray
 
 
 @dataclass
@@ -166,11 +169,11 @@ class LmmFit:
             rss = float(m.yy - g.w[k, k] - c @ beta)
             full = np.append(-(b @ beta), 1.0)
             drss = -float(full @ g.dw @ full)
-            if self.method == "ML":
-                slope = n * drss / rss + g.dlogdet
-            else:
-                slope = (n - p) * drss / rss + g.dlogdet - float(np.trace(np.linalg.solve(a, b.T @ g.dw[:k, :k] @ b)))
-            out.append(Point(a, beta, rss, g.logdet, float(np.linalg.slogdet(a)[1]), slope))
+            da, dlogdet = -(b.T @ g.dw[:k, :k] @ b), g.dlogdet
+            if self.method != "ML":
+                dlogdet += float(np.trace(np.linalg.solve(a, da)))
+            slope = (n if self.method == "ML" else n - p) * drss / rss + dlogdet
+            out.append(Point(a, beta, rss, g.logdet, float(np.linalg.slogdet(a)[1]), slope, drss, dlogdet, da))
         return out
 
     def objective(self, pt: Point) -> float:
@@ -214,25 +217,28 @@ class LmmFit:
     # --- inference
 
     def _variance_law(self):
-        """Covariance of (tau, sigma) and the derivative of V in tau, for Satterthwaite's df."""
+        """Covariance of (tau, sigma) and the derivative of V in tau, for Satterthwaite's df.
+
+        First derivatives of the criterion (of the method used) are exact; only the second one in tau is a
+        difference of them, by the five-point rule.
+        """
         if self._var is None:
             tau, sigma = np.sqrt(self.theta), np.sqrt(self.sigma2)
-            n, p = self.moments.n, self.design.p
             if self.is_singular():
                 self._var = (None, None)
             else:
+                dof = self.moments.n - (0 if self.method == "ML" else self.design.p)
                 h = 1e-3 * tau
-                lo, mid, hi = self.points([(tau - h) ** 2, tau**2, (tau + h) ** 2])
-
-                def g(q):
-                    return q.logdet_groups + q.logdet_a + q.rss / self.sigma2
-
-                tt = (g(hi) - 2 * g(mid) + g(lo)) / h**2
-                ts = -2 * (hi.rss - lo.rss) / (2 * h) / sigma**3
-                ss = -2 * (n - p) / sigma**2 + 6 * mid.rss / sigma**4
+                steps = np.array([-2, -1, 0, 1, 2])
+                points = self.points(list((tau + steps * h) ** 2))
+                first = [2 * (tau + s * h) * (q.dlogdet + q.drss / self.sigma2) for s, q in zip(steps, points)]
+                mid = points[2]
+                tt = (first[0] - 8 * first[1] + 8 * first[3] - first[4]) / (12 * h)
+                ts = -4 * tau * mid.drss / sigma**3
+                ss = -2 * dof / sigma**2 + 6 * mid.rss / sigma**4
                 law = 2 * np.linalg.inv(np.array([[tt, ts], [ts, ss]]))
-                dv = self.sigma2 * (np.linalg.inv(hi.a) - np.linalg.inv(lo.a)) / (2 * h)
-                self._var = (law, dv)
+                inverse = np.linalg.inv(mid.a)
+                self._var = (law, -self.sigma2 * 2 * tau * inverse @ mid.da @ inverse)
         return self._var
 
     def satterthwaite(self, contrast: np.ndarray) -> float:
@@ -472,11 +478,8 @@ class LmmFit:
         rows = stage(self.cooks(df).select("fitted", "resid", "cook"))
         n = self.moments.n
         out = []
-        if n <= SHAPIRO_MAX:
-            sw = shapiro(rows, (), "resid").first()
-            out.append(("normality", sw["w"], sw["p"], None))
-        else:
-            out.append(("normality", None, None, None))
+        sw = shapiro(rows, (), "resid").first()
+        out.append(("normality", sw["w"], sw["p"], None))
         scale = float(rows.agg(F.avg(F.col("resid") * F.col("resid"))).first()[0])
         score = ols(rows.withColumn("u", F.col("resid") * F.col("resid") / scale), "u ~ fitted")
         table = {r["term"]: r for r in score.anova().collect()}

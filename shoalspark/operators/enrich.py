@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.functions import expr as X
+from shoalspark.staging import small_side
 
 CHANGE_AT = 600.0
 LAST_BEFORE = 10
@@ -99,7 +100,7 @@ def with_time_lag(df: DataFrame, entity: Sequence[str] = ENTITY, frame: str = "f
     The last frame per entity is a map-side combined maximum joined back, so no window ever holds
     an entity's frames. Occupancy does not need this column, see ``time_in_zone``.
     """
-    top = df.groupBy(*entity).agg(F.max(frame).alias("max_frame"))
+    top = small_side(df.groupBy(*entity).agg(F.max(frame).alias("max_frame")), 1_000_000)
     l, r = df.alias("l"), top.alias("r")
     on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in entity]
     lag = F.when(F.col(frame) != 0, F.try_divide(F.lit(float(trial_s)), F.col("max_frame")))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.functions.pvalues import normal_quantile, normal_upper, signed_rank_p, t_p_value, z_p_value
-from shoalspark.operators.ranks import average_rank, same_keys, value_ranks
-from shoalspark.staging import small_side
+from shoalspark.operators.ranks import average_rank, expanded, same_keys, value_ranks
+from shoalspark.staging import small_side, stage
 
-SHAPIRO_MAX = 5000
+#: the published range of the p-value; W itself has no upper bound
+SHAPIRO_PUBLISHED = 5000
 
 
 def paired_t(pairs: DataFrame, keys: Sequence[str] = (), diff: str = "diff") -> DataFrame:
@@ -43,7 +44,7 @@ def welch_t(df: DataFrame, group: str, levels: tuple[str, str], value: str = "di
     return out.withColumn("p", t_p_value("t", "df"))
 
 
-def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), diff: str = "diff", buckets: int = 32) -> DataFrame:
+def signed_rank(pairs: DataFrame, keys: Sequence[str] = (), diff: str = "diff", buckets: int | None = None) -> DataFrame:
     """Paired Wilcoxon test: V, z and two-sided p.
 
     Zero differences are dropped. Equal sizes are merged before ranking and the ranks are counted
@@ -93,24 +94,26 @@ def _poly(coef, x):
 
 
 def shapiro(df: DataFrame, keys: Sequence[str] = (), value: str = "diff") -> DataFrame:
-    """Shapiro-Wilk W and p (Royston's approximation) for 3 to 5000 values that are not all equal.
+    """Shapiro-Wilk W and p (Royston's approximation) for three or more values that are not all equal.
 
-    Outside that range the statistic is undefined and null; such groups are left out before any
-    row is ordered, which bounds what a task sorts.
+    Every size is computed the same way: equal values are merged and ranked in value ranges, and the normal
+    scores of each run are added up, so no task holds a group. ``extrapolated`` tells that n is beyond the
+    range the p-value was published for.
     """
+    if not keys:
+        return shapiro(df.withColumn("__all", F.lit(0)), ["__all"], value).drop("__all")
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("__lo"),
-                                  F.max(value).alias("__hi"), F.avg(value).alias("__mean"))
-    usable = sizes.where(F.col("n").between(3, SHAPIRO_MAX) & (F.col("__lo") < F.col("__hi")))
-    usable = (small_side(usable) if keys else usable).alias("s")
-    inner = rows.alias("r").join(usable, same_keys("r", "s", keys)) \
-        .select(*[f"r.{k}" for k in keys], (F.col("r.x") - F.col("s.__mean")).alias("x"), F.col("s.n").alias("n"))
-    order = Window.partitionBy(*keys).orderBy("x")
+    sizes = stage(df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("__lo"),
+                                        F.max(value).alias("__hi"), F.avg(value).alias("__mean")))
+    usable = small_side(sizes.where((F.col("n") >= 3) & (F.col("__lo") < F.col("__hi"))).select(*keys, "__mean"))
+    points = expanded(value_ranks(rows, keys, "x"), keys, "x")
+    n = F.col("total").cast("double")
+    inner = points.alias("r").join(usable.alias("s"), same_keys("r", "s", keys)) \
+        .select(*[f"r.{k}" for k in keys], (F.col("r.x") - F.col("s.__mean")).alias("x"), F.col("r.total").alias("n"),
+                F.col("r.__i").alias("i"), normal_quantile((F.col("r.__i") - 0.375) / (n + 0.25)).alias("m"))
     n = F.col("n").cast("double")
-    ranked = inner.withColumn("i", F.row_number().over(order)) \
-        .withColumn("m", normal_quantile((F.col("i") - 0.375) / (n + 0.25)))
     x, m, i = F.col("x"), F.col("m"), F.col("i")
-    sums = ranked.groupBy(*keys, "n").agg(
+    sums = inner.groupBy(*keys, "n").agg(
         F.sum(m * m).alias("mm"), F.sum(m * x).alias("mx"), F.sum(x * x).alias("xx"),
         *[F.max(F.when(i == F.lit(k), x)).alias(f"lo{k}") for k in (1, 2)],
         *[F.max(F.when(i == F.col("n") + 1 - k, x)).alias(f"hi{k}") for k in (1, 2)],
@@ -141,17 +144,12 @@ def shapiro(df: DataFrame, keys: Sequence[str] = (), value: str = "diff") -> Dat
     stat = stat.withColumn("__z", F.when(F.col("n") > 3, z))
     p = F.when(F.col("n") == 3, p3).when(beyond, F.lit(1e-99)).otherwise(normal_upper("__z"))
     stat = stat.select(*keys, "w", p.alias("p"))
-    if not keys:
-        return sizes.select("n").withColumns({"w": stat.select("w").scalar(), "p": stat.select("p").scalar()})
     return sizes.alias("s").join(stat.alias("t"), same_keys("s", "t", keys), "left") \
-        .select(*[f"s.{k}" for k in keys], "s.n", "t.w", "t.p")
+        .select(*[f"s.{k}" for k in keys], "s.n", "t.w", "t.p", (F.col("s.n") > SHAPIRO_PUBLISHED).alias("extrapolated"))
 
 
 def gated_test(pairs: DataFrame, keys: Sequence[str], diff: str = "diff", alpha: float = 0.05) -> DataFrame:
-    """Paired t where the differences look normal, else signed rank, chosen per key.
-
-    A key too large for the normality test takes the rank test, which needs no normality.
-    """
+    """Paired t where the differences look normal, else signed rank, chosen per key by the same rule at every size."""
     sw = shapiro(pairs, keys, diff).select(*keys, F.col("p").alias("shapiro_p"))
     tt = paired_t(pairs, keys, diff).select(*keys, "n", F.col("p").alias("t_p"))
     sr = signed_rank(pairs, keys, diff).select(*keys, F.col("p").alias("rank_p"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalspark.functions.expr import number
+from shoalspark.operators.ranks import same_keys
 
 
 def exclude(df: DataFrame, col: str, values: Sequence) -> DataFrame:
@@ -54,8 +55,9 @@ def duplicates(df: DataFrame, key: Sequence[str] = ("fish", "treatment", "frame"
 
 
 def duplicate_rows(df: DataFrame, key: Sequence[str] = ("fish", "treatment", "frame")) -> DataFrame:
-    """The full rows behind ``duplicates``; a key with a null part never matches."""
-    return df.join(duplicates(df, key).drop("rows"), list(key), "left_semi")
+    """The full rows behind ``duplicates``; null parts of a key are equal to each other, as there."""
+    again = duplicates(df, key).drop("rows")
+    return df.alias("l").join(again.alias("r"), same_keys("l", "r", key), "left_semi")
 
 
 def unknown_levels(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:

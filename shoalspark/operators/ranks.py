@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions.pvalues import normal_quantile
-from shoalspark.staging import small_side
+from shoalspark.staging import small_side, stage
 
 
 def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
@@ -18,23 +18,28 @@ def same_keys(a: str, b: str, keys: Sequence[str]) -> Column:
                   F.lit(True))
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 32,
-                sums: Mapping[str, Column] | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None,
+                sums: Mapping[str, Column] | None = None, weight: str | None = None,
+                range_rows: int = 1_000_000) -> DataFrame:
     """One row per (keys, distinct value): ``n`` copies, ``before`` smaller rows, ``total`` rows.
 
-    Copies are combined before the shuffle. Each key's values are then cut into ``buckets`` value
-    ranges at approximate quantiles; ranks are counted inside a range and shifted by the size of
-    the lower ranges. The cuts decide only where the work runs, the ranks are exact. Pass a staged
-    table: it is read twice.
+    Copies (or ``weight``) are combined before the shuffle and the combined table is staged. Each key's values
+    are then cut into value ranges at approximate quantiles, as many as keep the largest key at about
+    ``range_rows`` values per range; ranks are counted inside a range and shifted by the size of the lower
+    ranges. The cuts decide only where the work runs, the ranks are exact.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull())
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, probs, 10_000).alias("__cuts"))
     extra = [c.alias(name) for name, c in (sums or {}).items()]
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), *extra)
+    n = F.sum(weight) if weight else F.count("*")
+    counts = stage(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"), *extra))
+    if buckets is None:
+        per = counts.groupBy(*keys).agg(F.count("*").alias("__d")) if keys else counts.agg(F.count("*").alias("__d"))
+        largest = per.agg(F.max("__d")).first()[0] or 0
+        buckets = min(8192, max(8, -(-largest // range_rows)))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, probs, max(10_000, 20 * buckets)).alias("__cuts"))
     placed = counts.alias("a").join(small_side(cuts).alias("b"), same_keys("a", "b", keys), "left") if keys else \
-        counts.alias("a").withColumn("__cuts", cuts.scalar())
+        counts.alias("a").withColumn("__cuts", stage(cuts).scalar())
     bucket = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     placed = placed.withColumn("__bucket", bucket).select("a.*", "__bucket") if keys else \
         placed.withColumn("__bucket", bucket).drop("__cuts")
@@ -59,91 +64,87 @@ def average_rank() -> Column:
     return F.col("before") + (F.col("n") + 1) / F.lit(2.0)
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                    hot_rows: int = 1_000_000) -> DataFrame:
+def narrow_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of groups that are small by construction, such as one entity's second."""
+    rows = df.select(*keys, F.col(value).cast("double").alias(value))
+    return rows.groupBy(*keys).agg(F.percentile(value, [float(p) for p in probs]).alias("quantiles"))
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles by key as the array ``quantiles`` (null for an empty group).
 
-    Group sizes are checked first, with one combined count over the key columns. Groups up to
-    ``hot_rows`` rows use the built-in percentile. Larger ones, at most rows / hot_rows of them, so
-    their keys can be broadcast, are solved by selection: a mergeable sketch brackets each wanted
-    order statistic, and only the rows inside the bracket are shuffled and ranked.
+    Two passes over the rows, whatever the group sizes. The first takes each key's count with a mergeable
+    sketch, which brackets every wanted order statistic. The second counts the rows below each bracket and the
+    copies of each value inside it, both combined before the shuffle; only the values inside are ranked.
     """
     keys = list(keys)
-    probs = [float(p) for p in probs]
     rows = df.select(*keys, F.col(value).cast("double").alias(value))
     if not keys:
         keyed = rows.withColumn("__all", F.lit(0))
-        return group_quantiles(keyed, ["__all"], value, probs, hot_rows).drop("__all")
-    exact = F.percentile(value, probs).alias("quantiles")
-    hot = rows.groupBy(*keys).agg(F.count(value).alias("__rows")).where(F.col("__rows") > hot_rows)
-    if hot.isEmpty():
-        return rows.groupBy(*keys).agg(exact)
-    hot = F.broadcast(hot).alias("h")
-    on = same_keys("r", "h", keys)
-    small = rows.alias("r").join(hot, on, "left_anti").groupBy(*keys).agg(exact)
-    large = rows.alias("r").join(hot, on, "left_semi").where(F.col(value).isNotNull())
-    return small.unionByName(_selected(large, keys, value, probs, hot_rows))
-
-
-def _selected(rows: DataFrame, keys: list[str], value: str, probs: list[float], more_than: int) -> DataFrame:
-    """Quantiles of few, very large groups, each of more than ``more_than`` rows."""
+        return group_quantiles(keyed, ["__all"], value, probs).drop("__all")
+    probs = [float(p) for p in probs]
     accuracy = 10_000
-    # the sketch is off by at most n / accuracy ranks; two ranks more cover both neighbours
-    slack = 2.0 / accuracy + 2.0 / more_than
+    # the sketch is off by at most n / accuracy ranks, and both neighbours must lie inside
+    slack = 4.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
-        F.percentile_approx(value, low + high, accuracy).alias("__q"))
     k = len(probs)
+    sketch = stage(rows.groupBy(*keys).agg(
+        F.count(value).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
+        F.percentile_approx(value, low + high, accuracy).alias("__q")))
+    # a small group is bracketed whole: one rank may be more than the slack
+    whole = F.col("__n") <= accuracy
     brackets = F.array(*[
         F.struct(F.lit(i).alias("i"),
-                 (F.col("__min") if low[i] == 0.0 else F.col("__q")[i]).alias("lo"),
-                 (F.col("__max") if high[i] == 1.0 else F.col("__q")[k + i]).alias("hi"))
+                 F.when(whole | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.col("__q")[i]).alias("lo"),
+                 F.when(whole | F.lit(high[i] == 1.0), F.col("__max")).otherwise(F.col("__q")[k + i]).alias("hi"))
         for i in range(k)])
-    sketch = F.broadcast(sketch.select(*keys, "__n", brackets.alias("__b"))).alias("s")
-    tagged = rows.alias("r").join(sketch, same_keys("r", "s", keys)) \
-        .select(*[f"r.{c}" for c in keys], f"r.{value}", "__n", "__b")
+    bounds = small_side(sketch.select(*keys, brackets.alias("__b")))
     v = F.col(value)
-    below = tagged.groupBy(*keys).agg(
-        F.first("__n").alias("__n"),
-        F.array(*[F.count_if(v < F.col("__b")[i]["lo"]) for i in range(k)]).alias("__below"))
-    inside = tagged.select(*keys, value, F.explode(F.filter(
-        "__b", lambda b: (v >= b["lo"]) & (v <= b["hi"]))).alias("b")) \
-        .select(*keys, value, F.col("b.i").alias("__i"))
-    ranked = value_ranks(inside, [*keys, "__i"], value)
-    joined = ranked.alias("a").join(F.broadcast(below).alias("t"), same_keys("a", "t", keys))
-    first = F.col("before") + F.col("__below")[F.col("__i")] + 1
-    last = first + F.col("n") - 1
-    h = (F.col("__n") - 1) * F.array(*[F.lit(p) for p in probs])[F.col("__i")] + 1
+    tagged = rows.alias("r").join(bounds.alias("s"), same_keys("r", "s", keys)).where(v.isNotNull()) \
+        .select(*[f"r.{c}" for c in keys], f"r.{value}", F.explode(F.filter("__b", lambda b: v <= b["hi"])).alias("b")) \
+        .select(*keys, F.col("b.i").alias("__i"), F.when(v >= F.col("b.lo"), v).alias(value))
+    counted = stage(tagged.groupBy(*keys, "__i", value).agg(F.count("*").alias("__copies")))
+    below = counted.where(v.isNull()).select(*keys, "__i", F.col("__copies").alias("__below"))
+    ranked = value_ranks(counted, [*keys, "__i"], value, weight="__copies")
+    joined = ranked.alias("a").join(small_side(below).alias("t"), same_keys("a", "t", [*keys, "__i"]), "left") \
+        .join(small_side(sketch.select(*keys, "__n")).alias("c"), same_keys("a", "c", keys))
+    first = F.col("before") + F.coalesce(F.col("__below"), F.lit(0)) + 1
+    last = first + F.col("a.n") - 1
+    h = (F.col("__n") - 1) * F.array(*[F.lit(p) for p in probs])[F.col("a.__i")] + 1
     lo_rank, hi_rank = F.floor(h), F.least(F.floor(h) + 1, F.col("__n"))
     stat = joined.select(*[f"a.{c}" for c in keys], "a.__i", (h - F.floor(h)).alias("__w"),
-                         F.when(lo_rank.between(first, last), v).alias("__lo"),
-                         F.when(hi_rank.between(first, last), v).alias("__hi"))
+                         F.when(lo_rank.between(first, last), F.col(f"a.{value}")).alias("__lo"),
+                         F.when(hi_rank.between(first, last), F.col(f"a.{value}")).alias("__hi"))
     per = stat.groupBy(*keys, "__i").agg(F.max("__w").alias("w"), F.max("__lo").alias("lo"),
                                          F.max("__hi").alias("hi"))
-    per = per.withColumn("lo", F.when(F.col("lo").isNotNull(), F.col("lo")).otherwise(
+    lost = F.col("lo").isNull() | ((F.col("w") > 0) & F.col("hi").isNull())
+    per = per.withColumn("lo", F.when(~lost, F.col("lo")).otherwise(
         F.raise_error("order statistic outside its bracket").cast("double")))
     q = F.when(F.col("w") == 0, F.col("lo")).otherwise(F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo")))
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))).alias("p"))
-    return packed.select(*keys, F.transform("p", lambda s: s["q"]).alias("quantiles"))
+    found = packed.select(*keys, F.transform("p", lambda s: s["q"]).alias("quantiles"))
+    return sketch.select(*keys).alias("k").join(found.alias("f"), same_keys("k", "f", keys), "left") \
+        .select(*[f"k.{c}" for c in keys], "f.quantiles")
 
 
-def qq_points(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+def expanded(ranked: DataFrame, keys: Sequence[str], value: str, slice_rows: int = 65_536) -> DataFrame:
+    """``value_ranks`` rows with one row per position ``__i``; long runs of a value are spread in slices."""
+    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(slice_rows).cast("bigint")))
+    slices = ranked.withColumn("__s", start).repartition(*keys, value, "__s")
+    stop = F.least(F.col("__s") + slice_rows, F.col("n")) - 1
+    return slices.withColumn("__i", F.explode(F.sequence("__s", stop))) \
+        .withColumn("__i", F.col("__i") + F.col("before") + 1)
+
+
+def qq_points(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Sample against standard normal quantiles, one point per row.
 
     Plotting positions follow the usual ``(i - a) / (n + 1 - 2a)`` with a = 3/8 up to ten rows,
     else 1/2. Runs of equal values are expanded in slices, so a value with very many copies is
     spread over tasks.
     """
-    slice_rows = 65_536
-    ranked = value_ranks(df, keys, value, buckets)
-    start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(slice_rows).cast("bigint")))
-    slices = ranked.withColumn("__s", start)
-    big = slices.repartition(*keys, value, "__s")
-    stop = F.least(F.col("__s") + slice_rows, F.col("n")) - 1
-    points = big.withColumn("__i", F.explode(F.sequence("__s", stop))) \
-        .withColumn("__i", F.col("__i") + F.col("before") + 1)
+    points = expanded(value_ranks(df, keys, value, buckets), keys, value)
     a = F.when(F.col("total") <= 10, 0.375).otherwise(0.5)
     p = (F.col("__i") - a) / (F.col("total") + 1 - 2 * a)
     return points.select(*keys, F.col("__i").alias("rank"), normal_quantile(p).alias("theoretical"),

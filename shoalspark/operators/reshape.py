@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -28,12 +29,19 @@ def compartment_long(df: DataFrame, keys: Sequence[str] = ("fish", "treatment",
 
 
 def pair(df: DataFrame, entity: Sequence[str], value: str, part: str = "part", minus: str = "After") -> DataFrame:
-    """One row per entity with ``Before``, ``After`` and ``diff`` = the other part minus ``minus``."""
-    wide = df.groupBy(*entity).pivot(part, list(PARTS)).agg(F.first(value, ignorenulls=True))
+    """One row per entity with ``Before``, ``After`` and ``diff`` = the other part minus ``minus``.
+
+    Two values of one entity and part are an error: none of them is the value of the pair.
+    """
+    own = {p: F.when(F.col(part) == p, F.col(value)) for p in PARTS}
+    both = df.groupBy(*entity).agg(*[f(c).alias(f"__{f.__name__}_{p}") for p, c in own.items() for f in (F.count, F.max)])
+    twice = F.raise_error(F.concat(F.lit("several values of one part for "), F.to_json(F.struct(*entity)))).cast(dict(df.dtypes)[value])
+    wide = both.select(*entity, *[F.when(F.col(f"__count_{p}") > 1, twice).otherwise(F.col(f"__max_{p}")).alias(p) for p in PARTS])
     other = PARTS[0] if minus == PARTS[1] else PARTS[1]
     return wide.withColumn("diff", F.col(other) - F.col(minus))
 
 
+# fixed values: the output labels of the study
 def change_summary(pairs: DataFrame, keys: Sequence[str], up: str = "augmentation", down: str = "baisse") -> DataFrame:
     """Mean difference per key and the direction it goes."""
     out = pairs.groupBy(*keys).agg(F.avg("diff").alias("mean_diff"))
@@ -49,16 +57,17 @@ def paired_text(pairs: DataFrame, diff_label: str = "Baisse") -> DataFrame:
                        for name, (label, c) in cols.items()])
 
 
-def center(df: DataFrame, col: str, by: Sequence[str], name: str | None = None) -> DataFrame:
-    """``col`` minus its group mean.
+def center(df: DataFrame, col: str, by: Sequence[str], name: str | None = None, mean: str | None = None) -> DataFrame:
+    """``col`` minus its group mean, which is kept as column ``mean`` if that is named.
 
     The means are a combined aggregate joined back, broadcast when they are few: groups may be as
     large as half the table, so neither a window nor a shuffle join should gather them.
     """
     means = small_side(df.groupBy(*by).agg(F.avg(col).alias("__mean")))
     on = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by])
+    kept = [F.col("r.__mean").alias(mean)] if mean else []
     return df.alias("l").join(means.alias("r"), on, "left") \
-        .select("l.*", (F.col(f"l.{col}") - F.col("r.__mean")).alias(name or f"{col}_centered"))
+        .select("l.*", (F.col(f"l.{col}") - F.col("r.__mean")).alias(name or f"{col}_centered"), *kept)
 
 
 def add_lookup(df: DataFrame, lookup: Mapping[str, float], on: str, name: str) -> DataFrame:
@@ -70,15 +79,19 @@ def add_lookup(df: DataFrame, lookup: Mapping[str, float], on: str, name: str) -
 
 def real_minute(df: DataFrame, minute: str = "minute_centered", mean: str = "mean_minute",
                 ceil: bool = False, name: str = "minute") -> DataFrame:
-    """Minute on the session clock from the centred one."""
+    """Minute on the session clock from the centred one.
+
+    Rounding up first drops float noise, which could lift a whole minute to the next.
+    """
     m = F.col(minute) + F.col(mean)
-    return df.withColumn(name, F.ceil(m) if ceil else m)
+    return df.withColumn(name, F.ceil(F.round(m, 9)) if ceil else m)
 
 
 def tidy_param_names(df: DataFrame, col: str = "name", names: Sequence[str] = ("variable", "state"),
-                     strip: str = r"n_cuex\.|\.\(Intercept\)") -> DataFrame:
-    """``n_cuex.shape1.state1.(Intercept)`` to its parts, blanks removed."""
-    text = F.regexp_replace(F.regexp_replace(F.col(col), strip, ""), " ", "")
+                     observation: str = "n_cuex") -> DataFrame:
+    """``observation.shape1.state1.(Intercept)`` to its parts, blanks removed."""
+    around = "|".join([re.escape(f"{observation}."), re.escape(".(Intercept)")])
+    text = F.regexp_replace(F.regexp_replace(F.col(col), around, ""), " ", "")
     parts = F.split(text, r"\.")
     rest = [c for c in df.columns if c != col]
     return df.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)], *rest)

@@ -38,11 +38,10 @@ def with_bands(df: DataFrame, avg: str = "avg", widths: Sequence[str] = ("sd", "
     return df.withColumns(ends)
 
 
-def median_qi(df: DataFrame, keys: Sequence[str], value: str, width: float = 0.95,
-              hot_rows: int = 1_000_000) -> DataFrame:
+def median_qi(df: DataFrame, keys: Sequence[str], value: str, width: float = 0.95) -> DataFrame:
     """Median and central interval by key, with linear interpolation between order statistics."""
     probs = [0.5, (1 - width) / 2, 1 - (1 - width) / 2]
-    q = group_quantiles(df, keys, value, probs, hot_rows=hot_rows)
+    q = group_quantiles(df, keys, value, probs)
     return q.select(*keys, F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("lower"),
                     F.col("quantiles")[2].alias("upper"))
 
@@ -62,13 +61,12 @@ def moment_columns(value: str | Column, unbiased: bool = True) -> list[Column]:
             skew.alias("skewness"), kurt.alias("kurtosis")]
 
 
-def moments(df: DataFrame, value: str, keys: Sequence[str] = (), unbiased: bool = True,
-            hot_rows: int = 1_000_000) -> DataFrame:
+def moments(df: DataFrame, value: str, keys: Sequence[str] = (), unbiased: bool = True) -> DataFrame:
     """Shape description: range, median and the first four moments."""
     v = F.col(value)
     base = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"),
                                  *moment_columns(v, unbiased))
-    med = group_quantiles(df, keys, value, [0.5], hot_rows=hot_rows)
+    med = group_quantiles(df, keys, value, [0.5])
     if not keys:
         # two one-row tables
         return base.withColumn("median", med.select(F.col("quantiles")[0]).scalar())
@@ -146,7 +144,7 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
     """Counts in ``bins`` equal bins over [low, high]; bounds default to the observed range.
 
     Bins are closed on the right and the first one on both sides; a value within 1e-7 bin widths
-    of an edge counts as lying on it. Empty bins are absent, values outside are left out.
+    of an edge counts as lying on it. Empty bins are absent; a value outside is an error.
     """
     v = F.col(value)
     if low is None or high is None:
@@ -158,7 +156,9 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
     width = (hi - lo) / bins
     fuzz = 1e-7
     index = F.coalesce(F.ceil(F.try_divide(v - lo, width) - fuzz), F.lit(1))
-    binned = df.where(v.isNotNull() & (v >= lo - fuzz * width) & (v <= hi + fuzz * width)) \
+    outside = F.raise_error(F.concat(F.lit("value outside the bins: "), v.cast("string"))).cast("bigint")
+    index = F.when((v < lo - fuzz * width) | (v > hi + fuzz * width), outside).otherwise(index)
+    binned = df.where(v.isNotNull()) \
         .select(*keys, F.least(F.greatest(index, F.lit(1)), F.lit(bins)).cast("int").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("count"))
     return counts.select(*keys, "bin", (lo + (F.col("bin") - 1) * width).alias("low"),

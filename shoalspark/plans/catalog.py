@@ -19,9 +19,9 @@ from shoalspark.operators import ranks as R
 from shoalspark.operators import reshape as RS
 from shoalspark.operators import summary as SM
 from shoalspark.shipping import ship_package
-from shoalspark.sources.io import read_table, with_file_metadata, write_table
+from shoalspark.sources.io import read_frames, read_table, with_file_metadata, write_table
 from shoalspark.sources.tables import events_as_frames
-from shoalspark.staging import checkpoint_dir, stage
+from shoalspark.staging import run_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -318,9 +318,9 @@ def centered_minute(spark, sf_dir):
 
 @query
 def real_minute_lookup(spark, sf_dir):
-    """Half-minute steps around the part mean, put back on the session clock."""
-    df = centered_minute(spark, sf_dir)
-    df = RS.add_lookup(df.drop("minute"), {"Before": 5.5, "After": 15.5}, "part", "mean_minute")
+    """Steps around the part mean of the data, put back on the session clock."""
+    df = speed_minute_table(spark, sf_dir).select(*FISH, "part", "minute", "m1")
+    df = RS.center(df, "minute", ["part"], mean="mean_minute").drop("minute")
     return RS.real_minute(df, ceil=True).groupBy("part", "treatment", "minute").agg(
         F.count("*").alias("rows"), F.avg("minute_centered").alias("minute_centered"))
 
@@ -340,13 +340,42 @@ def covariate_grid(spark, sf_dir):
 def speed_table_handoff(spark, sf_dir):
     """Speed per fish and minute written as one CSV per study, read back and stacked."""
     table = stage(speed_minute_table(spark, sf_dir))
-    folder = f"{checkpoint_dir(spark)}/handoff-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/handoff-{uuid.uuid4().hex}"
     for name, rows in {"cue": table.where("treatment <> 'menthe'"), "mint": table.where("treatment = 'menthe'")}.items():
         write_table(rows, f"{folder}/{name}", "csv")
     back = [read_table(spark, f"{folder}/{name}", table.schema) for name in ("cue", "mint")]
     return E.with_key(back[0].unionByName(back[1]), FISH, "fish_id")
 
 
+@query
+def cohort_folders(spark, sf_dir):
+    """Raw frames of two cohorts as folders of CSV files, one without a speed column, read back as one table."""
+    raw = events_as_frames(spark, sf_dir)
+    folder = f"{run_folder(spark)}/folders-{uuid.uuid4().hex}"
+    write_table(raw.where("treatment <> 'menthe'"), f"{folder}/cue", "csv")
+    write_table(raw.where("treatment = 'menthe'").drop("speed_mm_per_sec"), f"{folder}/mint", "csv")
+    df = E.enrich(read_frames(spark, [f"{folder}/cue", f"{folder}/mint"]))
+    return df.groupBy("treatment", "part").agg(
+        F.count("*").alias("rows"), F.count("cue_x").alias("tracked"), F.count("speed_mm_per_sec").alias("with_speed"),
+        F.avg("cue_x").alias("cue_x"))
+
+
+@query
+def columnar_table(spark, sf_dir):
+    """A result table through a columnar file instead of CSV."""
+    table = stage(speed_minute_table(spark, sf_dir))
+    path = f"{run_folder(spark)}/columnar-{uuid.uuid4().hex}"
+    write_table(table, path, "orc")
+    return read_table(spark, path, fmt="orc")
+
+
+@query
+def kept_fish(spark, sf_dir):
+    """Named entities and treatments only."""
+    df = Q.keep(Q.keep(frames(spark, sf_dir), "treatment", ["C8AHL", "menthe"]), "fish", ["1", "3", "4", "13"])
+    return df.groupBy(*FISH).agg(F.count("*").alias("rows"), F.count("cue_x").alias("tracked"))
+
+
 @query
 def marginal_share_interval(spark, sf_dir):
     """Each fish-part's minute shares as numbered draws, joined to the covariate grid, averaged over
@@ -394,6 +423,12 @@ def shapiro(spark, sf_dir):
     return P.shapiro(stage(speed_pairs(spark, sf_dir)), ["treatment"])
 
 
+@query
+def shapiro_minute_share(spark, sf_dir):
+    """Normality of a whole column."""
+    return P.shapiro(stage(cue_minute(spark, sf_dir).select("ratioside")), value="ratioside")
+
+
 @query
 def gated_test(spark, sf_dir):
     return P.gated_test(stage(speed_pairs(spark, sf_dir)), ["treatment"])

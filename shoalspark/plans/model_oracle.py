@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoalspark.plans.oracle import CUE_MINUTE, FRAMES, SPEED, quantile_ctes, t_tail, twin
+from shoalspark.plans.oracle import CUE_MINUTE, CUE_PART, FRAMES, SPEED, quantile_ctes, t_tail, twin
 
 # --- least squares of seconds in the cue on the part
 OLS = CUE_MINUTE + """, two AS (
@@ -72,13 +72,13 @@ twin("lmm_coef_tests", LMM + f""", four AS (
   SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS se, {DF_0} AS df FROM est
   UNION ALL SELECT 'minute_relative', b1, se1, {DF_W} FROM est UNION ALL SELECT 'partAfter', b2, se2, {DF_W} FROM est
   UNION ALL SELECT 'minute_relative:partAfter', b3, se3, {DF_W} FROM est
-)""", f"SELECT term, estimate, se, t, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM four) AS f",
-     "estimate se t p")
+)""", f"SELECT term, estimate, se, CAST(df AS DOUBLE) AS df, t, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM four) AS f",
+     "estimate se df t p")
 twin("lmm_anova", LMM + f""", three AS (
   SELECT 'part' AS term, pow(b2 / se2, 2) AS f, {DF_W} AS df FROM est
   UNION ALL SELECT 'minute_relative', pow(b1 + b3 / 2, 2) / (s2 / (165e0 * g)), {DF_W} FROM est
   UNION ALL SELECT 'minute_relative:part', pow(b3 / se3, 2), {DF_W} FROM est
-)""", f"SELECT term, CAST(1 AS INTEGER) AS df1, f, {t_tail('sqrt(f)', 'df')} AS p FROM three", "f p")
+)""", f"SELECT term, CAST(1 AS INTEGER) AS df1, CAST(df AS DOUBLE) AS df2, f, {t_tail('sqrt(f)', 'df')} AS p FROM three", "df2 f p")
 twin("lmm_r2", LMM,
      """SELECT v / (v + sb + s2) AS r2_marginal, (v + sb) / (v + sb + s2) AS r2_conditional
      FROM vars, (SELECT var_samp(fix) AS v FROM fixed) AS f""", "r2_marginal r2_conditional")
@@ -95,13 +95,52 @@ twin("lmm_residual_histogram", RESID + """, ends AS (
 )""", """SELECT bin, lo + (bin - 1) * w AS low, lo + bin * w AS high, count(*) AS count FROM (
   SELECT CAST(least(30, greatest(1, ceil((resid - lo) / w - 1e-7))) AS INTEGER) AS bin, lo, w FROM resids, ends) AS b
 GROUP BY ALL""", "low high")
+DF_MEAN = ("(CASE WHEN sqrt(theta) < 1e-4 THEN 20 * g - 4 ELSE pow(sb / g + s2 / (10 * g), 2) / (pow((s2 + 20 * sb) / (20 * g), 2)"
+           " / (g - 1) + pow(s2 / (20 * g), 2) / (19 * g - 3)) END)")
 twin("lmm_emmeans", LMM,
-     """SELECT part, icept + 5.5e0 * slope AS emmean, sqrt(sb / g + s2 / (10 * g)) AS se FROM lines, vars""",
-     "emmean se")
+     f"""SELECT part, icept + 5.5e0 * slope AS emmean, sqrt(sb / g + s2 / (10 * g)) AS se, CAST({DF_MEAN} AS DOUBLE) AS df
+     FROM lines, vars""", "emmean se df")
 twin("lmm_contrasts", LMM,
-     f"""SELECT *, p AS p_holm FROM (SELECT * EXCLUDE (df), {t_tail('t', 'df')} AS p FROM (
+     f"""SELECT *, p AS p_bonferroni, p AS p_holm FROM (SELECT * REPLACE (CAST(df AS DOUBLE) AS df), {t_tail('t', 'df')} AS p FROM (
        SELECT 'After - Before' AS contrast, b2 + 5.5e0 * b3 AS estimate, sqrt(s2 / (5 * g)) AS se,
-         (b2 + 5.5e0 * b3) / sqrt(s2 / (5 * g)) AS t, {DF_W} AS df FROM est) AS e) AS f""", "estimate se t p p_holm")
+         (b2 + 5.5e0 * b3) / sqrt(s2 / (5 * g)) AS t, {DF_W} AS df FROM est) AS e) AS f""",
+     "estimate se df t p p_bonferroni p_holm")
+# share ~ part * treatment + (1 | fish): treatments differ between fish, periods within
+TREAT = CUE_MINUTE + """, rel AS (
+  SELECT fish || '_' || treatment AS fish_id, treatment, part, ratioside AS y FROM cue_minute
+), cellm AS (
+  SELECT treatment, part, avg(y) AS mu, count(*) / 10e0 AS k FROM rel GROUP BY ALL
+), e AS (
+  SELECT fish_id, y - mu AS e FROM rel JOIN cellm USING (treatment, part)
+), fm AS (
+  SELECT fish_id, avg(e) AS eb FROM e GROUP BY fish_id
+), ms AS (
+  SELECT (SELECT count(*) FROM fm) AS g, (SELECT 20 * sum(eb * eb) FROM fm) AS ssb,
+    (SELECT sum((e - eb) * (e - eb)) FROM e JOIN fm USING (fish_id)) AS ssw
+), vr AS (
+  SELECT *, CASE WHEN ssb / (g - 3) > ssw / (19 * g - 3) THEN ssw / (19 * g - 3) ELSE (ssw + ssb) / (20 * g - 6) END AS s2,
+    CASE WHEN ssb / (g - 3) > ssw / (19 * g - 3) THEN ssb / (g - 3) ELSE (ssw + ssb) / (20 * g - 6) END AS lb,
+    CASE WHEN ssb / (g - 3) > ssw / (19 * g - 3) THEN g - 3 ELSE 20 * g - 6 END AS dfb,
+    CASE WHEN ssb / (g - 3) > ssw / (19 * g - 3) THEN 19 * g - 3 ELSE 20 * g - 6 END AS dfw FROM ms
+), tm AS (
+  SELECT treatment, avg(mu) AS m, max(mu) FILTER (part = 'After') - max(mu) FILTER (part = 'Before') AS d, max(k) AS k
+  FROM cellm GROUP BY treatment
+)"""
+twin("lmm_share_anova", TREAT, f"""SELECT 'part' AS term, CAST(1 AS INTEGER) AS df1, CAST(dfw AS DOUBLE) AS df2, f, {t_tail('sqrt(f)', 'dfw')} AS p
+  FROM (SELECT dfw, (SELECT pow(avg(d), 2) / sum(s2 / (45 * k)) FROM tm) AS f FROM vr) AS a
+UNION ALL SELECT term, CAST(2 AS INTEGER), CAST(df AS DOUBLE), f, pow(1 + 2 * f / df, -df / 2e0) FROM (
+  SELECT 'treatment' AS term, dfb AS df, (SELECT 10 * (sum(k * m * m) - pow(sum(k * m), 2) / sum(k)) FROM tm) / lb AS f FROM vr
+  UNION ALL SELECT 'part:treatment', dfw, (SELECT 2.5e0 * (sum(k * d * d) - pow(sum(k * d), 2) / sum(k)) FROM tm) / s2 FROM vr) AS b""",
+     "df2 f p")
+twin("lmm_share_contrasts", TREAT + f""", pairs AS (
+  SELECT x.treatment || ' - ' || y.treatment AS contrast, x.m - y.m AS estimate, sqrt(lb / 20 * (1 / x.k + 1 / y.k)) AS se, dfb AS df
+  FROM tm AS x JOIN tm AS y ON x.treatment < y.treatment, vr
+), tested AS (
+  SELECT contrast, estimate, se, CAST(df AS DOUBLE) AS df, estimate / se AS t, {t_tail('(estimate / se)', 'df')} AS p FROM pairs
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY p) AS r FROM tested
+)""", """SELECT contrast, estimate, se, df, t, p, least(1e0, 3 * p) AS p_bonferroni,
+  max(least(1e0, (4 - r) * p)) OVER (ORDER BY r) AS p_holm FROM ordered""", "estimate se df t p p_bonferroni p_holm")
 twin("lmm_predict", LMM,
      """SELECT *, predicted - 1.959963984540054e0 * se AS conf_low, predicted + 1.959963984540054e0 * se AS conf_high
      FROM (SELECT CAST(i AS DOUBLE) AS minute_relative, part, icept + slope * i AS predicted,
@@ -159,52 +198,55 @@ twin("lmm_speed_part", SPEED.replace("clock AS", "RECURSIVE clock AS", 1) + f"""
   b1, sqrt(rss / (n - 2) * a11 / det) AS se1 FROM ({profile('root', 'r')}) AS f""",
      "var_group var_resid criterion b0 se0 b1 se1")
 
-# --- seconds per compartment: four equal cells of ten minutes per fish, so both candidates have closed forms
-COMP = CUE_MINUTE + """, comp AS (
-  SELECT fish || '_' || treatment AS fish_id, part, 'cue' AS side, sum AS y FROM cue_minute
-  UNION ALL SELECT fish || '_' || treatment, part, 'nocue', total_sum - sum FROM cue_minute
+# --- seconds per compartment: four cells per fish, so both candidates have closed forms
+COMP = CUE_PART + """, comp AS (
+  SELECT fish || '_' || treatment AS fish_id, part, 'cue' AS side, sum AS y FROM cue_part
+  UNION ALL SELECT fish || '_' || treatment, part, 'nocue', total_sum - sum FROM cue_part
 )"""
 CUE_PLAIN = COMP + """, fitted AS (
   SELECT fish_id, y - avg(y) OVER (PARTITION BY part, side) AS e4,
     y - avg(y) OVER (PARTITION BY part) - avg(y) OVER (PARTITION BY side) + avg(y) OVER () AS e3 FROM comp
 ), squares AS (
-  SELECT 'time ~ part*fishSide' AS model, 4 AS p, ln(1e4) AS logdet, fish_id, avg(e4) AS b, sum(e4 * e4) AS ss
+  SELECT 'time ~ part*fishSide' AS model, 4 AS p, ln(1e0) AS logdet, fish_id, avg(e4) AS b, sum(e4 * e4) AS ss
   FROM fitted GROUP BY fish_id
-  UNION ALL SELECT 'time ~ part + fishSide', 3, ln(4e3), fish_id, avg(e3), sum(e3 * e3) FROM fitted GROUP BY fish_id
+  UNION ALL SELECT 'time ~ part + fishSide', 3, ln(4e0), fish_id, avg(e3), sum(e3 * e3) FROM fitted GROUP BY fish_id
 ), parts AS (
-  SELECT model, p, logdet, count(*) AS g, 40 * sum(b * b) AS ssb, sum(ss) - 40 * sum(b * b) AS ssw FROM squares GROUP BY ALL
+  SELECT model, p, logdet, count(*) AS g, 4 * sum(b * b) AS ssb, sum(ss) - 4 * sum(b * b) AS ssw FROM squares GROUP BY ALL
 ), ratios AS (
-  SELECT *, greatest(0e0, (ssb / (g - 1) / (ssw / (39 * g - p + 1)) - 1) / 40) AS theta FROM parts
+  SELECT *, greatest(0e0, (ssb / (g - 1) / (ssw / (3 * g - p + 1)) - 1) / 4) AS theta FROM parts
 ), aics AS (
-  SELECT model, (40 * g - p) * (1 + ln(2 * pi() * (ssw + ssb / (1 + 40 * theta)) / (40 * g - p))) + g * ln(1 + 40 * theta)
-    + p * ln(g) + logdet - ln(1 + 40 * theta) + 2 * (p + 2) AS aic,
-    p, g, theta, (ssw + ssb / (1 + 40 * theta)) / (40 * g - p) AS s2 FROM ratios
+  SELECT model, (4 * g - p) * (1 + ln(2 * pi() * (ssw + ssb / (1 + 4 * theta)) / (4 * g - p))) + g * ln(1 + 4 * theta)
+    + p * ln(g) + logdet - ln(1 + 4 * theta) + 2 * (p + 2) AS aic,
+    p, g, theta, (ssw + ssb / (1 + 4 * theta)) / (4 * g - p) AS s2 FROM ratios
 )"""
 twin("cue_percent_prediction", CUE_PLAIN + """, cell_means AS (
   SELECT part, side, avg(y) AS mu FROM comp GROUP BY part, side
 ), cell_se AS (
-  SELECT sqrt(s2 * theta / g + s2 / (10 * g)) AS se FROM aics WHERE p = 4
-)""", """SELECT part, CASE side WHEN 'cue' THEN 'menthe' ELSE 'edm' END AS "fishSide", 100 * mu / 60 AS predicted,
-  100 * (mu - 1.959963984540054e0 * se) / 60 AS conf_low, 100 * (mu + 1.959963984540054e0 * se) / 60 AS conf_high
+  SELECT sqrt(s2 * theta / g + s2 / g) AS se FROM aics WHERE p = 4
+)""", """SELECT part, CASE side WHEN 'cue' THEN 'menthe' ELSE 'edm' END AS "fishSide", 100 * mu / 600 AS predicted,
+  100 * (mu - 1.959963984540054e0 * se) / 600 AS conf_low, 100 * (mu + 1.959963984540054e0 * se) / 600 AS conf_high
 FROM cell_means, cell_se""", "predicted conf_low conf_high")
 twin("lmm_cue_plain", CUE_PLAIN, "SELECT model, aic, aic = min(aic) OVER () AS best FROM aics", "aic")
-# a saturated gamma model with log link fits the cell means; its dispersion is Pearson's
-twin("gamma_glm", COMP + """, pos AS (
-  SELECT part, side, y, avg(y) OVER (PARTITION BY part, side) AS mu FROM comp WHERE y > 0
+# an additive gamma model with log link on four equal cells: working responses are fitted by row and column means
+twin("gamma_glm", COMP.replace("clock AS", "RECURSIVE clock AS", 1) + """, cells AS (
+  SELECT avg(y + 0.5e0) FILTER (part = 'Before' AND side = 'nocue') AS m00, avg(y + 0.5e0) FILTER (part = 'After' AND side = 'nocue') AS m10,
+    avg(y + 0.5e0) FILTER (part = 'Before' AND side = 'cue') AS m01, avg(y + 0.5e0) FILTER (part = 'After' AND side = 'cue') AS m11,
+    count(*) AS n FROM comp
+), steps AS (
+  SELECT 0 AS it, ln((m00 + m10 + m01 + m11) / 4) AS a, 0e0 AS b, 0e0 AS c FROM cells
+  UNION ALL
+  SELECT it + 1, (3 * z00 + z10 + z01 - z11) / 4, (z10 + z11 - z00 - z01) / 2, (z01 + z11 - z00 - z10) / 2 FROM (
+    SELECT it, a + m00 / exp(a) - 1 AS z00, a + b + m10 / exp(a + b) - 1 AS z10, a + c + m01 / exp(a + c) - 1 AS z01,
+      a + b + c + m11 / exp(a + b + c) - 1 AS z11 FROM steps, cells WHERE it < 60) AS z
+), last AS (SELECT a, b, c FROM steps WHERE it = 60
 ), disp AS (
-  SELECT sum(pow((y - mu) / mu, 2)) / (count(*) - 4) AS phi, count(*) - 4 AS df FROM pos
-), cell AS (
-  SELECT max(ln(mu)) FILTER (part = 'Before' AND side = 'nocue') AS m00, 1e0 / count(*) FILTER (part = 'Before' AND side = 'nocue') AS v00,
-    max(ln(mu)) FILTER (part = 'After' AND side = 'nocue') AS m10, 1e0 / count(*) FILTER (part = 'After' AND side = 'nocue') AS v10,
-    max(ln(mu)) FILTER (part = 'Before' AND side = 'cue') AS m01, 1e0 / count(*) FILTER (part = 'Before' AND side = 'cue') AS v01,
-    max(ln(mu)) FILTER (part = 'After' AND side = 'cue') AS m11, 1e0 / count(*) FILTER (part = 'After' AND side = 'cue') AS v11
-  FROM pos
+  SELECT sum(pow((y + 0.5e0) / exp(a + CASE part WHEN 'After' THEN b ELSE 0 END + CASE side WHEN 'cue' THEN c ELSE 0 END) - 1, 2))
+    / (count(*) - 3) AS phi, count(*) AS n FROM comp, last
 ), gcoef AS (
-  SELECT '(Intercept)' AS term, m00 AS estimate, sqrt(phi * v00) AS se, df FROM cell, disp
-  UNION ALL SELECT 'partAfter', m10 - m00, sqrt(phi * (v00 + v10)), df FROM cell, disp
-  UNION ALL SELECT 'fishSidecue', m01 - m00, sqrt(phi * (v00 + v01)), df FROM cell, disp
-  UNION ALL SELECT 'partAfter:fishSidecue', m11 - m10 - m01 + m00, sqrt(phi * (v00 + v10 + v01 + v11)), df FROM cell, disp
-)""", f"SELECT term, estimate, se, t, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM gcoef) AS g",
+  SELECT '(Intercept)' AS term, a AS estimate, sqrt(3 * phi / n) AS se, n FROM last, disp
+  UNION ALL SELECT 'partAfter', b, sqrt(4 * phi / n), n FROM last, disp
+  UNION ALL SELECT 'fishSidecue', c, sqrt(4 * phi / n), n FROM last, disp
+)""", f"SELECT term, estimate, se, t, {t_tail('t', '(n - 3)')} AS p, n FROM (SELECT *, estimate / se AS t FROM gcoef) AS g",
      "estimate se t p")
 
 # --- hidden Markov model

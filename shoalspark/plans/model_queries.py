@@ -14,9 +14,9 @@ from shoalspark.models.ols import ols
 from shoalspark.operators import enrich as E
 from shoalspark.operators import reshape as RS
 from shoalspark.operators import summary as SM
-from shoalspark.plans.catalog import FISH, cue_minute, frames, query, speed_minute_table
+from shoalspark.plans.catalog import FISH, cue_minute, cue_part, frames, query, speed_minute_table
 from shoalspark.sources.tables import TREATMENTS, load
-from shoalspark.staging import stage
+from shoalspark.staging import small_side, stage
 
 LEVELS = {"part": list(E.PARTS), "treatment": list(TREATMENTS), "fishSide": ["nocue", "cue"]}
 
@@ -29,7 +29,13 @@ SPEED_CANDIDATES = [
     "m1 ~ part + minute_centered + treatment",
 ]
 ONE_TREATMENT_CANDIDATES = ["m1 ~ part*minute_centered", "m1 ~ part + minute_centered"]
-CUE_CANDIDATES = [c.replace("m1", "time").replace("treatment", "fishSide") for c in SPEED_CANDIDATES]
+CUE_CANDIDATES = [
+    "time ~ part*fishSide*minute_centered",
+    "time ~ part*fishSide + minute_centered",
+    "time ~ part + fishSide*minute_centered",
+    "time ~ part*minute_centered + fishSide",
+    "time ~ part + minute_centered + fishSide",
+]
 PLAIN_CUE_CANDIDATES = ["time ~ part*fishSide", "time ~ part + fishSide"]
 
 
@@ -55,6 +61,12 @@ def compartment_rows(spark, sf_dir):
     return RS.center(df, "minute", ["part"])
 
 
+def part_compartments(spark, sf_dir):
+    """Seconds per fish, period and compartment."""
+    df = RS.compartment_long(cue_part(spark, sf_dir), [*FISH, "part"])
+    return E.with_key(df, FISH, "fish_id").select("fish_id", "treatment", "part", "time", F.col("compartment").alias("fishSide"))
+
+
 def share_fit(spark, sf_dir):
     df = share_rows(spark, sf_dir)
     return df, lmm(df, "ratioside ~ minute_relative*part", "fish_id", levels=LEVELS)
@@ -93,7 +105,7 @@ def lmm_fit(spark, sf_dir):
 
 @query
 def lmm_coef_tests(spark, sf_dir):
-    return share_fit(spark, sf_dir)[1].coef().drop("df")
+    return share_fit(spark, sf_dir)[1].coef()
 
 
 @query
@@ -103,7 +115,7 @@ def lmm_variance(spark, sf_dir):
 
 @query
 def lmm_anova(spark, sf_dir):
-    return share_fit(spark, sf_dir)[1].anova().select("term", "df1", "f", "p")
+    return share_fit(spark, sf_dir)[1].anova()
 
 
 @query
@@ -136,13 +148,29 @@ def lmm_residual_qq(spark, sf_dir):
 
 @query
 def lmm_emmeans(spark, sf_dir):
-    return share_fit(spark, sf_dir)[1].emmeans(["part"]).select("part", "emmean", "se")
+    return share_fit(spark, sf_dir)[1].emmeans(["part"]).select("part", "emmean", "se", "df")
 
 
 @query
 def lmm_contrasts(spark, sf_dir):
     fit = share_fit(spark, sf_dir)[1]
-    return fit.contrasts(["part"], "part", reverse=True).select("contrast", "estimate", "se", "t", "p", "p_holm")
+    return fit.contrasts(["part"], "part", reverse=True).drop("p_tukey")
+
+
+def share_by_treatment(spark, sf_dir):
+    return lmm(share_rows(spark, sf_dir), "ratioside ~ part*treatment", "fish_id", levels=LEVELS)
+
+
+@query
+def lmm_share_anova(spark, sf_dir):
+    """F tests of a within-fish factor, a between-fish factor of three levels and their interaction."""
+    return share_by_treatment(spark, sf_dir).anova()
+
+
+@query
+def lmm_share_contrasts(spark, sf_dir):
+    """All pairs of three treatments."""
+    return share_by_treatment(spark, sf_dir).contrasts(["treatment"], "treatment").drop("p_tukey")
 
 
 @query
@@ -207,11 +235,11 @@ def lmm_speed_contrasts(spark, sf_dir):
 @query
 def lmm_speed_predict(spark, sf_dir):
     """Prediction ribbon of the full model on the session clock."""
-    fit = speed_fits(spark, sf_dir, SPEED_CANDIDATES[:1])[1][0]
+    df, (fit,) = speed_fits(spark, sf_dir, SPEED_CANDIDATES[:1])
     grid = fit.grid({"minute_centered": [-4.5 + i for i in range(10)], "treatment": LEVELS["treatment"],
                      "part": LEVELS["part"]})
-    scored = RS.add_lookup(fit.predict(grid), {"Before": 5.5, "After": 15.5}, "part", "mean_minute")
-    return RS.real_minute(scored, ceil=True)
+    means = small_side(df.groupBy("part").agg(F.avg("minute").alias("mean_minute")))
+    return RS.real_minute(fit.predict(grid).join(means, "part", "left"), ceil=True)
 
 
 @query
@@ -228,18 +256,18 @@ def lmm_cue_compare(spark, sf_dir):
 
 @query
 def lmm_cue_plain(spark, sf_dir):
-    df = compartment_rows(spark, sf_dir)
+    df = stage(part_compartments(spark, sf_dir))
     return compare_models(lmm_candidates(df, PLAIN_CUE_CANDIDATES, "fish_id", levels=LEVELS))
 
 
 @query
 def cue_percent_prediction(spark, sf_dir):
-    """Predicted seconds per compartment with limits, as percent of a minute under display labels."""
-    df = compartment_rows(spark, sf_dir)
+    """Predicted seconds per compartment with limits, as percent of a period under display labels."""
+    df = stage(part_compartments(spark, sf_dir))
     fit = lmm(df, PLAIN_CUE_CANDIDATES[0], "fish_id", levels=LEVELS)
     out = fit.predict(fit.grid({"part": LEVELS["part"], "fishSide": LEVELS["fishSide"]}))
     for c in ("predicted", "conf_low", "conf_high"):
-        out = E.with_percent(out, c, 60.0, c)
+        out = E.with_percent(out, c, 600.0, c)
     return E.recode(out, "fishSide", {"cue": "menthe", "nocue": "edm"}).select(
         "part", "fishSide", "predicted", "conf_low", "conf_high")
 
@@ -254,7 +282,8 @@ def lmm_lineitem(spark, sf_dir):
 
 @query
 def gamma_glm(spark, sf_dir):
-    return fit_gamma(compartment_rows(spark, sf_dir), "time ~ part*fishSide", levels=LEVELS)
+    """Seconds per fish, period and compartment; the offset keeps a compartment never visited in the model."""
+    return fit_gamma(part_compartments(spark, sf_dir), "time ~ part + fishSide", levels=LEVELS, offset=0.5)
 
 
 # --- hidden Markov model
@@ -273,7 +302,7 @@ def packed(spark, sf_dir):
 def hmm_fit(spark, sf_dir):
     """Transitions by part and treatment without the direct 1-3 and 3-1 moves."""
     return H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part", "treatment"], H.START_NEIGHBOURS,
-                             zeros=[(1, 3), (3, 1)], max_iter=30, tol=1e-7)
+                             zeros=[(1, 3), (3, 1)], max_iter=300, tol=1e-7)
 
 
 def hard_matrices(spark, sf_dir):
@@ -330,7 +359,7 @@ def hmm_transitions(spark, sf_dir):
 
 @query
 def hmm_transitions_by_part(spark, sf_dir):
-    fit = H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part"], max_iter=30, tol=1e-7)
+    fit = H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part"], max_iter=300, tol=1e-7)
     return H.tpm_long(fit.transitions(), ["part"])
 
 
@@ -350,7 +379,9 @@ def hmm_decoded_share(spark, sf_dir):
     """Seconds decoded in each state, by part and treatment, under the fitted matrices."""
     fit = hmm_fit(spark, sf_dir)
     path = H.viterbi(fit.seqs, fit.entity, fit.tpm, fit.strata)
-    return path.join(fit.rows.select(*FISH, "time", "part"), [*FISH, "time"]).groupBy("part", "treatment", "state").agg(F.count("*").alias("seconds"))
+    seconds = path.groupBy("s", "state").agg(F.count("*").alias("seconds"))
+    labels = {c: F.array(*[F.lit(lv[i]) for lv in fit.strata.levels])[F.col("s")] for i, c in enumerate(fit.strata.cols)}
+    return seconds.select(labels["part"].alias("part"), labels["treatment"].alias("treatment"), "state", "seconds")
 
 
 @query

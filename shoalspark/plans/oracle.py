@@ -247,9 +247,7 @@ CENTERED = SPEED + """, centered AS (
 )"""
 twin("centered_minute", CENTERED, "SELECT * FROM centered", "m1 minute_centered")
 twin("real_minute_lookup", CENTERED,
-     """SELECT part, treatment,
-       CAST(ceil(minute_centered + CASE part WHEN 'Before' THEN 5.5e0 ELSE 15.5e0 END) AS BIGINT) AS minute,
-       count(*) AS rows, avg(minute_centered) AS minute_centered FROM centered GROUP BY ALL""", "minute_centered")
+     """SELECT part, treatment, CAST(minute AS BIGINT) AS minute, count(*) AS rows, avg(minute_centered) AS minute_centered FROM centered GROUP BY ALL""", "minute_centered")
 twin("minute_relative", CUE_MINUTE,
      f"""SELECT CAST(minute > 10 AS INTEGER) AS part_ord,
        CASE WHEN minute > 10 THEN minute - 10 ELSE minute END AS minute_relative, {AVG4.format('ratioside')}
@@ -363,7 +361,7 @@ def poly(coef, x: str) -> str:
     return "(" + " + ".join(f"({c}e0) * pow({x}, {i})" for i, c in enumerate(coef)) + ")"
 
 
-# Royston's approximation for more than eleven values; fixed values: the published coefficients
+# Royston's approximation for more than three values; fixed values: the published coefficients
 SHAPIRO = SPEED + """, sw_rows AS (
   SELECT treatment, diff - avg(diff) OVER (PARTITION BY treatment) AS x,
     CAST(row_number() OVER (PARTITION BY treatment ORDER BY diff) AS DOUBLE) AS i,
@@ -376,15 +374,26 @@ SHAPIRO = SPEED + """, sw_rows AS (
   SELECT *, {poly((0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), '(1 / sqrt(n))')} + m1 / sqrt(mm) AS a1,
     {poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), '(1 / sqrt(n))')} + m2 / sqrt(mm) AS a2 FROM sw_sums
 ), sw_w AS (
-  SELECT treatment, n, pow(a1 * e1 + a2 * e2 + (mx - m1 * e1 - m2 * e2)
-    / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / xx AS w FROM sw_ends
+  SELECT treatment, n, pow(CASE WHEN n <= 5 THEN a1 * e1 + (mx - m1 * e1) / sqrt(abs((mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)))
+    ELSE a1 * e1 + a2 * e2 + (mx - m1 * e1 - m2 * e2)
+    / sqrt(abs((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))) END, 2) / xx AS w FROM sw_ends
 ), sw_p AS (
-  SELECT *, (ln(1 - w) - {poly((-1.5861, -0.31082, -0.083751, 0.0038915), 'ln(n)')})
-    / exp({poly((-0.4803, -0.082676, 0.0030302), 'ln(n)')}) AS u FROM sw_w
+  SELECT *, CASE WHEN n <= 11 THEN (-ln({poly((-2.273, 0.459), 'n')} - ln(1 - w)) - {poly((0.544, -0.39978, 0.025054, -0.0006714), 'n')})
+    / exp({poly((1.3822, -0.77857, 0.062767, -0.0020322), 'n')})
+    ELSE (ln(1 - w) - {poly((-1.5861, -0.31082, -0.083751, 0.0038915), 'ln(n)')})
+    / exp({poly((-0.4803, -0.082676, 0.0030302), 'ln(n)')}) END AS u FROM sw_w
 ), sw AS (
   SELECT treatment, n, w, 0.5e0 - sign(u) * (1 - ({z_tail('u')})) / 2 AS p FROM sw_p
 )"""
-twin("shapiro", SHAPIRO, "SELECT * FROM sw", "w p")
+twin("shapiro", SHAPIRO, "SELECT *, n > 5000 AS extrapolated FROM sw", "w p")
+twin("shapiro_minute_share", CUE_MINUTE + SHAPIRO[len(SPEED):].replace(
+    "FROM speed_diff", "FROM (SELECT 'all' AS treatment, ratioside AS diff FROM cue_minute) AS c"),
+     "SELECT n, w, p, n > 5000 AS extrapolated FROM sw", "w p")
+twin("kept_fish", FRAMES, """SELECT fish, treatment, count(*) AS rows, count(cue_x) AS tracked FROM lagged
+  WHERE treatment IN ('C8AHL', 'menthe') AND fish IN ('1', '3', '4', '13') GROUP BY fish, treatment""")
+twin("columnar_table", SPEED, "SELECT * FROM speed_min", "m1 sd se")
+twin("cohort_folders", FRAMES, """SELECT treatment, part, count(*) AS rows, count(cue_x) AS tracked,
+  CASE WHEN treatment = 'menthe' THEN 0 ELSE count(speed) END AS with_speed, avg(cue_x) AS cue_x FROM lagged GROUP BY treatment, part""", "cue_x")
 twin("gated_test", SHAPIRO + ranks("speed_diff", "treatment") + EXACT + f""", t_test AS (
   {paired('speed_diff', 'treatment')}
 ), r_test AS (

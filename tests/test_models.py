@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from shoalspark.functions import special as S
 from shoalspark.models.design import terms_of
 from shoalspark.models.gamma import gamma_glm
@@ -180,7 +182,7 @@ def test_ols(data):
 
 
 def test_gamma(data):
-    pos = data.withColumnRenamed("y", "resp")
+    pos = data.where("y > 0").withColumnRenamed("y", "resp")
     table = {r["term"]: r for r in gamma_glm(pos, "resp ~ part", levels=LEVELS).collect()}
     r = rows()
     before = np.mean([v[4] for v in r if v[1] == "Before" and v[4] > 0])
@@ -200,3 +202,28 @@ def test_special_functions():
     assert S.signed_rank_exact(0, 5) == 2 / 32
     p = np.array([1e-12, 1e-5, 0.3, 0.5, 0.9, 1 - 1e-9])
     assert np.allclose(S.norm_cdf(S.norm_ppf(p)), p, rtol=1e-12)
+
+
+def test_gamma_refuses_rows_it_cannot_use_and_counts_the_rest(data):
+    zero = data.withColumn("resp", F.when(F.col("part") == "After", F.lit(0.0)).otherwise(F.exp(F.col("y") / 10)))
+    with pytest.raises(ValueError, match="rows have"):
+        gamma_glm(zero, "resp ~ part", levels=LEVELS)
+    table = gamma_glm(zero, "resp ~ part", levels=LEVELS, offset=0.5).collect()
+    assert {r["n"] for r in table} == {data.count()}
+
+
+def test_undeclared_levels_are_an_error(data):
+    odd = data.withColumn("part", F.when(F.col("part") == "After", "Aftr").otherwise(F.col("part")))
+    for fit in (lambda: ols(odd, "y ~ part", levels=LEVELS), lambda: lmm(odd, "y ~ part", "g", levels=LEVELS)):
+        with pytest.raises(Exception, match="undeclared level"):
+            fit()
+
+
+def test_ml_and_reml_df_of_a_balanced_within_contrast(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"f{i}", p, float(rng.normal() + b)) for i, b in enumerate(rng.normal(0, 2, 12)) for p in ("Before", "After") for _ in range(5)]
+    df = spark.createDataFrame(rows, "fish string, part string, y double")
+    reml = {r["term"]: r["df"] for r in lmm(df, "y ~ part", "fish", levels={"part": ["Before", "After"]}).coef().collect()}
+    ml = {r["term"]: r["df"] for r in lmm(df, "y ~ part", "fish", levels={"part": ["Before", "After"]}, method="ML").coef().collect()}
+    assert reml["partAfter"] == pytest.approx(12 * 10 - 12 - 1, rel=1e-7)
+    assert ml["partAfter"] == pytest.approx(12 * 10 - 12, rel=1e-6)

@@ -155,15 +155,16 @@ def test_value_ranks_match_pandas(spark):
 @pytest.mark.parametrize("shape", ["smooth", "ties", "skew"])
 def test_quantiles_of_hot_groups_equal_builtin(spark, shape):
     rng = np.random.default_rng(5)
-    v = {"smooth": rng.normal(size=9000), "ties": rng.integers(0, 4, 9000).astype(float),
-         "skew": np.exp(rng.normal(0, 6, 9000))}[shape]
+    n = 45_000  # the hot key is beyond the size whose bracket is the whole group
+    v = {"smooth": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float),
+         "skew": np.exp(rng.normal(0, 6, n))}[shape]
     # one key holds most rows, one is small, one has no value at all
-    keys = ["hot" if i % 9 else ("small" if i % 2 else None) for i in range(9000)]
+    keys = ["hot" if i % 9 else ("small" if i % 2 else None) for i in range(n)]
     rows = [(k, float(x)) for k, x in zip(keys, v)] + [("empty", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(5)
     probs = [0.0, 0.025, 0.5, 0.975, 1.0]
-    plain = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", probs).collect()}
-    hot = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", probs, hot_rows=600).collect()}
+    plain = {r["k"]: r["quantiles"] for r in R.narrow_quantiles(df, ["k"], "v", probs).collect()}
+    hot = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", probs).collect()}
     assert set(hot) == set(plain) == {"hot", "small", None, "empty"}
     for k in ("hot", "small", None):
         assert hot[k] == pytest.approx(plain[k], rel=1e-12), k
@@ -231,6 +232,43 @@ def test_shapiro(spark):
     assert row["w"] == pytest.approx(w) and row["p"] == pytest.approx(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
 
 
+def test_shapiro_has_no_size_rule(spark):
+    from shoalspark.functions.special import norm_ppf
+    normal = norm_ppf((np.arange(1, 6001) - 0.5) / 6000)
+    ties = np.round(normal * 3) / 3
+    rows = [("n", float(x)) for x in normal] + [("t", float(x)) for x in ties] + [("s", float(x)) for x in normal[::2]]
+    got = {r["k"]: r for r in P.shapiro(spark.createDataFrame(rows, "k string, diff double"), ["k"]).collect()}
+    assert got["n"]["w"] > 0.9999 and got["n"]["extrapolated"] and not got["s"]["extrapolated"]
+    m = norm_ppf((np.arange(1, 6001) - 0.375) / 6000.25)
+    x = np.sort(ties) - ties.mean()
+    assert got["t"]["w"] == pytest.approx((m @ x) ** 2 / (m @ m) / (x @ x), abs=2e-3) and got["t"]["p"] > 0
+
+
+def test_normal_quantile_column_has_no_python_and_is_exact(spark):
+    from shoalspark.functions.pvalues import normal_quantile
+    from shoalspark.functions.special import norm_cdf, norm_ppf
+    p = [0.0, 1e-300, 1e-12, 0.001, 0.0749, 0.0751, 0.3, 0.5, 0.9, 0.9999, 1 - 1e-12, 1.0]
+    df = spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile(F.col("p")).alias("z"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+    got = {r["p"]: r["z"] for r in df.collect()}
+    assert got[0.0] is None and got[1.0] is None
+    for x in p[1:-1]:
+        assert got[x] == pytest.approx(float(norm_ppf(x)), rel=1e-13, abs=1e-15)
+    inner = np.array(p[2:-1])
+    assert norm_cdf(norm_ppf(inner)) == pytest.approx(inner, rel=1e-12)
+
+
+def test_duplicates_with_null_keys(spark):
+    df = spark.createDataFrame([(None, "a", 1), (None, "a", 1), ("f", "a", 1), ("f", "a", 2)], "fish string, treatment string, frame int")
+    assert Q.duplicates(df).count() == 1 and Q.duplicate_rows(df).count() == 2
+
+
+def test_pair_refuses_two_values_of_one_part(spark):
+    df = spark.createDataFrame([("1", "Before", 1.0), ("1", "Before", 9.0), ("1", "After", 2.0)], "fish string, part string, v double")
+    with pytest.raises(Exception, match="several values"):
+        RS.pair(df, ["fish"], "v").collect()
+
+
 def test_gated_picks_by_normality(spark):
     from shoalspark.functions.special import norm_ppf
     normal = [("n", float(x) + 0.3) for x in norm_ppf((np.arange(1, 31) - 0.5) / 30)]
@@ -265,7 +303,10 @@ def test_moments(spark):
 
 
 def test_histogram_edges(spark):
-    df = spark.createDataFrame([(x,) for x in [0.0, 1.0, 1.0000000001, 2.0, 5.0, 10.0, 11.0]], "v double")
+    beyond = spark.createDataFrame([(1.0,), (11.0,)], "v double")
+    with pytest.raises(Exception, match="outside the bins"):
+        SM.histogram(beyond, "v", 10, 0.0, 10.0).collect()
+    df = spark.createDataFrame([(x,) for x in [0.0, 1.0, 1.0000000001, 2.0, 5.0, 10.0]], "v double")
     got = {r["bin"]: r["count"] for r in SM.histogram(df, "v", 10, 0.0, 10.0).collect()}
     assert got == {1: 3, 2: 1, 5: 1, 10: 1}
     flat = SM.histogram(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 5).collect()
@@ -291,6 +332,8 @@ def test_center_lookup_real_minute(spark):
     df = spark.createDataFrame([("Before", 1), ("Before", 4), ("After", 11)], "part string, minute int")
     c = RS.center(df, "minute", ["part"])
     assert sorted(r["minute_centered"] for r in c.collect()) == [-1.5, 0.0, 1.5]
+    own = RS.real_minute(RS.center(df, "minute", ["part"], mean="mean_minute").drop("minute"), ceil=True)
+    assert sorted(r["minute"] for r in own.collect()) == [1, 4, 11]
     back = RS.real_minute(RS.add_lookup(c.drop("minute"), {"Before": 2.5}, "part", "mean_minute"), ceil=True)
     assert sorted((r["minute"] for r in back.collect()), key=str) == [1, 4, None]
 
