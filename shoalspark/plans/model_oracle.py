@@ -363,6 +363,68 @@ twin("hmm_em_step", FORWARD + f""", bwd AS (
 ), counts AS ({LONG})""",
      'SELECT part, "from", "to", c / sum(c) OVER (PARTITION BY part, "from") AS freq FROM counts', "freq")
 
+
+
+# --- rounds of the fit with a matrix per part and treatment, from the neighbours' start without the direct moves
+IJ = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+NEIGHBOURS = [[0.8, 0.2, 0.0], [0.1, 0.8, 0.1], [0.0, 0.2, 0.8]]
+MAT0 = "mat0 AS MATERIALIZED (SELECT part, treatment, " + ", ".join(
+    f"{NEIGHBOURS[i - 1][j - 1]}e0 AS p{i}{j}" for i, j in IJ) + " FROM dens GROUP BY part, treatment)"
+
+
+def e_step(k: int, by: str) -> str:
+    """Forward, backward and expected counts ``c11 .. c33`` per ``by`` under ``mat{k}``, with a uniform start law."""
+    ahead = [" + ".join(f"f.a{i} * m.p{i}{j}" for i in (1, 2, 3)) for j in (1, 2, 3)]
+    back = [" + ".join(f"m.p{i}{j} * d.d{j} * w.w{j}" for j in (1, 2, 3)) for i in (1, 2, 3)]
+    total = " + ".join(f"x{i}{j}" for i, j in IJ)
+    here = f"JOIN mat{k} AS m ON m.part = d.part AND m.treatment = d.treatment"
+    return f"""fwd{k} AS (
+  SELECT fish, treatment, time, d1 / (d1 + d2 + d3) AS a1, d2 / (d1 + d2 + d3) AS a2, d3 / (d1 + d2 + d3) AS a3 FROM dens WHERE time = 1
+  UNION ALL
+  SELECT fish, treatment, time, j1 / (j1 + j2 + j3), j2 / (j1 + j2 + j3), j3 / (j1 + j2 + j3) FROM (
+    SELECT d.fish, d.treatment, d.time, ({ahead[0]}) * d.d1 AS j1, ({ahead[1]}) * d.d2 AS j2, ({ahead[2]}) * d.d3 AS j3
+    FROM fwd{k} AS f JOIN dens AS d ON d.fish = f.fish AND d.treatment = f.treatment AND d.time = f.time + 1 {here}) AS s
+), bwd{k} AS (
+  SELECT fish, treatment, max(time) AS time, 1e0 AS w1, 1e0 AS w2, 1e0 AS w3 FROM dens GROUP BY fish, treatment
+  UNION ALL
+  SELECT fish, treatment, time, h1 / (h1 + h2 + h3), h2 / (h1 + h2 + h3), h3 / (h1 + h2 + h3) FROM (
+    SELECT w.fish, w.treatment, w.time - 1 AS time, {back[0]} AS h1, {back[1]} AS h2, {back[2]} AS h3
+    FROM bwd{k} AS w JOIN dens AS d ON d.fish = w.fish AND d.treatment = w.treatment AND d.time = w.time {here} WHERE w.time > 1) AS s
+), xi{k} AS (
+  SELECT d.fish, d.part, d.treatment, {", ".join(f"f.a{i} * m.p{i}{j} * d.d{j} * w.w{j} AS x{i}{j}" for i, j in IJ)} FROM dens AS d
+  JOIN fwd{k} AS f ON f.fish = d.fish AND f.treatment = d.treatment AND f.time = d.time - 1
+  JOIN bwd{k} AS w ON w.fish = d.fish AND w.treatment = d.treatment AND w.time = d.time {here}
+), cnt{k} AS MATERIALIZED (
+  SELECT {by}, {", ".join(f"sum(x{i}{j} / ({total})) AS c{i}{j}" for i, j in IJ)} FROM xi{k} GROUP BY {by}
+)"""
+
+
+def m_step(k: int) -> str:
+    new = ", ".join(f"CASE WHEN c{i}1 + c{i}2 + c{i}3 > 0 THEN c{i}{j} / (c{i}1 + c{i}2 + c{i}3) ELSE p{i}{j} END AS p{i}{j}" for i, j in IJ)
+    return f"mat{k + 1} AS MATERIALIZED (SELECT part, treatment, {new} FROM mat{k} JOIN cnt{k} USING (part, treatment))"
+
+
+def long_matrix(source: str, keys: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, 'state{i}' AS \"from\", 'state{j}' AS \"to\", p{i}{j} AS freq FROM {source}" for i, j in IJ)
+
+
+DENS = FORWARD[:FORWARD.index(", fwd AS (")]
+twin("hmm_em_three", ", ".join([DENS, MAT0, *[t for k in range(3) for t in (e_step(k, "part, treatment"), m_step(k))]]),
+     long_matrix("mat3", "part, treatment"), "freq")
+N = [f"(c{i}1 + c{i}2 + c{i}3)" for i in (1, 2, 3)]
+SPREAD = [f"p{i}{j} * (1 - p{i}{j})" for i, j in IJ]
+twin("hmm_entity_given", ", ".join([DENS, MAT0, e_step(0, "fish, part, treatment")]) + f""", joined AS (
+  SELECT * FROM cnt0 JOIN mat0 USING (part, treatment)
+), moments AS (
+  SELECT sum({' + '.join(f'pow(c{i}{j} - {N[i - 1]} * p{i}{j}, 2)' for i, j in IJ)}) AS gap,
+    sum({' + '.join(f'{s} * {N[i - 1]}' for s, (i, j) in zip(SPREAD, IJ))}) AS base,
+    sum({' + '.join(f'{s} * ({N[i - 1]} * {N[i - 1]} - {N[i - 1]})' for s, (i, j) in zip(SPREAD, IJ))}) AS extra FROM joined
+), pool AS (
+  SELECT CASE WHEN extra > 0 AND gap > base THEN least(1e4, greatest(0e0, extra / (gap - base) - 1)) ELSE 1e4 END AS a FROM moments
+), shrunk AS (
+  SELECT fish, treatment, part, {", ".join(f"(c{i}{j} + a * p{i}{j}) / ({N[i - 1]} + a) AS p{i}{j}" for i, j in IJ)} FROM joined, pool
+)""", long_matrix("shrunk", "fish, treatment, part"), "freq")
+
 HARD = EMIT + """, hard AS (
   SELECT fish, treatment, part, time, n_cuex,
     CASE WHEN log_b1 >= log_b2 AND log_b1 >= log_b3 THEN 1 WHEN log_b2 >= log_b3 THEN 2 ELSE 3 END AS st FROM emit

@@ -352,6 +352,22 @@ def hmm_em_step(spark, sf_dir):
     return H.tpm_long(H.normalise_counts(total).withColumn("part", part), ["part"])
 
 
+@query
+def hmm_em_three(spark, sf_dir):
+    """Three updates of the matrices by part and treatment without the direct moves, from a fixed start law."""
+    fit = H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part", "treatment"], H.START_NEIGHBOURS,
+                            zeros=[(1, 3), (3, 1)], max_iter=4, tol=0.0, initial="uniform", strict=False)
+    return H.tpm_long(fit.transitions(), ["part", "treatment"])
+
+
+@query
+def hmm_entity_given(spark, sf_dir):
+    """Matrices per fish under given ones, pooled as strongly as the counts suggest."""
+    fit = H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part", "treatment"], H.START_NEIGHBOURS,
+                            zeros=[(1, 3), (3, 1)], max_iter=1, initial="uniform", strict=False)
+    return H.tpm_long(H.shrink_by_entity(stage(fit.counts()), fit), [*FISH, "part"])
+
+
 @query
 def hmm_transitions(spark, sf_dir):
     return H.tpm_long(hmm_fit(spark, sf_dir).transitions(), ["part", "treatment"])
