@@ -95,10 +95,11 @@ def components(edges: DataFrame) -> DataFrame:
     current, before = stage(ends.distinct()), None
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # staged, so that the join has an exchange of its own on either side and a hot node can be split
+        low = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct())
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = stage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = stage(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
