@@ -153,8 +153,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
 
     suspects = stage(rows.mapInPandas(suspected_lines(shared, bits, least), "doc bigint, th bigint, key binary, lines array<int>"))
-    repeated = suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    drops = suspects.join(repeated.select("key", "first"), "key").where("doc > first") \
+    # staged, so that either side of the join has an exchange of its own and a very common line can be split
+    repeated = stage(suspects.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                     .where("first <> last").select("key", "first"))
+    drops = suspects.join(repeated, "key").where("doc > first") \
         .groupBy("doc", "th").agg(F.flatten(F.collect_set("lines")).alias("drop"))
     judged = rows.join(drops, ["doc", "th"], "left").select("doc", "text", "drop")
     kept = judged.mapInPandas(without_lines, "doc bigint, text string, n_lines bigint, n_dropped bigint")
