@@ -213,8 +213,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = same.join(ends, "gram").groupBy(F.col("first").alias("doc")).agg(F.collect_set("run").alias("runs"))
     named = small_side(named, broadcast_rows)
     single = stage(rows.join(named, "doc").select("doc", "text", "runs").mapInPandas(window_rows(width), "doc bigint, window bigint"))
-    first = single.groupBy("window").agg(F.min("doc").alias("holder"), F.max("doc").alias("last")).where("holder <> last")
-    partial = single.join(first.select("window", "holder"), "window").where("doc > holder").select("doc", "holder")
+    first = stage(single.groupBy("window").agg(F.min("doc").alias("holder"), F.max("doc").alias("last"))
+                  .where("holder <> last").select("window", "holder"))
+    partial = single.join(first, "window").where("doc > holder").select("doc", "holder")
     pairs = stage(whole.unionByName(partial).distinct())
 
     counts = pairs.groupBy("holder").agg(F.expr(f"cast(1 + (count(*) - 1) div {part_docs} as int)").alias("parts"))
