@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.pairs import blocked, components, forest, pair_lists, verified, whole_groups
+from shoalspark.llm.pairs import blocked, components, linked, pair_lists, verified, whole_groups
 from shoalspark.staging import small_side, stage
 
 WIDTH = 5
@@ -122,13 +122,11 @@ def candidate_edges(threshold: float, tolerance: float):
     def run(batches):
         least = least_matches(threshold, tolerance)
         for pdf in whole_groups(batches, keys):
-            sig, found = signatures(pdf["sig"]), []
+            sig, root = signatures(pdf["sig"]), np.arange(len(pdf))
             for a, b in pair_lists(pdf, keys):
-                found.append(np.stack(pruned(sig, a, b, least)))
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                root = forest(len(pdf), a, b)
-                moved = np.flatnonzero(root != np.arange(len(pdf)))
+                root = linked(root, *pruned(sig, a, b, least))
+            moved = np.flatnonzero(root != np.arange(len(pdf)))
+            if len(moved):
                 node = pdf["node"].to_numpy()
                 yield pd.DataFrame({"a": node[moved], "b": node[root[moved]]}).drop_duplicates()
     return run

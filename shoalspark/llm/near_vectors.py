@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoalspark.llm.pairs import blocked, components, forest, pair_lists, verified, whole_groups
+from shoalspark.llm.pairs import blocked, components, linked, pair_lists, verified, whole_groups
 from shoalspark.staging import stage
 
 PROJECTIONS, PER_STEP = 64, 16
@@ -127,13 +127,11 @@ def cell_edges(cosine: float, miss: float, seed: int):
             for own in by_dims(whole):
                 pdf = whole.iloc[own].reset_index(drop=True)
                 unit = unit_rows(pdf["unit"])
-                proj, found = projected(unit), []
+                proj, root, node = projected(unit), np.arange(len(pdf)), pdf["node"].to_numpy()
                 for a, b in pair_lists(pdf, keys):
-                    found.append(np.stack(links(unit, proj, a, b)))
-                if found:
-                    a, b = np.concatenate(found, axis=1)
-                    root, node = forest(len(pdf), a, b), pdf["node"].to_numpy()
-                    moved = np.flatnonzero(root != np.arange(len(pdf)))
+                    root = linked(root, *links(unit, proj, a, b))
+                moved = np.flatnonzero(root != np.arange(len(pdf)))
+                if len(moved):
                     yield pd.DataFrame({"a": node[moved], "b": node[root[moved]]}).drop_duplicates()
     return run
 

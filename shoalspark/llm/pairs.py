@@ -48,7 +48,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield rest.reset_index(drop=True)
 
 
-def pair_lists(pdf: pd.DataFrame, keys: list[str], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pair_lists(pdf: pd.DataFrame, keys: list[str], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs of every block: inside one chunk, or across two. At most about ``most`` at a time."""
     k = pdf[keys].to_numpy()
     starts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]).any(axis=1)])
@@ -70,9 +70,8 @@ def pair_lists(pdf: pd.DataFrame, keys: list[str], most: int = 1 << 19) -> Itera
             yield np.repeat(part, len(right)), np.tile(right, len(part))
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row number reachable from each row over the links."""
-    root = np.arange(n)
+def linked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (smallest row number reachable from each row) after the links between ``a`` and ``b`` are added."""
     while len(a):
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -123,17 +122,16 @@ def verified(members: DataFrame, payload: list[str], links: Callable[[pd.DataFra
 
     def run(batches):
         for pdf in whole_groups(batches, keys):
-            n, found = len(pdf), []
+            n = len(pdf)
+            root = np.arange(n)
             weight, node = pdf["weight"].to_numpy(), pdf["node"].to_numpy()
             count = np.zeros(n, np.int64)
             for a, b in pair_lists(pdf, keys):
                 a, b = links(pdf, a, b)
                 np.add.at(count, a, weight[b])
                 np.add.at(count, b, weight[a])
-                found.append(np.stack([a, b]))
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                root = forest(n, a, b)
-                hit = count > 0
+                root = linked(root, a, b)
+            hit = count > 0
+            if hit.any():
                 yield pd.DataFrame({"node": node[hit], "n_links": count[hit], "root": node[root[hit]]})
     return rows.mapInPandas(run, "node bigint, n_links bigint, root bigint")
