@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from shoalspark.staging import small_side, stage
 
 GRAM = 8
+#: rows a task holds before it hands them over
+ROWS_OUT = 100_000
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -79,30 +81,43 @@ class Runs:
 def run_rows(width: int):
     def run(batches):
         for pdf in batches:
-            docs, grams, runs = [], [], []
+            found, held = [], 0
             for doc, text in zip(pdf["doc"], pdf["text"]):
                 r = Runs(words_of(text), width)
                 if r.windows:
-                    docs.append(np.full(len(r.gram), doc)), grams.append(r.gram), runs.append(r.run)
-            if docs:
-                yield pd.DataFrame({"doc": np.concatenate(docs), "gram": np.concatenate(grams).astype(np.int64),
-                                    "run": np.concatenate(runs).astype(np.int64)}).drop_duplicates()
+                    found.append((doc, r.gram, r.run))
+                    held += len(r.gram)
+                if held >= ROWS_OUT:
+                    yield hash_rows(found, ["gram", "run"])
+                    found, held = [], 0
+            if found:
+                yield hash_rows(found, ["gram", "run"])
     return run
 
 
+def hash_rows(found: list, names: list[str]) -> pd.DataFrame:
+    """One row per distinct (doc, hashes) of ``found``, a list of (doc, array of hashes, ...)."""
+    doc = np.repeat([x[0] for x in found], [len(x[1]) for x in found])
+    hashes = {name: np.concatenate([x[k] for x in found]).astype(np.int64) for k, name in enumerate(names, start=1)}
+    return pd.DataFrame({"doc": doc, **hashes}).drop_duplicates()
+
+
 def window_rows(width: int):
     """Windows of the runs named in ``runs``."""
     def run(batches):
         for pdf in batches:
-            docs, found = [], []
+            found, held = [], 0
             for doc, text, wanted in zip(pdf["doc"], pdf["text"], pdf["runs"]):
                 r = Runs(words_of(text), width)
                 if r.windows:
                     for k in np.flatnonzero(np.isin(r.run.astype(np.int64), np.asarray(wanted))):
-                        h = r.of_run(k)
-                        docs.append(np.full(len(h), doc)), found.append(h)
-            if docs:
-                yield pd.DataFrame({"doc": np.concatenate(docs), "window": np.concatenate(found).astype(np.int64)}).drop_duplicates()
+                        found.append((doc, r.of_run(k)))
+                        held += len(found[-1][1])
+                if held >= ROWS_OUT:
+                    yield hash_rows(found, ["window"])
+                    found, held = [], 0
+            if found:
+                yield hash_rows(found, ["window"])
     return run
 
 
@@ -190,6 +205,13 @@ def without_passages(batches):
         yield pd.DataFrame({"doc": pdf["doc"], "text": kept, "n_words": total, "n_removed": removed})
 
 
+def few(df: DataFrame, array: str, most: int) -> DataFrame:
+    """``df`` staged, with a broadcast hint if it has at most ``most`` rows and 20 array elements for each of them."""
+    staged = stage(df)
+    rows, elements = staged.agg(F.count("*"), F.coalesce(F.sum(F.size(array)), F.lit(0))).first()
+    return F.broadcast(staged) if rows <= most and elements <= 20 * most else staged
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50,
                    part_docs: int = 256, broadcast_rows: int = 200_000) -> DataFrame:
     """Drop every word covered by a window of ``width`` words that also starts in a smaller document.
@@ -211,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ends = same.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")) \
         .where("kinds > 1 and low <> high").select("gram")
     named = same.join(ends, "gram").groupBy(F.col("first").alias("doc")).agg(F.collect_set("run").alias("runs"))
-    named = small_side(named, broadcast_rows)
+    named = few(named, "runs", broadcast_rows)
     single = stage(rows.join(named, "doc").select("doc", "text", "runs").mapInPandas(window_rows(width), "doc bigint, window bigint"))
     first = stage(single.groupBy("window").agg(F.min("doc").alias("holder"), F.max("doc").alias("last"))
                   .where("holder <> last").select("window", "holder"))
@@ -228,7 +250,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 F.lit(0).alias("role"), "doc", "th", "text")
     streams = followers.unionByName(holders).repartition("holder", "part").sortWithinPartitions("holder", "part", "role")
     found = streams.mapInPandas(located(width), "doc bigint, th bigint, edges array<bigint>")
-    per_doc = small_side(found.groupBy("doc", "th").agg(F.flatten(F.collect_list("edges")).alias("edges")), broadcast_rows)
+    per_doc = few(found.groupBy("doc", "th").agg(F.flatten(F.collect_list("edges")).alias("edges")), "edges", broadcast_rows)
     judged = rows.join(per_doc, ["doc", "th"], "left").select("doc", "text", "edges")
     kept = judged.mapInPandas(without_passages, "doc bigint, text string, n_words bigint, n_removed bigint")
     return kept.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), "text", "n_words", "n_removed")
