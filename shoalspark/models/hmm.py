@@ -104,10 +104,16 @@ def strata_of(df: DataFrame, cols: Sequence[str]) -> Strata:
     return Strata(cols, tuple(sorted(tuple(r) for r in seen)))
 
 
-def sequences(df: DataFrame, entity: Sequence[str], value: str, strata: Strata, time: str = "time") -> DataFrame:
-    """One row per entity with arrays ``t`` (time), ``x`` (value) and ``s`` (stratum of the row)."""
+def sequences(df: DataFrame, entity: Sequence[str], value: str, strata: Strata, time: str = "time",
+              max_steps: int = 50_000) -> DataFrame:
+    """One row per entity with arrays ``t`` (time), ``x`` (value) and ``s`` (stratum of the row).
+
+    A sequence is one row, so one longer than ``max_steps`` (a day at two seconds) is an error: widen the time step.
+    """
     step = F.struct(F.col(time).cast("bigint").alias("t"), F.col(value).alias("x"), strata.index().alias("s"))
     packed = df.groupBy(*entity).agg(F.array_sort(F.collect_list(step)).alias("q"))
+    long = F.raise_error(F.concat(F.lit("sequence of more than "), F.lit(max_steps), F.lit(" steps: "), F.to_json(F.struct(*entity))))
+    packed = packed.withColumn("q", F.when(F.size("q") <= max_steps, F.col("q")).otherwise(long.cast(packed.schema["q"].dataType)))
     return packed.select(*entity, *[F.col(f"q.{c}").alias(c) for c in ("t", "x", "s")])
 
 

@@ -27,7 +27,8 @@ from shoalspark.operators.summary import histogram
 from shoalspark.staging import stage
 
 # size up to which the per-n table may sit on the driver; beyond it each theta is a Spark job
-DRIVER_SIZES = 4096
+#: numbers of the table by entity size that may be kept on the driver
+DRIVER_CELLS = 4_000_000
 
 
 @dataclass
@@ -85,7 +86,7 @@ def entity_sums(sums: DataFrame, basis: Basis) -> DataFrame:
                                        F.array(*parts, F.sum("__sy0")).alias("r"))
 
 
-def group_sums(entities: DataFrame, width: int, driver_sizes: int = DRIVER_SIZES) -> GroupSums:
+def group_sums(entities: DataFrame, width: int, driver_cells: int = DRIVER_CELLS) -> GroupSums:
     def outer(batches):
         held: dict[float, np.ndarray] = {}
 
@@ -110,8 +111,8 @@ def group_sums(entities: DataFrame, width: int, driver_sizes: int = DRIVER_SIZES
     long = partial.select("n", F.posexplode("v").alias("pos", "value")) \
         .groupBy("n", (F.col("pos") - 1).alias("pos")).agg(F.sum("value").alias("value"))
     table = stage(long)
-    sizes = table.where(F.col("pos") == -1).limit(driver_sizes + 1).count()
-    if sizes > driver_sizes:
+    sizes = table.where(F.col("pos") == -1).count()
+    if sizes * (width * width + 1) > driver_cells:
         return GroupSums(table, width, None)
     pdf = table.toPandas()
     ns = np.sort(pdf["n"].unique())
@@ -502,7 +503,7 @@ def lmm(df: DataFrame, formula: str | Sequence[str], group: str, response: str |
 
 def lmm_candidates(df: DataFrame, formulas: Sequence[str | Sequence[str]], group: str,
                    response: str | None = None, levels: Mapping[str, Sequence[str]] | None = None,
-                   method: str = "REML", driver_sizes: int = DRIVER_SIZES) -> list[LmmFit]:
+                   method: str = "REML", driver_cells: int = DRIVER_CELLS) -> list[LmmFit]:
     """Fit several fixed parts; the rows are read once for all of them."""
     parsed = [terms_of(f) for f in formulas]
     response = response or parsed[0][0]
@@ -510,7 +511,7 @@ def lmm_candidates(df: DataFrame, formulas: Sequence[str | Sequence[str]], group
     sums = stage(cell_sums(usable_rows(df, basis, response, group), basis, ["__group", "__cell"]))
     moments = collect_moments(sums, basis)
     entities = entity_sums(sums, basis)
-    groups = group_sums(entities, basis.size + 1, driver_sizes)
+    groups = group_sums(entities, basis.size + 1, driver_cells)
     fits = []
     for text, (_, terms) in zip(formulas, parsed):
         label = text if isinstance(text, str) else " + ".join(text)

@@ -99,7 +99,7 @@ def test_candidates_share_sums_and_spark_path_agrees(data):
     assert np.allclose(local[0].beta, gls(x, y, g, local[0].theta)[0], atol=1e-7)
     table = {r["model"]: r for r in compare_models(local).collect()}
     assert sum(r["best"] for r in table.values()) == 1 and len(table) == 5
-    far = lmm_candidates(data, FORMULAS[4:], "g", levels=LEVELS, driver_sizes=1)[0]
+    far = lmm_candidates(data, FORMULAS[4:], "g", levels=LEVELS, driver_cells=1)[0]
     assert far.groups.local is None
     assert abs(far.theta - local[4].theta) < 1e-5 * far.theta
     assert np.allclose(far.beta, local[4].beta, atol=1e-7)
