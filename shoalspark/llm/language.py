@@ -102,7 +102,7 @@ def mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int, most:
     best, chosen, inside = np.full(docs, np.inf), share.copy(), np.ones_like(share, bool)
     for k in range(share.shape[1], 0, -1):
         share, fit = proportions(p, n, starts, share, rounds)
-        cost = (k - 1) * penalty - 2 * fit
+        cost = (k - 1) * penalty - 2 * fit / 3  # every letter is in three trigrams
         better = cost < best
         best[better], chosen[better] = cost[better], share[better]
         weakest = np.where(inside, share, np.inf).argmin(axis=1)
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score", "shares")
 
 
-def in_a_language(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def in_a_language(docs: DataFrame, least: float = 1 / 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs``, unchanged, of which one language makes up at least ``least``; learns like ``identify``."""
     known = docs.where(~is_held_out(id_col, 4, 2))
     return annotate(docs, known, text_col, lang_col).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
