@@ -18,7 +18,7 @@ from shoalspark.staging import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are at least half in one language."""
+    """Documents of which one language makes up a third or more; others have no language to speak of."""
     ship_package(spark)
     return language.in_a_language(docs)
 
