@@ -140,7 +140,7 @@ def group_links(cosine: float, miss: float, seed: int):
     links, projected = linker(cosine, miss, seed)
 
     def run(pdf, a, b):
-        rows = np.unique(np.concatenate([a, b]))  # one group has vectors of one length only
+        rows = np.unique(np.concatenate([a, b]))  # a group has vectors of one length, but the list may hold several groups
         at = np.zeros(len(pdf), np.int64)
         out = []
         size = pdf["unit"].str.len().to_numpy()
