@@ -35,8 +35,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, each as often as the nearest number to its taken words: 0, 1 or 2 times."""
-    return mixing.repeated(docs, mixing.mix(docs))
+    """Whole documents, each 0, 1 or 2 times, rounded so that every source keeps the words the mix takes of it."""
+    ship_package(spark)
+    return mixing.repeated_to_target(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,20 +71,19 @@ def apportion(items: DataFrame, group: Sequence[str], weight: str, seats: str, c
         .select(*own, (F.col("__lo") + F.col("__extra")).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 2048,
-        max_block: int = 64) -> DataFrame:
-    """How many words of every document the mix takes.
-
-    Returns doc_id, source, size (words), source_size, target and taken for every row, null ids, null sources
-    and repeated rows included; a null or empty text has size 0 and takes 0. Rows equal in id and text are
-    interchangeable. An empty table gives no rows. Other columns are ignored. Reruns agree, as every choice is
-    a hash of the seed and the row.
-    """
+def row_key(seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """doc_id, source, size in words and the seeded hash ``h``, equal for rows equal in id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                       F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("size"),
-                       F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.encode(text, "UTF-8"))).alias("h"))
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+            F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("size"),
+            F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.encode(text, "UTF-8"))).alias("h")]
+
+
+def taken_words(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17,
+                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 2048,
+                max_block: int = 64) -> DataFrame:
+    """The rows of ``mix`` with their hash ``h``, the source's ``key`` and the ``shard`` inside it."""
+    rows = docs.select(*row_key(seed, id_col, text_col, source_col))
     rows = stage(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = stage(source_targets(sizes, weights, share, most).join(
@@ -121,7 +121,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     cut = F.sequence(F.expr(f"begin div {block}L"), F.expr(f"(end - 1) div {block}L"))
     taken = F.when(F.col("size") > 0, F.aggregate(cut, F.lit(0).cast("bigint"), overlap)).otherwise(0).cast("bigint")
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "h", "key", "shard")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 17,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_rows: int = 2048,
+        max_block: int = 64) -> DataFrame:
+    """How many words of every document the mix takes.
+
+    Returns doc_id, source, size (words), source_size, target and taken for every row, null ids, null sources
+    and repeated rows included; a null or empty text has size 0 and takes 0. Rows equal in id and text are
+    interchangeable. An empty table gives no rows. Other columns are ignored. Reruns agree, as every choice is
+    a hash of the seed and the row.
+    """
+    return taken_words(docs, weights, share, most, seed, id_col, text_col, source_col, shard_rows, max_block) \
+        .select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 2) -> DataFrame:
@@ -136,3 +150,52 @@ def repeated(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col
     rows = docs.select(F.struct("*").alias("__row")).withColumn("__n", size)
     joined = rows.join(per, F.col(f"__row.{id_col}").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
     return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
+
+
+def rounded_copies(batches):
+    """Whole copies of every row, rows coming shard by shard: the words owed are carried from row to row.
+
+    A row gets ``taken div size`` copies, and one more if the words owed so far reach its share ``u`` of its size; so
+    a row is chosen about as often as its remaining words are part of its size, and the carry stays within the
+    largest row. Large rows come first, so that small ones settle what is left.
+    """
+    at, owed = None, 0.0
+    for pdf in batches:
+        copies = []
+        for shard, size, taken, u in zip(zip(pdf["none"], pdf["name"], pdf["shard"]), pdf["size"].tolist(), pdf["taken"].tolist(), pdf["u"].tolist()):
+            if shard != at:
+                at, owed = shard, 0.0
+            n, rest = divmod(taken, size)
+            if rest:
+                owed += rest
+                if owed >= u * size:
+                    n, owed = n + 1, owed - size
+            copies.append(n)
+        yield pd.DataFrame({"id": pdf["id"], "none": pdf["none"], "name": pdf["name"], "h": pdf["h"], "size": pdf["size"], "copies": copies})
+
+
+def repeated_to_target(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **mixing) -> DataFrame:
+    """Documents as the mix takes them: whole texts, 0 to ``most`` times, so that sources keep their taken words.
+
+    ``mixing`` are parameters of ``mix``. Copies are rounded by shard, see ``rounded_copies``. Columns stay as they are; of
+    rows equal in id, source and text any may be the one repeated. Null ids, null sources and repeated rows are rows
+    like others; rows without words never stay. Reruns agree.
+    """
+    mixed = taken_words(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **mixing)
+    u = (F.pmod(F.xxhash64(F.lit(seed + 3), "h"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    rows = mixed.where("size > 0").select(F.col("doc_id").alias("id"), "key.none", "key.name", "shard", "h", "size", "taken", u.alias("u"))
+    rows = rows.repartition("none", "name", "shard") \
+        .sortWithinPartitions("none", "name", "shard", F.length(F.bin("size")).desc(), "h", "id", "size", "taken")
+    kind = rows.select("id", "none", "name", "h", "size").schema.add("copies", "long")
+    per = rows.mapInPandas(rounded_copies, kind).groupBy("id", "none", "name", "h", "size") \
+        .agg(F.count("*").alias("alike"), F.sum("copies").alias("copies")).where("copies > 0")
+    per = stage(per.select(F.col("id").alias("__id"), F.when(~F.col("none"), F.col("name")).alias("__source"), F.col("h").alias("__h"),
+                           F.col("size").alias("__size"), F.expr("copies div alike").alias("__each"), F.expr("copies % alike").alias("__more")))
+    texts = docs.select(F.struct("*").alias("__row"), *row_key(seed, id_col, text_col, source_col))
+    same = (F.col("h") == F.col("__h")) & (F.col("size") == F.col("__size")) & F.col("doc_id").eqNullSafe(F.col("__id")) \
+        & F.col("source").eqNullSafe(F.col("__source"))
+    even = texts.join(per.where("__more = 0"), same).select("__row", F.col("__each").alias("__n"))
+    # rows alike that share a number of copies which does not divide: the first of them get one more
+    nth = F.row_number().over(Window.partitionBy("__h", "__size", "__id", "__source").orderBy("__h"))
+    odd = texts.join(per.where("__more > 0"), same).select("__row", (F.col("__each") + (nth <= F.col("__more")).cast("int")).alias("__n"))
+    return even.unionByName(odd).where("__n > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n")))).select("__row.*")

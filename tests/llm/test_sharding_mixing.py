@@ -9,6 +9,7 @@ import pytest
 from messy import corpus, edge_cases, frame
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shoalspark.llm import mixing, sharding
 
 
@@ -117,3 +118,53 @@ def test_repeats_follow_the_mix(spark):
             want[r.doc_id] += min(2, int(r.taken / r.size + 0.5))
     got = Counter(r.doc_id for r in out.select("doc_id").collect())
     assert all(got[k] >= n for k, n in want.items()) and set(got) == {k for k, n in want.items() if n}
+
+
+def words_by_source(rows):
+    out = defaultdict(int)
+    for r in rows:
+        out[r.source] += len((r.text or "").encode().split())
+    return out
+
+
+def plain_copies(taken):
+    """Copies by (id, source, h) from the rows of ``taken_words`` one after another."""
+    out, owed = Counter(), defaultdict(float)
+    order = sorted((r for r in taken if r.size), key=lambda r: (-(r.size.bit_length()), r.h, r.doc_id is not None, r.doc_id or 0, r.size, r.taken))
+    for r in order:
+        n, rest = divmod(r.taken, r.size)
+        if rest:
+            at = (r.source, r.shard)
+            owed[at] += rest
+            if owed[at] >= r.u * r.size:
+                n, owed[at] = n + 1, owed[at] - r.size
+        out[r.doc_id, r.source, r.h, r.size] += n
+    return +out
+
+
+def with_u(taken, seed=17):
+    u = (F.pmod(F.xxhash64(F.lit(seed + 3), "h"), F.lit(1 << 20)) + 0.5) / float(1 << 20)
+    return taken.withColumn("u", u).collect()
+
+
+def test_pipeline_mixing_keeps_the_words_of_every_source(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    target = {r.source: r.target for r in mixing.mix(docs).collect()}
+    got = words_by_source(corpus_pipeline.mix(spark, docs, "/root/testdata/sf0.01").collect())
+    for source, words in target.items():
+        assert got[source] == pytest.approx(words, rel=0.05), source
+
+
+def test_pipeline_mixing_is_the_plain_version(spark):
+    rows = corpus(6, 300) + edge_cases() + [(7, "same words here", "en", "a", 3)] * 5 + [(None, f"null {i} " * (i + 1), "en", None, 9) for i in range(20)]
+    docs = frame(spark, rows)
+    out = corpus_pipeline.mix(spark, docs, "")
+    assert out.columns == docs.columns
+    want = plain_copies(with_u(mixing.taken_words(docs)))
+    keys = mixing.row_key(17, "doc_id", "text", "source")
+    got = Counter((r.doc_id, r.source, r.h, r.size) for r in out.select(*keys).collect())
+    assert got == want
+    most = Counter((r.doc_id, r.source, r.h, r.size) for r in docs.select(*keys).collect())
+    assert all(n <= 2 * most[k] for k, n in got.items())
+    again = Counter((r.doc_id, r.source, r.h, r.size) for r in corpus_pipeline.mix(spark, frame(spark, rows[::-1]), "").select(*keys).collect())
+    assert again == got
