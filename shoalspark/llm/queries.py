@@ -78,7 +78,7 @@ def op8_quality(spark, sf_dir):
 
 @query
 def op9_decontamination(spark, sf_dir):
-    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return templates.by_document(templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 @query

@@ -55,15 +55,20 @@ def windows(words: str, width: int = WIDTH) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), hashed))
 
 
-def slots(rows: DataFrame, key: str) -> DataFrame:
+def text_hash(text_col: str) -> Column:
+    """Tells texts apart that share an id or have none."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def slots(rows: DataFrame, *key: str) -> DataFrame:
     """(key, position, kind, value) of every placeholder of the texts in ``rows`` (key, text)."""
     text = F.col("text")
     values = slot_values(text)
-    seen = rows.select(key, template_words(text).alias("words"), *[v.alias(f"v{i}") for i, v in enumerate(values.values())])
+    seen = rows.select(*key, template_words(text).alias("words"), *[v.alias(f"v{i}") for i, v in enumerate(values.values())])
     placed = seen.select("*", F.posexplode("words").alias("position", "kind")).where(F.col("kind").isin(PLACEHOLDERS))
     ordinal = F.size(F.filter(F.slice("words", 1, F.col("position") + 1), lambda x: x == F.col("kind"))) - 1
     value = F.coalesce(*[F.when(F.col("kind") == p, F.get(F.col(f"v{i}"), ordinal)) for i, p in enumerate(values)])
-    return placed.select(key, "position", "kind", F.lower(F.coalesce(value, F.lit(""))).alias("value"))
+    return placed.select(*key, "position", "kind", F.lower(F.coalesce(value, F.lit(""))).alias("value"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, literal: int) -> DataFrame:
@@ -79,46 +84,59 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_text_col: str = "text", width: int = WIDTH, share: float = 0.8, literal: int = 2) -> DataFrame:
     """Documents that hold benchmark items, verbatim or with other parameters.
 
-    Returns one row per (document, item) found: doc_id, item_id, n_windows (windows of the item found on
+    Returns one row per (text, item) found: doc_id, text_hash, item_id, n_windows (windows of the item found on
     consistent alignments), n_item_windows and kind (``verbatim`` if all slots of those alignments have the item's
     values, else ``reparameterised``). Items shorter than ``width`` template words, null and empty texts match
-    nothing. Rows with a null id are compared and reported under a null doc_id; rows that share an id are one
-    document, as are items. Repeated rows change nothing, an empty table gives no rows, other columns are
-    ignored.
+    nothing. Every text is judged by itself, also if rows share an id or have none, and reported under its id;
+    ``by_document`` folds texts of one id. Items that share an id are one item. Repeated rows change nothing, an empty
+    table gives no rows, other columns are ignored.
     """
     last = F.lit((1 << 63) - 1)
     items = stage(benchmark.select(F.coalesce(F.col(item_col), last).alias("item"), F.col(item_text_col).alias("text")).distinct())
     wanted = small_side(benchmark_windows(items, width, literal).select("item", "at", "hash", "size"))
-    rows = docs.select(F.coalesce(F.col(id_col), last).alias("doc"), F.col(text_col).alias("text"))
-    seen = rows.where("text is not null").select("doc", template_words(F.col("text")).alias("words")) \
-        .select("doc", F.posexplode(windows("words", width)).alias("position", "hash"))
-    hits = seen.join(wanted, "hash").select("doc", "item", "at", "size", (F.col("position") - F.col("at")).alias("shift"))
-    runs = stage(hits.groupBy("doc", "item", "shift", "size").agg(F.collect_set("at").alias("at")))
+    rows = docs.select(F.coalesce(F.col(id_col), last).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    seen = rows.where("text is not null").select("doc", "th", template_words(F.col("text")).alias("words")) \
+        .select("doc", "th", F.posexplode(windows("words", width)).alias("position", "hash"))
+    hits = seen.join(wanted, "hash").select("doc", "th", "item", "at", "size", (F.col("position") - F.col("at")).alias("shift"))
+    runs = stage(hits.groupBy("doc", "th", "item", "shift", "size").agg(F.collect_set("at").alias("at")))
 
     def covered(aligned: DataFrame) -> DataFrame:
-        return aligned.select("doc", "item", "size", F.explode("at").alias("at")).groupBy("doc", "item", "size") \
+        return aligned.select("doc", "th", "item", "size", F.explode("at").alias("at")).groupBy("doc", "th", "item", "size") \
             .agg(F.count_distinct("at").alias("n")).where(F.col("n") >= F.lit(share) * F.col("size"))
 
-    likely = stage(covered(runs).select("doc", "item"))
-    aligned = runs.join(likely, ["doc", "item"]).select("doc", "item", "shift", "size", "at",
-                                                       F.array_min("at").alias("low"), (F.array_max("at") + width - 1).alias("high"))
-    texts = rows.join(likely.select("doc").distinct(), "doc", "left_semi")
-    there = slots(texts.where("text is not null"), "doc").select("doc", F.col("position").alias("p"), "kind", F.col("value").alias("to"))
+    likely = stage(covered(runs).select("doc", "th", "item"))
+    aligned = runs.join(likely, ["doc", "th", "item"]).select("doc", "th", "item", "shift", "size", "at", F.array_min("at").alias("low"),
+                                                             (F.array_max("at") + width - 1).alias("high"))
+    texts = rows.join(likely.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
+    there = slots(texts.where("text is not null"), "doc", "th") \
+        .select("doc", "th", F.col("position").alias("p"), "kind", F.col("value").alias("to"))
     here = slots(items.where("text is not null"), "item").select("item", F.col("position").alias("q"), "kind", F.col("value").alias("from"))
     asked = aligned.join(here, "item").where("q between low and high").withColumn("p", F.col("q") + F.col("shift"))
-    pairs = asked.join(there, ["doc", "p", "kind"]).select("doc", "item", "shift", "kind", "from", "to").distinct()
-    filled = pairs.groupBy("doc", "item", "shift", "kind", "from").agg(F.count("*").alias("values"), F.max(F.col("from") != F.col("to")).alias("other"))
-    judged = filled.groupBy("doc", "item", "shift").agg(F.max("values").alias("values"), F.max("other").alias("other"))
-    consistent = aligned.join(judged, ["doc", "item", "shift"], "left").where("values is null or values = 1")
-    kinds = consistent.groupBy("doc", "item").agg(F.max(F.coalesce("other", F.lit(False))).alias("other"))
-    found = covered(consistent).join(kinds, ["doc", "item"])
-    return found.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), F.when(F.col("item") != last, F.col("item")).alias("item_id"),
+    pairs = asked.join(there, ["doc", "th", "p", "kind"]).select("doc", "th", "item", "shift", "kind", "from", "to").distinct()
+    filled = pairs.groupBy("doc", "th", "item", "shift", "kind", "from") \
+        .agg(F.count("*").alias("values"), F.max(F.col("from") != F.col("to")).alias("other"))
+    judged = filled.groupBy("doc", "th", "item", "shift").agg(F.max("values").alias("values"), F.max("other").alias("other"))
+    consistent = aligned.join(judged, ["doc", "th", "item", "shift"], "left").where("values is null or values = 1")
+    kinds = consistent.groupBy("doc", "th", "item").agg(F.max(F.coalesce("other", F.lit(False))).alias("other"))
+    found = covered(consistent).join(kinds, ["doc", "th", "item"])
+    return found.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), F.col("th").alias("text_hash"),
+                        F.when(F.col("item") != last, F.col("item")).alias("item_id"),
                         F.col("n").alias("n_windows"), F.col("size").alias("n_item_windows"),
                         F.when(F.col("other"), "reparameterised").otherwise("verbatim").alias("kind"))
 
 
-def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents in ``found``."""
-    rows = docs.select(F.col(id_col).alias("__id"), F.struct("*").alias("__row"))
-    bad = found.select(F.col("doc_id").alias("__bad")).distinct()
-    return rows.join(bad, F.col("__id").eqNullSafe(F.col("__bad")), "left_anti").select("__row.*")
+def by_document(found: DataFrame) -> DataFrame:
+    """``leaks`` with one row per (doc_id, item_id): that of the text with the most windows, verbatim first among equals."""
+    best = F.max(F.struct("n_windows", "n_item_windows", "kind")).alias("best")  # verbatim is the larger word
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents in ``found`` (from ``leaks``).
+
+    Rows that share an id are one document and go together; rows without an id are told apart by their texts.
+    """
+    rows = docs.select(F.col(id_col).alias("__id"), F.when(F.col(id_col).isNull(), text_hash(text_col)).alias("__th"), F.struct("*").alias("__row"))
+    bad = found.select(F.col("doc_id").alias("__bad"), F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("__bad_th")).distinct()
+    same = F.col("__id").eqNullSafe(F.col("__bad")) & F.col("__th").eqNullSafe(F.col("__bad_th"))
+    return rows.join(bad, same, "left_anti").select("__row.*")

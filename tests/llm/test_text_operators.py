@@ -209,3 +209,23 @@ def test_templates_find_planted_items(spark):
     whole = {(d.doc_id, i) for d in docs.collect() for i, t in items.items() if t in " ".join(d.text.split())}
     got = {(r.doc_id, r.item_id) for r in templates.leaks(docs, bench).collect()}
     assert whole and whole <= got and len(got) <= len(whole) + 5
+
+
+def test_templates_judge_texts_without_an_id_one_by_one(spark):
+    rng = random.Random(14)
+    pad = " ".join(words(rng, 6))
+    numbered = [" ".join(f"word {rng.randrange(1000)} then Name{rng.randrange(50)}" for _ in range(30)) for _ in range(20)]
+    half = len(ITEM.split()) // 2
+    first, second = " ".join(ITEM.split()[:half + 2]), " ".join(ITEM.split()[half - 2:])
+    other = ITEM.replace("Anna", "Boris").replace("45 km", "61 miles").replace("10:30", "7:15").replace(" 3 ", " 8 ")
+    bench = spark.createDataFrame([(70, ITEM)], "item_id bigint, text string")
+    for key in (None, 9):
+        texts = [f"{pad} {ITEM}", f"{pad} {other}", *numbered]
+        rows = [(key, t, None, None, 0) for t in texts] + [(3, pad, None, None, 0)]
+        found = templates.leaks(frame(spark, rows), bench)
+        assert sorted((r.doc_id, r.item_id, r.kind) for r in found.collect()) == [(key, 70, "reparameterised"), (key, 70, "verbatim")]
+        assert [(r.doc_id, r.item_id, r.kind) for r in templates.by_document(found).collect()] == [(key, 70, "verbatim")]
+        left = sorted(r.text for r in templates.without_leaks(frame(spark, rows), found).collect())
+        assert left == sorted([pad, *numbered] if key is None else [pad])
+        # no text holds the item by itself
+        assert templates.leaks(frame(spark, [(key, first, None, None, 0), (key, second, None, None, 0)]), bench).count() == 0
