@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoalspark.llm import jaccard_join, language, line_dedup, mixing, near_vectors, phrases, quality, sharding, templates, url_cascade
+from shoalspark.llm import collocations, conversations, jaccard_join, language, licences, line_dedup, mixing, near_vectors, phrases, quality, sharding, templates, url_cascade
 from shoalspark.shipping import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,18 @@ def op9_decontamination(spark, sf_dir):
 @query
 def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_licence_scan(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.summary(conversations.repair(table(spark, sf_dir, "conversations"), damage=True))
