@@ -259,40 +259,52 @@ def mapped(batches):
     """Maps of the pieces, with their first and last initials and the illegal neighbours inside."""
     for pdf in batches:
         out = []
-        for conv, piece, seq in zip(pdf["conv"], pdf["piece"], pdf["seq"]):
+        for key, piece, seq in zip(pdf["key"], pdf["piece"], pdf["seq"]):
             symbols = np.fromiter((x["symbol"] for x in seq), np.int64, len(seq))
             roles = [x["initial"] for x in seq]
             apart = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:])) + sum(x["copies"] - 1 for x in seq)
             before, total, states = piece_map(symbols)
-            out.append((conv, piece, before, total, states, roles[0], roles[-1], apart))
-        yield pd.DataFrame(out, columns=["conv", "piece", "before", "total", "states", "first", "last", "apart"])
-
-
-def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One conversation's pieces in order: vector behind and state before each, cost and illegal neighbours of all."""
-    pdf = pdf.sort_values("piece", kind="stable")
-    before, total, states = pdf["before"].to_list(), pdf["total"].to_list(), pdf["states"].to_list()
-    n = len(pdf)
-    vectors, cost = [0] * n, FINISH[0]
-    at = 0
-    for i in range(n - 1, -1, -1):
-        vectors[i] = at
-        cost, at = cost + int(total[i][at]), int(before[i][at])
-    state, entered = 0, []
-    for i in range(n):
-        entered.append(state)
-        state = int(states[i][4 * vectors[i] + state])
-    firsts, lasts = pdf["first"].to_list(), pdf["last"].to_list()
-    illegal = int(pdf["apart"].sum()) + sum(a + b not in ("su", "ua", "au") for a, b in zip(lasts, firsts[1:]))
-    return pd.DataFrame({"conv": pdf["conv"].to_list(), "piece": pdf["piece"].to_list(), "vector": vectors, "state": entered,
-                         "end": [i == n - 1 for i in range(n)], "least": cost, "illegal": illegal})
+            out.append((key, piece, before, total, states, roles[0], roles[-1], apart))
+        yield pd.DataFrame(out, columns=["key", "piece", "before", "total", "states", "first", "last", "apart"])
+
+
+def chained(batches):
+    """Vector behind and state before every piece, cost and illegal neighbours of its conversation.
+
+    Pieces come sorted by conversation and place; those of one conversation are held together, some numbers each.
+    """
+    def told(pieces):
+        n, at, state = len(pieces), 0, 0
+        vectors, entered, cost = [0] * n, [], FINISH[0]
+        for i in range(n - 1, -1, -1):
+            vectors[i] = at
+            cost, at = cost + int(pieces[i].total[at]), int(pieces[i].before[at])
+        for p, v in zip(pieces, vectors):
+            entered.append(state)
+            state = int(p.states[4 * v + state])
+        illegal = sum(p.apart for p in pieces) + sum(p.last + q.first not in ("su", "ua", "au") for p, q in zip(pieces, pieces[1:]))
+        return [(p.piece, v, s, i == n - 1, cost, illegal) for i, (p, v, s) in enumerate(zip(pieces, vectors, entered))]
+
+    pieces = []
+    for pdf in batches:
+        out = []
+        for p in pdf.itertuples(index=False):
+            if pieces and p.key != pieces[0].key:
+                out += told(pieces)
+                pieces = []
+            pieces.append(p)
+        yield pd.DataFrame(out, columns=_CHAIN)
+    yield pd.DataFrame(told(pieces) if pieces else [], columns=_CHAIN)
+
+
+_CHAIN = ["piece", "vector", "state", "end", "least", "illegal"]
 
 
 def rewritten(batches):
     """Edits of the pieces' rows: (row, edits, roles) where roles are those of the rows that come out of it."""
     for pdf in batches:
         out = []
-        for conv, piece, seq, vector, state, end in zip(pdf["conv"], pdf["piece"], pdf["seq"], pdf["vector"], pdf["state"], pdf["end"]):
+        for piece, seq, vector, state, end in zip(pdf["piece"], pdf["seq"], pdf["vector"], pdf["state"], pdf["end"]):
             edits, behind = trace(np.fromiter((x["symbol"] for x in seq), np.int64, len(seq)), int(vector), int(state))
             for k, (x, e) in enumerate(zip(seq, edits)):
                 at, roles = int(state), []
@@ -310,8 +322,8 @@ def rewritten(batches):
                     name = "a" if at == 2 else "u"
                     roles.append(ROLES[name])
                     at = NEXT[name][at]
-                out.append((conv, piece, k, e, more, roles))
-        yield pd.DataFrame(out, columns=["conv", "piece", "place", "edits", "more", "roles"])
+                out.append((piece, k, e, more, roles))
+        yield pd.DataFrame(out, columns=["piece", "place", "edits", "more", "roles"])
 
 
 def _kind(df: DataFrame, name: str) -> T.DataType:
@@ -349,16 +361,14 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
     ordered = stage(sort.mapInArrow(in_pieces(most_rows, most_bytes), schema).select("row.*", "piece", "place"))
     step = F.struct("place", "symbol", F.substring("role", 1, 1).alias("initial"), "copies")
     pieces = stage(ordered.groupBy("conv", "piece").agg(F.array_sort(F.collect_list(step)).alias("seq")))
-    conv = T.StructField("conv", _kind(ordered, "conv"))
-    kinds = T.StructType([conv, *T._parse_datatype_string(
-        "piece bigint, before array<int>, total array<bigint>, states array<int>, first string, last string, apart bigint").fields])
-    maps = pieces.mapInPandas(mapped, kinds)
-    chain_kinds = T.StructType([conv, *T._parse_datatype_string("piece bigint, vector int, state int, end boolean, least bigint, illegal bigint").fields])
-    chain = stage(maps.groupBy("conv").applyInPandas(chained, chain_kinds))
-    edit_kinds = T.StructType([conv, *T._parse_datatype_string("piece bigint, place int, edits string, more string, roles array<string>").fields])
-    edits = pieces.join(chain.select("piece", "vector", "state", "end"), "piece").select("conv", "piece", "seq", "vector", "state", "end") \
-        .mapInPandas(rewritten, edit_kinds)
-    out = ordered.join(edits.drop("conv"), ["piece", "place"]).select("conv", "piece", "place", "turn", "role", "text", "copies", "fault", "edits", "more", "roles")
+    # pandas would read a number of a conversation beside a missing one as a float
+    maps = pieces.select(F.to_json(F.struct("conv")).alias("key"), "piece", "seq").mapInPandas(
+        mapped, "key string, piece bigint, before array<int>, total array<bigint>, states array<int>, first string, last string, apart bigint")
+    chain = stage(maps.repartition("key").sortWithinPartitions("key", "piece").mapInPandas(
+        chained, "piece bigint, vector int, state int, end boolean, least bigint, illegal bigint"))
+    edits = pieces.select("piece", "seq").join(chain.select("piece", "vector", "state", "end"), "piece").select("piece", "seq", "vector", "state", "end") \
+        .mapInPandas(rewritten, "piece bigint, place int, edits string, more string, roles array<string>")
+    out = ordered.join(edits, ["piece", "place"]).select("conv", "piece", "place", "turn", "role", "text", "copies", "fault", "edits", "more", "roles")
     sums = ordered.groupBy("conv").agg(
         (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("gaps"),
         F.sum(F.when(F.col("fault") == "blank", F.col("copies")).otherwise(0)).alias("blank"),
@@ -366,7 +376,7 @@ def repair(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.count_if(F.col("fault") == "truncated").alias("truncated"),
         # a cell's further copies go as well
         (F.sum("copies") - F.count("*")).alias("further"))
-    told = chain.where("end").select(F.col("conv").alias("__conv"), "least", "illegal")
+    told = chain.where("end").join(pieces.select("piece", F.col("conv").alias("__conv")), "piece").select("__conv", "least", "illegal")
     sums = sums.join(told, F.col("conv").eqNullSafe(F.col("__conv"))).select(
         "conv", F.coalesce("gaps", F.lit(0)).cast("bigint").alias("gaps"), "blank", "duplicate", "truncated", "illegal",
         (F.col("least") + DELETE * F.col("further")).alias("cost"))
