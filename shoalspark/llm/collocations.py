@@ -1,6 +1,6 @@
 """Collocations of two and more words, counted by double-array tries.
 
-Words are counted first. For every further length one pass over all texts surveys: a phrase is a candidate only if
+Texts are written once as word numbers, and words are counted. For every further length one pass over all texts surveys: a phrase is a candidate only if
 the phrases without its last and without its first word are frequent (Apriori) and its occurrences, each task's capped at the
 least count, add up to that count. The next pass counts: the candidates are compiled into double-array tries over word
 numbers, broadcast one shard of bounded size at a time, and numpy moves the states of all positions of a text one
@@ -26,10 +26,10 @@ from shoalspark.staging import stage
 #: A-Z lower-cased, tab made a space, ends of pieces made 255, a byte that UTF-8 never has
 _PIECES = bytes(255 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"\xff"
-SLAB = 8 << 20
+SLAB = 2 << 20
 
 
-# --- words of a batch
+# --- texts as numbers
 
 
 class Words:
@@ -48,39 +48,45 @@ class Words:
         self.parts.append(np.zeros(1, np.int32))
         self.size += len(text)
 
-    def ids(self) -> np.ndarray:
-        return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
+    def row(self, lang: str) -> pa.RecordBatch:
+        # dictionaries keep the order of arrival, so the words come by their numbers; no word holds the byte between them
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([_END.join(itertools.islice(self.number, 1, None))], pa.binary()),
+                                           pa.array([np.concatenate(self.parts).tobytes()], pa.binary())], ["lang", "words", "ids"])
 
-    def spelled(self) -> list[bytes]:
-        """Words by local number; dictionaries keep the order of arrival, number 0 being the first entry."""
-        return list(self.number)
 
-
-def slabs(batches) -> Iterator[tuple[str, Words]]:
-    """Texts of a task by language, some megabytes at a time."""
+def encoded(batches):
+    """Texts of a task by language, some megabytes in a row."""
     for batch in batches:
         open_: dict[str, Words] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             words = open_.setdefault(lang, Words())
             words.add(text.as_py())
             if words.size >= SLAB:
-                yield lang, open_.pop(lang)
-        yield from open_.items()
+                yield open_.pop(lang).row(lang)
+        yield from (words.row(lang) for lang, words in open_.items())
+
+
+def slabs(batches) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+    """(language, words by local number, local numbers in order) of every row that ``encoded`` made."""
+    for batch in batches:
+        for lang, words, ids in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("ids")):
+            yield lang, pa.array((_END + words.as_py()).split(_END), pa.binary()), np.frombuffer(ids.as_buffer(), np.int32)
+            pa.default_memory_pool().release_unused()
 
 
 def word_counts(batches):
-    for lang, words in slabs(batches):
-        n = np.bincount(words.ids(), minlength=len(words.number))
-        spelled = words.spelled()
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(n) - 1), pa.string()), pa.array(spelled[1:], pa.binary()),
-                                          pa.array(n[1:])], ["lang", "phrase", "n"])
+    for lang, words, ids in slabs(batches):
+        n = np.bincount(ids, minlength=len(words))
+        here = np.flatnonzero(n[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(here), pa.string()), words.take(pa.array(here)), pa.array(n[here])],
+                                         ["lang", "phrase", "n"])
 
 
 # --- the trie
 
 
 class Trie:
-    """Double-array trie over word numbers; the first symbol of a path is the language.
+    """Double-array trie over rows of symbols.
 
     The child of state s by symbol c is ``base[s] + c`` if ``check`` there is s. ``phrase[s]`` is the number of the
     phrase that ends in s, or -1. Symbols are numbered from 1; 0 is no symbol.
@@ -134,7 +140,7 @@ class Trie:
         lo = self.low
         for _ in range(4):
             self._grow(lo + 256 + span + 1)
-            free = lo + np.flatnonzero(self.check[lo:lo + 256] < 0)
+            free = lo + np.flatnonzero(self.check[lo:lo + 256] < 0)[:max(1, (1 << 16) // len(c))]
             if len(free):
                 ok = (self.check[free[:, None] + (c - c[0])[None, :]] < 0).all(axis=1)
                 if ok.any():
@@ -153,38 +159,51 @@ class Trie:
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """States one symbol further, -1 where there is none; ``state`` holds -1 or states."""
         to = self.base[state] + symbol
-        return np.where((state >= 0) & (symbol > 0) & (self.check[to] == state), to, -1)
+        return np.where((state >= 0) & (symbol > 0) & (self.check[to] == state), to, np.int32(-1))
 
 
-def compile_trie(langs: list[str], phrases: list[bytes], length: int) -> tuple[dict, np.ndarray]:
-    """Trie of phrases of ``length`` words with the symbols of languages and words, and the phrases' order in it."""
-    names = {x: i + 1 for i, x in enumerate(sorted(set(langs)))}
-    words = [p.split(b" ") for p in phrases]
-    symbol = {w: i + 1 + len(names) for i, w in enumerate(sorted({x for p in words for x in p}))}
-    paths = np.empty((len(phrases), length + 1), np.int64)
-    paths[:, 0] = [names[x] for x in langs]
-    for k in range(length):
-        paths[:, k + 1] = [symbol[p[k]] for p in words]
-    order = np.lexsort(paths.T[::-1])
-    return {"trie": Trie(paths[order], len(names) + len(symbol)), "langs": names, "words": symbol, "length": length}, order
+class Candidates:
+    """Trie of phrases of ``length`` words, and the numbers that their table gives them in the trie's order.
 
+    A path has the language and the words, each as the two digits of its number to a base near the root of their count:
+    children then lie close together, and the arrays stay near the number of phrases.
+    """
 
-# --- a pass over the texts
+    def __init__(self, part: pa.Table, length: int):
+        langs = part.column("lang").combine_chunks().dictionary_encode()
+        words = pc.list_flatten(pc.split_pattern(part.column("phrase").combine_chunks(), " ")).dictionary_encode()
+        self.length, self.langs, self.words = length, langs.dictionary.to_pylist(), words.dictionary
+        self.radix = int(np.sqrt(max(len(self.langs), len(self.words)))) + 2
+        paths = np.empty((len(part), 2 * length + 2), np.int64)
+        paths[:, :2] = np.stack(self.digits(langs.indices.to_numpy() + 1), axis=1)
+        paths[:, 2::2], paths[:, 3::2] = self.digits(words.indices.to_numpy().reshape(-1, length) + 1)
+        order = np.lexsort(paths.T[::-1])
+        self.trie, self.number = Trie(paths[order], self.radix), part.column("number").to_numpy()[order]
+
+    def digits(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of numbers from 1; 0, an unknown word, has none."""
+        return np.where(number > 0, number // self.radix + 1, 0).astype(np.int32), (number % self.radix + 1).astype(np.int32)
+
+    def advance(self, lang: str, words: pa.Array, ids: np.ndarray) -> np.ndarray:
+        """States of all positions after ``length`` words."""
+        known = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        by_word = self.digits(known + 1)
+        ids = np.r_[ids, np.zeros(self.length, np.int32)]  # number 0 is no word
+        n = len(ids) - self.length
+        start = np.zeros(1, np.int32)
+        for digit in self.digits(np.array([self.langs.index(lang) + 1 if lang in self.langs else 0])):
+            start = self.trie.step(start, digit)
+        state = np.full(n, start[0], np.int32)
+        for k in range(self.length):
+            for digit in by_word:
+                state = self.trie.step(state, digit[ids[k:k + n]])
+        return state
 
 
-def advance(held: dict, lang: str, words: Words):
-    """States of all positions after ``length`` words and the words' local numbers."""
-    ids = words.ids()
-    trie, symbol = held["trie"], held["words"]
-    by_word = np.fromiter(map(symbol.get, words.spelled(), itertools.repeat(0)), np.int32, len(words.number))
-    symbols = np.r_[by_word[ids], np.zeros(held["length"], np.int32)]
-    state = np.full(len(ids), trie.step(np.zeros(1, np.int32), np.array([held["langs"].get(lang, 0)], np.int32))[0], np.int32)
-    for k in range(held["length"]):
-        state = trie.step(state, symbols[k:k + len(ids)])
-    return state, ids
+# --- a pass over the texts
 
 
-def surveyed(state: np.ndarray, ids: np.ndarray, words: Words, length: int, whole: bool, cap: int):
+def surveyed(state: np.ndarray, words: pa.Array, ids: np.ndarray, length: int, whole: bool, cap: int):
     """Phrases one word longer than the trie's of a slab, with their occurrences up to ``cap``.
 
     Their first words end in a state of the trie; if the trie is ``whole``, so do their last ones.
@@ -194,76 +213,72 @@ def surveyed(state: np.ndarray, ids: np.ndarray, words: Words, length: int, whol
     if whole:
         safe[:-1] &= state[1:] >= 0
     at = np.flatnonzero(safe)
-    _, first, n = np.unique(state[at].astype(np.int64) * len(words.number) + follow[at], return_index=True, return_counts=True)
-    spelled = pa.array(words.spelled(), pa.binary())
-    phrases = pc.binary_join_element_wise(*[spelled.take(pa.array(ids[at[first] + k])) for k in range(length + 1)], pa.scalar(b" ", pa.binary()))
+    _, first, n = np.unique(state[at].astype(np.int64) * len(words) + follow[at], return_index=True, return_counts=True)
+    phrases = pc.binary_join_element_wise(*[words.take(pa.array(ids[at[first] + k])) for k in range(length + 1)], pa.scalar(b" ", pa.binary()))
     return phrases, np.minimum(n, cap)
 
 
 def passed(shared, whole: bool, survey: bool, count: bool, cap: int):
-    """Rows (lang, phrase, n) of surveyed phrases, and (state's phrase number, n) of counted ones."""
+    """Rows (lang, phrase, n) of surveyed phrases and (number, n) of counted ones."""
     def run(batches):
-        held = shared.value
-        trie, length = held["trie"], held["length"]
-        bins = np.zeros(trie.size, np.int64)
-        for lang, words in slabs(batches):
-            state, ids = advance(held, lang, words)
+        held: Candidates = shared.value
+        bins = np.zeros(held.trie.size, np.int64)
+        for lang, words, ids in slabs(batches):
+            state = held.advance(lang, words, ids)
             if count:
-                bins += np.bincount(state[state >= 0], minlength=trie.size)
+                bins += np.bincount(state[state >= 0], minlength=len(bins))
             if survey:
-                phrases, n = surveyed(state, ids, words, length, whole, cap)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases,
-                                                  pa.nulls(len(n), pa.int32()), pa.array(n, pa.int64())], _ROWS)
-        at = np.flatnonzero((bins > 0) & (trie.phrase >= 0))
+                phrases, n = surveyed(state, words, ids, held.length, whole, cap)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.nulls(len(n), pa.int64()),
+                                                  pa.array(n, pa.int64())], _ROWS)
+        at = np.flatnonzero((bins > 0) & (held.trie.phrase >= 0))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.binary()),
-                                          pa.array(trie.phrase[at], pa.int32()), pa.array(bins[at])], _ROWS)
+                                          pa.array(held.number[held.trie.phrase[at]]), pa.array(bins[at])], _ROWS)
     return run
 
 
 _ROWS = ["lang", "phrase", "number", "n"]
 
 
-def one_pass(rows: DataFrame, candidates: DataFrame, length: int, survey: bool, count: bool, least: int,
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def one_pass(texts: DataFrame, candidates: DataFrame, length: int, survey: bool, count: bool, least: int,
              shard: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Counts of ``candidates`` (lang, phrase of ``length`` words) and the candidates one word longer.
 
     The candidates go through the texts in shards of about ``shard`` phrases, each a pass of its own.
     """
-    spark = rows.sparkSession
     shards = max(1, -(-candidates.count() // shard))
-    split = candidates.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).alias("shard"))
-    counted, seen = [], []
+    split = stage(candidates.select("lang", "phrase", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).alias("shard"))
+                  .withColumn("number", F.monotonically_increasing_id()))
+    sums = []
     for k in range(shards):
-        part = split.where(F.col("shard") == k).select("lang", "phrase").toArrow()
-        held, order = compile_trie(part.column("lang").to_pylist(), part.column("phrase").to_pylist(), length)
-        shared = spark.sparkContext.broadcast(held)
-        out = rows.mapInArrow(passed(shared, shards == 1, survey, count, least), "lang string, phrase binary, number int, n bigint")
-        # tasks' rows are added up before anything is kept
-        sums = stage(out.groupBy("lang", "phrase", "number").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("number").isNotNull()))
-        seen.append(sums.where("number is null").select("lang", "phrase"))
-        if count:
-            names = pa.table({"number": pa.array(np.arange(len(part)), pa.int32()), "lang": part.column("lang").take(pa.array(order)),
-                              "phrase": part.column("phrase").take(pa.array(order))})
-            counted.append(sums.where("number is not null").select("number", "n").join(stage(spark.createDataFrame(names)), "number")
-                           .select("lang", "phrase", "n"))
-
-    def union(frames):
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-    return (stage(union(counted).where(F.col("n") >= least)) if count else None,
-            stage(union(seen).distinct()) if survey else None)
+        held = Candidates(split.where(F.col("shard") == k).select("number", "lang", "phrase").toArrow(), length)
+        shared = texts.sparkSession.sparkContext.broadcast(held)
+        # a task hands over its bins once, so there are as many as slots of the cluster ask for, however large the input
+        out = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(passed(shared, shards == 1, survey, count, least), "lang string, phrase binary, number bigint, n bigint")
+        # a task has a phrase once for some megabytes of text, so adding its rows up before they move would only cost memory
+        sums.append(stage(out.repartition("lang", "phrase", "number").groupBy("lang", "phrase", "number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+        shared.unpersist()
+    every = _union(sums)
+    counted = every.where("number is not null").select("number", "n").join(split, "number").select("lang", "phrase", "n")
+    return stage(counted) if count else None, every.where("number is null").select("lang", "phrase") if survey else None
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = 3, least: int = 10,
                   shard: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
     """Word occurrences by language (lang, n), and by length from 1 the phrases (lang, phrase, n) with n >= ``least``."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    words = stage(rows.mapInArrow(word_counts, "lang string, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
+    texts = stage(rows.mapInArrow(encoded, "lang string, words binary, ids binary"))
+    words = stage(texts.mapInArrow(word_counts, "lang string, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     found = [words.where(F.col("n") >= least)]
     for length in range(1, longest + 1):
-        counted, longer = one_pass(rows, found[0] if length == 1 else longer, length, length < longest, length > 1, least, shard)
+        counted, longer = one_pass(texts, found[0] if length == 1 else longer, length, length < longest, length > 1, least, shard)
         if length > 1:
             found.append(counted)
     return words.groupBy("lang").agg(F.sum("n").alias("n")), found
@@ -286,7 +301,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longes
     candidate that stands in a longer one with at least ``share`` percent of its occurrences is dropped. The first ``top`` of a
     language by score, a (both falling) and phrase (by UTF-8 bytes) are returned; n is the number of all words of the
     language. Null texts are empty, a null language is ``und``, repeated rows count as often as they stand there, an empty table
-    gives no rows, other columns are ignored. Very long texts are split into words a megabyte at a time and need some 16
+    gives no rows, other columns are ignored. Very long texts are split into words a megabyte at a time and need some 20
     bytes a word. Integers are exact while a < 10^16.
     """
     totals, found = phrase_counts(docs, text_col, lang_col, longest, least, shard)

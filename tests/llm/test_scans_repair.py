@@ -219,7 +219,7 @@ def talks(seed, n=40, longest=14):
     for c in range(n):
         for t in range(rng.randrange(1, longest)):
             text = rng.choice(["", " \t", None, "Yes.", "No", "Why?", f"Text {rng.randrange(30)}!", "Ünïcödé。 ", "ends here. \n", "x "])
-            rows.append((c if c % 17 else None, None if rng.random() < 0.1 else t // (1 + c % 2), rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None, ""]), text))
+            rows.append((c + (1 << 60) if c % 17 else None, None if rng.random() < 0.1 else t // (1 + c % 2), rng.choice(["user", "assistant", "user", "assistant", "system", "tool", None, ""]), text))
     return rows
 
 
