@@ -1,8 +1,8 @@
 """Three-state hidden Markov models with beta observations on regular series.
 
-Sequences are packed one per row, in time order, inside the JVM. The session clock has two-digit
-minutes, so a one-second series has at most 6000 steps however many frames an entity has. The
-recursions then run over all sequences of an Arrow batch at once. Only expected counts per stratum
+Sequences are packed in time order inside the JVM, one row per entity unless it is longer than a piece. The
+recursions run over all rows of an Arrow batch at once; pieces of a long entity first become one 3 x 3 product
+each, these few are chained, and every piece is then worked on between what bounds it. Only expected counts per stratum
 (a 3 x 3 table for each) return to the driver between rounds.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import lgamma
 
 import numpy as np
@@ -105,16 +106,22 @@ def strata_of(df: DataFrame, cols: Sequence[str]) -> Strata:
 
 
 def sequences(df: DataFrame, entity: Sequence[str], value: str, strata: Strata, time: str = "time",
-              max_steps: int = 50_000) -> DataFrame:
-    """One row per entity with arrays ``t`` (time), ``x`` (value) and ``s`` (stratum of the row).
+              piece_steps: int = 8192) -> DataFrame:
+    """One row per entity and ``piece`` of its time with arrays ``t`` (time), ``x`` (value) and ``s`` (stratum of the row).
 
-    A sequence is one row, so one longer than ``max_steps`` (a day at two seconds) is an error: widen the time step.
+    A piece spans ``piece_steps`` time steps; ``cut`` marks entities of several pieces, whose recursions are put
+    together by ``_bounded``. The table is staged.
     """
     step = F.struct(F.col(time).cast("bigint").alias("t"), F.col(value).alias("x"), strata.index().alias("s"))
-    packed = df.groupBy(*entity).agg(F.array_sort(F.collect_list(step)).alias("q"))
-    long = F.raise_error(F.concat(F.lit("sequence of more than "), F.lit(max_steps), F.lit(" steps: "), F.to_json(F.struct(*entity))))
-    packed = packed.withColumn("q", F.when(F.size("q") <= max_steps, F.col("q")).otherwise(long.cast(packed.schema["q"].dataType)))
-    return packed.select(*entity, *[F.col(f"q.{c}").alias(c) for c in ("t", "x", "s")])
+    piece = F.floor((F.col(time).cast("bigint") - 1) / piece_steps).cast("bigint").alias("piece")
+    packed = df.groupBy(*entity, piece).agg(F.array_sort(F.collect_list(step)).alias("q"))
+    packed = packed.repartition(shuffle_partitions(df.sparkSession), *entity, "piece")
+    seqs = stage(packed.select(*entity, "piece", *[F.col(f"q.{c}").alias(c) for c in ("t", "x", "s")]))
+    long = seqs.groupBy(*entity).agg(F.count("*").alias("pieces")).where("pieces > 1").select(*[F.col(c).alias(f"__{c}") for c in entity])
+    if long.isEmpty():
+        return seqs.withColumn("cut", F.lit(False))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in entity])
+    return stage(seqs.join(long.withColumn("cut", F.lit(True)), same, "left").select(*seqs.columns, F.coalesce("cut", F.lit(False)).alias("cut")))
 
 
 # --- recursions over a block of sequences
@@ -151,7 +158,13 @@ def _left(row: np.ndarray, mats: np.ndarray) -> np.ndarray:
     return row[:, :1] * mats[:, 0] + row[:, 1:2] * mats[:, 1] + row[:, 2:] * mats[:, 2]
 
 
-def _forward(x, s, lens, tpm, delta, shapes):
+def _entered(at, s, delta, tpm):
+    """Law of the first step: the start law, or one step after the filtered law ``at`` in front of a piece."""
+    first = delta[s[:, 0]]
+    return first if at is None else np.where(np.isnan(at[:, :1]), first, _left(at, tpm[s[:, 0]]))
+
+
+def _forward(x, s, lens, tpm, delta, shapes, at=None):
     """Filtered laws, one-step predictions, scaled emissions and log-likelihood per sequence."""
     n, t_max = x.shape
     log_b = _log_emission(x, shapes)
@@ -164,7 +177,7 @@ def _forward(x, s, lens, tpm, delta, shapes):
     current = None
     for t in range(t_max):
         live = t < lens
-        pred[:, t] = delta[s[:, 0]] if t == 0 else _left(current, tpm[s[:, t]])
+        pred[:, t] = _entered(at, s, delta, tpm) if t == 0 else _left(current, tpm[s[:, t]])
         joint = pred[:, t] * b[:, t]
         c = joint.sum(axis=1)
         alpha[:, t] = joint / c[:, None]
@@ -174,13 +187,19 @@ def _forward(x, s, lens, tpm, delta, shapes):
     return alpha, pred, b, scale, loglik
 
 
-def _expected_counts(x, s, lens, tpm, delta, shapes):
-    """Expected transitions (sequence, stratum of the destination row, from, to) and log-likelihood."""
-    alpha, _, b, scale, loglik = _forward(x, s, lens, tpm, delta, shapes)
+def _expected_counts(x, s, lens, tpm, delta, shapes, at=None, behind=None):
+    """Expected transitions (sequence, stratum of the destination row, from, to) and log-likelihood.
+
+    ``at`` is the filtered law in front of a piece, ``behind`` the likelihood of what follows it by state.
+    """
+    alpha, _, b, scale, loglik = _forward(x, s, lens, tpm, delta, shapes, at)
     n, t_max = x.shape
     counts = np.zeros((n, len(tpm), 3, 3))
     rows = np.arange(n)
     beta = np.ones((n, 3))
+    if behind is not None:
+        given = np.where(np.isnan(behind), 1.0, behind)
+        beta = given / (alpha[rows, lens - 1] * given).sum(axis=1, keepdims=True)
     for t in range(t_max - 1, 0, -1):
         live = t < lens
         g = tpm[s[:, t]]
@@ -188,17 +207,26 @@ def _expected_counts(x, s, lens, tpm, delta, shapes):
         xi = alpha[:, t - 1, :, None] * g * ahead[:, None, :]
         counts[rows, s[:, t]] += np.where(live[:, None, None], xi, 0.0)
         beta = np.where(live[:, None], (g * ahead[:, None, :]).sum(axis=2), beta)
+    if at is not None:  # the step into a piece
+        xi = at[:, :, None] * tpm[s[:, 0]] * (b[:, 0] * beta / scale[:, 0, None])[:, None, :]
+        counts[rows, s[:, 0]] += np.where(np.isnan(xi), 0.0, xi)
     return counts, loglik
 
 
-def _viterbi(x, s, lens, tpm, delta, shapes):
-    """Most likely state path per sequence (1-based); ties go to the lowest state."""
+def _viterbi(x, s, lens, tpm, delta, shapes, at=None, behind=None):
+    """Most likely state path per sequence (1-based); ties go to the lowest state.
+
+    ``at`` are the best scores in front of a piece, the first of ``behind`` its last state.
+    """
     with np.errstate(divide="ignore"):
         log_p, log_d = np.log(tpm), np.log(delta)
     log_b = _log_emission(x, shapes)
     n, t_max = x.shape
     back = np.zeros((n, t_max, 3), dtype=np.int8)
     score = log_d[s[:, 0]] + log_b[:, 0]
+    if at is not None:
+        inside = (at[:, :, None] + log_p[s[:, 0]]).max(axis=1) + log_b[:, 0]
+        score = np.where(np.isnan(at[:, :1]), score, inside)
     for t in range(1, t_max):
         live = t < lens
         cand = score[:, :, None] + log_p[s[:, t]]
@@ -206,17 +234,24 @@ def _viterbi(x, s, lens, tpm, delta, shapes):
         score = np.where(live[:, None], cand.max(axis=1) + log_b[:, t], score)
     path = np.zeros((n, t_max), dtype=int)
     path[:, -1] = score.argmax(axis=1)
+    if behind is not None:
+        path[:, -1] = np.where(np.isnan(behind[:, 0]), path[:, -1], np.nan_to_num(behind[:, 0]))
     for t in range(t_max - 1, 0, -1):
         path[:, t - 1] = back[np.arange(n), t, path[:, t]]
     return path + 1
 
 
+def _given(column: pd.Series) -> np.ndarray:
+    """Three numbers a row, not-a-number where a piece has no neighbour on that side."""
+    return np.array([v if v is not None else [np.nan] * 3 for v in column], dtype=float).reshape(-1, 3)
+
+
 def _blocks(pdf: pd.DataFrame):
-    """Slices of an Arrow batch with sequences of similar length together."""
+    """Slices of an Arrow batch with sequences of similar length together: rows, padded arrays, what bounds the pieces."""
     order = np.argsort([len(v) for v in pdf["x"]], kind="stable")
     for lo in range(0, len(order), BLOCK):
         part = pdf.iloc[order[lo:lo + BLOCK]]
-        yield part, _pad(part["x"].to_numpy(), part["s"].to_numpy())
+        yield part, _pad(part["x"].to_numpy(), part["s"].to_numpy()), (_given(part["at"]), _given(part["behind"]))
 
 
 def _start_law(tpm: np.ndarray, initial) -> np.ndarray:
@@ -236,6 +271,97 @@ def _fields(df: DataFrame, cols: Sequence[str]) -> list[T.StructField]:
     return [df.schema[c] for c in cols]
 
 
+# --- pieces of long sequences
+
+
+def _product(x, s, lens, tpm, delta, shapes, best: bool):
+    """What a piece does to any law in front of it: four rows, three for the states and one for the start law.
+
+    Sums of products, each row set scaled, or with ``best`` greatest sums of logarithms.
+    """
+    log_b = _log_emission(x, shapes)
+    with np.errstate(divide="ignore"):
+        step = np.log(tpm) if best else tpm
+        start = np.log(delta) if best else delta
+    b = log_b if best else np.exp(log_b - log_b.max(axis=-1, keepdims=True))
+    m = np.concatenate([step[s[:, 0]], start[s[:, 0]][:, None]], axis=1)
+    m = m + b[:, 0, None] if best else m * b[:, 0, None]
+    for t in range(1, x.shape[1]):
+        live = (t < lens)[:, None, None]
+        g = step[s[:, t]]
+        if best:
+            new = (m[:, :, :, None] + g[:, None]).max(axis=2) + b[:, t, None]
+        else:
+            new = (m @ g) * b[:, t, None]
+            new /= np.maximum(np.concatenate([np.repeat(new[:, :3].max(axis=(1, 2), keepdims=True), 3, axis=1), new[:, 3:].max(axis=2, keepdims=True)], axis=1), 1e-300)
+        m = np.where(live, new, m)
+    return m
+
+
+def _chain(products: list[np.ndarray], best: bool):
+    """What bounds each piece of one sequence: the law or scores in front of it and what follows, None at the ends."""
+    at, behind = [None], [None]
+    for k, m in enumerate(products[:-1]):
+        if best:
+            v = m[3] if k == 0 else (at[-1][:, None] + m[:3]).max(axis=0)
+            at.append(v - v.max())
+        else:
+            v = m[3] if k == 0 else at[-1] @ m[:3]
+            at.append(v / v.sum())
+    if best:
+        state = int((at[-1][:, None] + products[-1][:3]).max(axis=0).argmax())
+    for k in range(len(products) - 1, 0, -1):
+        if best:
+            state = int((at[k] + products[k][:3, state]).argmax())
+            behind.append(np.full(3, float(state)))
+        else:
+            v = products[k][:3] @ (np.ones(3) if behind[-1] is None else behind[-1])
+            behind.append(v / v.max())
+    return at, behind[::-1]
+
+
+def _bounded(seqs: DataFrame, entity: Sequence[str], mats: np.ndarray, delta: np.ndarray, shapes, best: bool = False) -> tuple[DataFrame, bool]:
+    """``seqs`` with ``at`` and ``behind``, what bounds a piece of a cut entity, and whether there are such entities.
+
+    Every piece becomes a 3 x 3 product by itself; only these are chained by entity, 12 numbers a piece.
+    """
+    none = F.lit(None).cast("array<double>")
+    if seqs.where("cut").isEmpty():
+        return seqs.withColumns({"at": none, "behind": none}), False
+
+    def products(batches):
+        for pdf in batches:
+            if len(pdf):
+                order = np.argsort([len(v) for v in pdf["x"]], kind="stable")
+                for lo in range(0, len(order), BLOCK):
+                    part = pdf.iloc[order[lo:lo + BLOCK]]
+                    m = _product(*_pad(part["x"].to_numpy(), part["s"].to_numpy()), mats, delta, shapes, best)
+                    yield pd.DataFrame({"key": part["key"].to_numpy(), "piece": part["piece"].to_numpy(), "m": list(m.reshape(-1, 12))})
+
+    def chained(batches):
+        key, pieces, ms = None, [], []
+
+        def told():
+            at, behind = _chain(ms, best)
+            return pd.DataFrame({"key": key, "piece": pieces, "at": at, "behind": behind}) if ms else pd.DataFrame(columns=["key", "piece", "at", "behind"])
+        for pdf in batches:
+            for now, piece, m in zip(pdf["key"], pdf["piece"], pdf["m"]):
+                if ms and now != key:
+                    yield told()
+                    pieces, ms = [], []
+                key = now
+                pieces.append(piece)
+                ms.append(np.asarray(m, dtype=float).reshape(4, 3))
+        if ms:
+            yield told()
+
+    keyed = seqs.withColumn("__key", F.to_json(F.struct(*entity)))  # pandas would read numbers beside missing ones as floats
+    maps = keyed.where("cut").select(F.col("__key").alias("key"), "piece", "x", "s").mapInPandas(products, "key string, piece bigint, m array<double>")
+    chain = maps.repartition("key").sortWithinPartitions("key", "piece").mapInPandas(chained, "key string, piece bigint, at array<double>, behind array<double>")
+    chain = stage(chain.withColumnsRenamed({"key": "__key"}))
+    return keyed.join(chain, ["__key", "piece"], "left").drop("__key"), True
+
+
 # --- operators on packed sequences
 
 
@@ -244,16 +370,18 @@ def loglik(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial=
     """Log-likelihood per entity."""
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
+    bounded, cut = _bounded(seqs, entity, mats, delta, shapes)
 
     def run(batches):
         for pdf in batches:
-            for part, (x, s, lens) in _blocks(pdf):
-                *_, ll = _forward(x, s, lens, mats, delta, shapes)
+            for part, (x, s, lens), (at, _) in _blocks(pdf):
+                *_, ll = _forward(x, s, lens, mats, delta, shapes, at)
                 yield part[list(entity)].assign(steps=lens, loglik=ll)
 
     schema = T.StructType([*_fields(seqs, entity), T.StructField("steps", T.LongType()),
                            T.StructField("loglik", T.DoubleType())])
-    return seqs.select(*entity, "x", "s").mapInPandas(run, schema)
+    out = bounded.select(*entity, "x", "s", "at", "behind").mapInPandas(run, schema)
+    return out.groupBy(*entity).agg(F.sum("steps").alias("steps"), F.sum("loglik").alias("loglik")) if cut else out
 
 
 def expected_counts(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",
@@ -262,11 +390,12 @@ def expected_counts(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata,
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
     k = len(mats)
+    bounded, cut = _bounded(seqs, entity, mats, delta, shapes)
 
     def run(batches):
         for pdf in batches:
-            for part, (x, s, lens) in _blocks(pdf):
-                counts, _ = _expected_counts(x, s, lens, mats, delta, shapes)
+            for part, (x, s, lens), (at, behind) in _blocks(pdf):
+                counts, _ = _expected_counts(x, s, lens, mats, delta, shapes, at, behind)
                 seen = np.zeros((len(lens), k), dtype=bool)
                 for i, n in enumerate(lens):
                     seen[i, np.unique(s[i, :n])] = True
@@ -276,23 +405,25 @@ def expected_counts(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata,
 
     schema = T.StructType([*_fields(seqs, entity), T.StructField("s", T.IntegerType()),
                            T.StructField("c", T.ArrayType(T.DoubleType()))])
-    return seqs.select(*entity, "x", "s").mapInPandas(run, schema)
+    out = bounded.select(*entity, "x", "s", "at", "behind").mapInPandas(run, schema)
+    return out.groupBy(*entity, "s").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(9)]).alias("c")) if cut else out
 
 
-def _round(seqs: DataFrame, mats: np.ndarray, delta: np.ndarray, shapes) -> tuple[np.ndarray, float]:
-    """Total expected counts per stratum and total log-likelihood: one job, 9 K + 1 numbers back."""
+def _round(seqs: DataFrame, entity: Sequence[str], mats: np.ndarray, delta: np.ndarray, shapes) -> tuple[np.ndarray, float]:
+    """Total expected counts per stratum and total log-likelihood: 9 K + 1 numbers back."""
     k = len(mats)
+    bounded, _ = _bounded(seqs, entity, mats, delta, shapes)
 
     def run(batches):
         total = np.zeros(9 * k + 1)
         for pdf in batches:
-            for _, (x, s, lens) in _blocks(pdf):
-                counts, ll = _expected_counts(x, s, lens, mats, delta, shapes)
+            for _, (x, s, lens), (at, behind) in _blocks(pdf):
+                counts, ll = _expected_counts(x, s, lens, mats, delta, shapes, at, behind)
                 total[:-1] += counts.sum(axis=0).ravel()
                 total[-1] += ll.sum()
         yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
 
-    rows = seqs.select("x", "s").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = bounded.select("x", "s", "at", "behind").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(9 * k + 1)
     for r in rows:
         flat[r["i"]] = r["v"]
@@ -346,7 +477,7 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
     # the series is staged before its covariate cells are listed, so its frames are read once
     rows = stage(df.select(*dict.fromkeys([*entity, *strata_cols, time, value])))
     strata = strata_of(rows, strata_cols)
-    seqs = stage(sequences(rows, entity, value, strata, time).repartition(shuffle_partitions(df.sparkSession), *entity))
+    seqs = sequences(rows, entity, value, strata, time)
     mats = _matrices(start, strata).copy()
     for i, j in zeros:
         mats[:, i - 1, j - 1] = 0.0
@@ -356,7 +487,7 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
     while not converged and len(trace) < max_iter:
         if counts is not None:
             mats = _normalise(counts, mats)
-        counts, ll = _round(seqs, mats, _start_law(mats, initial), shapes)
+        counts, ll = _round(seqs, entity, mats, _start_law(mats, initial), shapes)
         trace.append(ll)
         converged = len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * (1 + abs(ll))
     if strict and not converged:
@@ -369,15 +500,16 @@ def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial
     """Decoded ``state`` per (entity, time), with the number ``s`` of the row's stratum."""
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
+    bounded, _ = _bounded(seqs, entity, mats, delta, shapes, best=True)
 
     def run(batches):
         for pdf in batches:
-            for part, (x, s, lens) in _blocks(pdf):
-                path = _viterbi(x, s, lens, mats, delta, shapes)
+            for part, (x, s, lens), (at, behind) in _blocks(pdf):
+                path = _viterbi(x, s, lens, mats, delta, shapes, at, behind)
                 yield part[[*entity, "t", "x", "s"]].assign(z=[path[i, :n].astype(np.int32) for i, n in enumerate(lens)])
 
     schema = T.StructType([*_fields(seqs, [*entity, "t", "x", "s"]), T.StructField("z", T.ArrayType(T.IntegerType()))])
-    packed = seqs.select(*entity, "t", "x", "s").mapInPandas(run, schema)
+    packed = bounded.select(*entity, "t", "x", "s", "at", "behind").mapInPandas(run, schema)
     rows = packed.select(*entity, F.explode(F.arrays_zip("t", "x", "s", "z")).alias("q"))
     return rows.select(*entity, F.col("q.t").alias("time"), F.col("q.x").alias("value"), F.col("q.s").alias("s"), F.col("q.z").alias("state"))
 
@@ -387,18 +519,19 @@ def pseudo_residuals(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata
     """Forecast pseudo-residual per (entity, time): normal quantile of the predictive CDF."""
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
+    bounded, _ = _bounded(seqs, entity, mats, delta, shapes)
 
     def run(batches):
         for pdf in batches:
-            for part, (x, s, lens) in _blocks(pdf):
-                _, pred, *_ = _forward(x, s, lens, mats, delta, shapes)
+            for part, (x, s, lens), (at, _) in _blocks(pdf):
+                _, pred, *_ = _forward(x, s, lens, mats, delta, shapes, at)
                 cdf = np.stack([S.betainc(a, b, np.clip(x, EPS, 1 - EPS)) for a, b in shapes], axis=-1)
                 u = np.clip((pred * cdf).sum(axis=-1), 1e-12, 1 - 1e-12)
                 z = S.norm_ppf(u)
                 yield part[[*entity, "t"]].assign(r=[z[i, :n] for i, n in enumerate(lens)])
 
     schema = T.StructType([*_fields(seqs, [*entity, "t"]), T.StructField("r", T.ArrayType(T.DoubleType()))])
-    packed = seqs.select(*entity, "t", "x", "s").mapInPandas(run, schema)
+    packed = bounded.select(*entity, "t", "x", "s", "at", "behind").mapInPandas(run, schema)
     rows = packed.select(*entity, F.explode(F.arrays_zip("t", "r")).alias("q"))
     return rows.select(*entity, F.col("q.t").alias("time"), F.col("q.r").alias("residual"))
 

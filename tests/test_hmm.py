@@ -41,10 +41,12 @@ def brute(xs, parts, delta):
     return paths, dens
 
 
-def test_against_enumeration(steps):
+@pytest.mark.parametrize("piece_steps", [8192, 1, 2, 3])
+def test_against_enumeration(steps, piece_steps):
     delta = H.stationary(TPM)
     assert np.allclose(np.einsum("ki,kij->kj", delta, TPM), delta)
-    seqs = H.sequences(steps, ["fish"], "x", STRATA)
+    seqs = H.sequences(steps, ["fish"], "x", STRATA, piece_steps=piece_steps)
+    assert seqs.count() == sum(-(-len(xs) // piece_steps) for xs, _ in SEQS.values())
     ll = {r["fish"]: r["loglik"] for r in H.loglik(seqs, ["fish"], TPM, STRATA).collect()}
     decoded = {}
     for r in H.viterbi(seqs, ["fish"], TPM, STRATA).collect():
@@ -182,3 +184,24 @@ def test_pooling_strength_is_found_from_the_counts(spark, long_steps):
     counts = spark.createDataFrame(rows, "fish string, s int, c array<double>")
     assert H.pooling_strength(counts, fit) == pytest.approx(12.0, rel=0.3)
     assert H.shrink_by_entity(counts, fit).count() == 800
+
+
+def test_one_entity_with_half_of_all_steps(spark):
+    """Cut in pieces, a long entity gives what it gives in one row."""
+    rng = np.random.default_rng(5)
+    rows = [((1 << 60) + 1, "After", float(x), i + 1) for i, x in enumerate(rng.beta(3, 4, 6000))]
+    rows += [((1 << 60) + 2 + k, ["Before", "After"][i > 90], float(x), i + 1) for k in range(30) for i, x in enumerate(rng.beta(4, 3, 200))]
+    df = spark.createDataFrame(rows, "fish bigint, part string, x double, time int").repartition(8)
+    one, cut = (H.sequences(df, ["fish"], "x", STRATA, piece_steps=p) for p in (10_000, 512))
+    assert one.count() == 31 and cut.count() == 30 + 12 and cut.where("cut").count() == 12
+
+    def both(make, key):
+        return [{tuple(r[k] for k in key): r for r in make(seqs).collect()} for seqs in (one, cut)]
+    a, b = both(lambda q: H.loglik(q, ["fish"], TPM, STRATA), ["fish"])
+    assert a.keys() == b.keys() and all(a[k]["steps"] == b[k]["steps"] and a[k]["loglik"] == pytest.approx(b[k]["loglik"], rel=1e-12) for k in a)
+    a, b = both(lambda q: H.expected_counts(q, ["fish"], TPM, STRATA), ["fish", "s"])
+    assert a.keys() == b.keys() and all(np.allclose(a[k]["c"], b[k]["c"], rtol=1e-9) for k in a)
+    a, b = both(lambda q: H.viterbi(q, ["fish"], TPM, STRATA), ["fish", "time"])
+    assert a.keys() == b.keys() and all(a[k]["state"] == b[k]["state"] for k in a)
+    a, b = both(lambda q: H.pseudo_residuals(q, ["fish"], TPM, STRATA), ["fish", "time"])
+    assert a.keys() == b.keys() and all(a[k]["residual"] == pytest.approx(b[k]["residual"], abs=1e-9) for k in a)
