@@ -15,34 +15,55 @@ from shoalspark.staging import small_side, stage
 
 WIDTH = 5
 #: a capitalised word that does not begin a sentence or line
-NAME = r"(?<![.!?:;\s])[ \t]+(\p{Lu}[\p{L}\p{M}'-]*)"
+NAME = r"(?<![.!?:;\s])[ \t]+\p{Lu}[\p{L}\p{M}'-]*"
 NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-# fixed values: units that may follow a number
+# fixed values: units that may follow a number, and endings of ordinals
 UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "t", "l", "ml", "s", "ms", "min", "h", "mph", "kmh", "hz", "khz", "w", "kw",
          "v", "a", "j", "kj", "pa", "c", "f", "k", "mb", "gb", "tb", "usd", "eur", "miles", "meters", "metres", "hours",
          "minutes", "seconds", "days", "weeks", "months", "years", "dollars", "euros", "cents", "percent"]
-UNIT = rf"(?<=<num>)[ ]?(%|°C|°F|€|\$|£|(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}]))"
+ORDINAL = ["st", "nd", "rd", "th"]
+#: behind a digit: letters without a blank (4th, 5pm, 3D, 1990s), or a unit after one blank at most
+SUFFIX = r"(?<=\p{Nd})([\p{L}\p{M}]+)"
+UNIT = rf"(?<=\p{{Nd}})[ ]?(%|°C|°F|€|\$|£|(?i:{'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}\p{{M}}]))"
+MARK, JOIN = "\u0001", "\u0002"
+TOKEN = rf"{NAME}|{NUMBER}(?:{JOIN}\S+)?|{MARK}\S+|[\p{{L}}\p{{M}}]+"
 PLACEHOLDERS = ["<name>", "<num>", "<unit>"]
 
 
-def canonical(text: Column) -> Column:
-    """The text with typed placeholders, lower-cased."""
-    named = F.regexp_replace(text, NAME, " <name>")
-    return F.lower(F.regexp_replace(F.regexp_replace(named, NUMBER, " <num>"), UNIT, " <unit>"))
+def tokens(text: Column) -> Column:
+    """Names (with the blank before them), numbers, units (behind a mark) and words of a text in order.
+
+    A number with letters right behind it keeps these in its value, and they are a unit of their own besides.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, SUFFIX, f"{JOIN}$1 {MARK}$1 "), UNIT, f" {MARK}$1 ")
+    return F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+
+
+def _first(token: Column) -> Column:
+    return F.left(token, F.lit(1))
+
+
+def template_word(token: Column) -> Column:
+    """Placeholder or lower-cased word of a token."""
+    c = _first(token)
+    return F.when(c.between("a", "z"), F.lower(token)).when(c.isin(" ", "\t"), "<name>").when(c == MARK, "<unit>") \
+        .when(token.rlike(r"^\p{Nd}"), "<num>").otherwise(F.lower(token))
+
+
+def slot_value(token: Column) -> Column:
+    """What stands in the token's slot; endings of ordinals are one value."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(token, r"^[ \t]+", "")), rf"([{MARK}{JOIN}])(?:{'|'.join(ORDINAL)})$", "$1th")
+    return F.regexp_replace(bare, rf"[{MARK}{JOIN}]", "")
 
 
 def template_words(text: Column) -> Column:
     """Words and placeholders in order, punctuation left out."""
-    return F.array_remove(F.split(canonical(text), r"[^\p{L}\p{M}<>]+"), "")
+    return F.transform(tokens(text), template_word)
 
 
-def slot_values(text: Column) -> dict[str, Column]:
-    """By type of placeholder, the values in order."""
-    named = F.regexp_replace(text, NAME, " <name>")
-    numbered = F.regexp_replace(named, NUMBER, " <num>")
-    return {"<name>": F.regexp_extract_all(text, F.lit(NAME), F.lit(1)),
-            "<num>": F.regexp_extract_all(named, F.lit(NUMBER), F.lit(0)),
-            "<unit>": F.regexp_extract_all(numbered, F.lit(UNIT), F.lit(1))}
+def literal_words(text: Column) -> Column:
+    """The same with the values in their slots."""
+    return F.transform(tokens(text), lambda t: F.concat(template_word(t), F.lit(" "), slot_value(t)))
 
 
 def windows(words: str, width: int = WIDTH) -> Column:
@@ -62,13 +83,9 @@ def text_hash(text_col: str) -> Column:
 
 def slots(rows: DataFrame, *key: str) -> DataFrame:
     """(key, position, kind, value) of every placeholder of the texts in ``rows`` (key, text)."""
-    text = F.col("text")
-    values = slot_values(text)
-    seen = rows.select(*key, template_words(text).alias("words"), *[v.alias(f"v{i}") for i, v in enumerate(values.values())])
-    placed = seen.select("*", F.posexplode("words").alias("position", "kind")).where(F.col("kind").isin(PLACEHOLDERS))
-    ordinal = F.size(F.filter(F.slice("words", 1, F.col("position") + 1), lambda x: x == F.col("kind"))) - 1
-    value = F.coalesce(*[F.when(F.col("kind") == p, F.get(F.col(f"v{i}"), ordinal)) for i, p in enumerate(values)])
-    return placed.select(*key, "position", "kind", F.lower(F.coalesce(value, F.lit(""))).alias("value"))
+    placed = rows.select(*key, F.posexplode(tokens(F.col("text"))).alias("position", "token")) \
+        .select(*key, "position", template_word(F.col("token")).alias("kind"), "token").where(F.col("kind").isin(PLACEHOLDERS))
+    return placed.select(*key, "position", "kind", slot_value(F.col("token")).alias("value"))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int, literal: int) -> DataFrame:
@@ -80,14 +97,43 @@ def benchmark_windows(benchmark: DataFrame, width: int, literal: int) -> DataFra
     return per.select("item", "at", "hash").join(sizes, "item")
 
 
+def literal_hits(docs: DataFrame, items: DataFrame, width: int, share: float) -> DataFrame:
+    """(doc, th, item, n, size) for items (item, text) compared with their values, as they stand.
+
+    Items shorter than ``width`` are one window of their own length, at least two words.
+    """
+    listed = items.select("item", literal_words(F.coalesce("text", F.lit(""))).alias("words"))
+    found = None
+    for k in range(2, width + 1):
+        size = F.size("words")
+        wanted = listed.where(size >= k if k == width else size == k).select("item", F.posexplode(windows("words", k)).alias("at", "hash"))
+        wanted = small_side(wanted.join(wanted.groupBy("item").agg(F.count("*").alias("size")), "item"))
+        if wanted.isEmpty():  # no text is read for lengths that no item has
+            continue
+        seen = docs.where("text is not null").select("doc", "th", literal_words(F.col("text")).alias("words")) \
+            .select("doc", "th", F.explode(windows("words", k)).alias("hash"))
+        hits = seen.join(wanted, "hash").groupBy("doc", "th", "item", "size").agg(F.count_distinct("at").alias("n"))
+        hits = hits.where(F.col("n") >= F.lit(share) * F.col("size")).select("doc", "th", "item", "n", "size")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def unmatchable(benchmark: DataFrame, item_text_col: str = "text") -> DataFrame:
+    """Items that cannot be searched for: those of fewer than two words, numbers or names."""
+    return benchmark.where(F.size(tokens(F.coalesce(F.col(item_text_col), F.lit("")))) < 2)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
           item_text_col: str = "text", width: int = WIDTH, share: float = 0.8, literal: int = 2) -> DataFrame:
     """Documents that hold benchmark items, verbatim or with other parameters.
 
     Returns one row per (text, item) found: doc_id, text_hash, item_id, n_windows (windows of the item found on
     consistent alignments), n_item_windows and kind (``verbatim`` if all slots of those alignments have the item's
-    values, else ``reparameterised``). Items shorter than ``width`` template words, null and empty texts match
-    nothing. Every text is judged by itself, also if rows share an id or have none, and reported under its id;
+    values, else ``reparameterised``). Items without a window of ``literal`` words of their own, among them those shorter than
+    ``width``, are found as they stand only, by windows that hold the values; items of less than two words
+    (``unmatchable`` lists them), null and empty texts match nothing. Very long texts are tokenised once and windowed in
+    place, which takes time and memory in proportion to them; a value never parts from its slot, as both come from
+    one token. Every text is judged by itself, also if rows share an id or have none, and reported under its id;
     ``by_document`` folds texts of one id. Items that share an id are one item. Repeated rows change nothing, an empty
     table gives no rows, other columns are ignored.
     """
@@ -118,7 +164,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     judged = filled.groupBy("doc", "th", "item", "shift").agg(F.max("values").alias("values"), F.max("other").alias("other"))
     consistent = aligned.join(judged, ["doc", "th", "item", "shift"], "left").where("values is null or values = 1")
     kinds = consistent.groupBy("doc", "th", "item").agg(F.max(F.coalesce("other", F.lit(False))).alias("other"))
-    found = covered(consistent).join(kinds, ["doc", "th", "item"])
+    found = covered(consistent).join(kinds, ["doc", "th", "item"]).select("doc", "th", "item", "n", "size", "other")
+    plain = literal_hits(rows, items.join(wanted.select("item").distinct(), "item", "left_anti"), width, share)
+    if plain is not None:
+        found = found.unionByName(plain.withColumn("other", F.lit(False)))
     return found.select(F.when(F.col("doc") != last, F.col("doc")).alias("doc_id"), F.col("th").alias("text_hash"),
                         F.when(F.col("item") != last, F.col("item")).alias("item_id"),
                         F.col("n").alias("n_windows"), F.col("size").alias("n_item_windows"),
