@@ -13,11 +13,12 @@ from __future__ import annotations
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoalspark.llm.scan import slices
@@ -74,6 +75,18 @@ def slabs(batches) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
             pa.default_memory_pool().release_unused()
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 4):
+    """Hands tasks so few rows at a time while a job over ``encoded`` rows runs, as each holds megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def word_counts(batches):
     for lang, words, ids in slabs(batches):
         n = np.bincount(ids, minlength=len(words))
@@ -263,7 +276,8 @@ def one_pass(texts: DataFrame, candidates: DataFrame, length: int, survey: bool,
         # a task hands over its bins once, so there are as many as slots of the cluster ask for, however large the input
         out = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(passed(shared, shards == 1, survey, count, least), "lang string, phrase binary, number bigint, n bigint")
         # a task has a phrase once for some megabytes of text, so adding its rows up before they move would only cost memory
-        sums.append(stage(out.repartition("lang", "phrase", "number").groupBy("lang", "phrase", "number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
+        with few_rows(texts.sparkSession):
+            sums.append(stage(out.repartition("lang", "phrase", "number").groupBy("lang", "phrase", "number").agg(F.sum("n").alias("n")).where(F.col("n") >= least)))
         shared.unpersist()
     every = _union(sums)
     counted = every.where("number is not null").select("number", "n").join(split, "number").select("lang", "phrase", "n")
@@ -275,7 +289,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Word occurrences by language (lang, n), and by length from 1 the phrases (lang, phrase, n) with n >= ``least``."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     texts = stage(rows.mapInArrow(encoded, "lang string, words binary, ids binary"))
-    words = stage(texts.mapInArrow(word_counts, "lang string, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
+    with few_rows(docs.sparkSession):
+        words = stage(texts.mapInArrow(word_counts, "lang string, phrase binary, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     found = [words.where(F.col("n") >= least)]
     for length in range(1, longest + 1):
         counted, longer = one_pass(texts, found[0] if length == 1 else longer, length, length < longest, length > 1, least, shard)
