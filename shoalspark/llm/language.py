@@ -1,7 +1,7 @@
 """Language of documents by a mixture of languages over character trigrams.
 
 Training counts trigrams by language in one aggregate. A document's trigrams are taken as draws from a mixture
-of the languages' trigram laws; expectation-maximisation estimates the proportions. Starting from the strongest
+of the languages' trigram laws; expectation-maximisation estimates the proportions. Starting from all
 languages, the weakest is dropped one by one, and the set with the best penalised likelihood stays.
 """
 
@@ -86,18 +86,11 @@ def proportions(p: np.ndarray, n: np.ndarray, starts: np.ndarray, share: np.ndar
     return share, np.add.reduceat(n * np.log(np.maximum(mix, 1e-30)), starts)
 
 
-def mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int, most: int):
+def mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int):
     """Chosen proportions (documents x languages) under the set with the best penalised likelihood."""
     docs, langs = len(starts), p.shape[1]
     share, _ = proportions(p, n, starts, np.full((docs, langs), 1 / langs, np.float32), rounds)
-    if langs > most:  # the strongest languages of each document
-        top = np.argsort(-share, axis=1, kind="stable")[:, :most]
-        size = np.diff(np.r_[starts, len(n)])
-        p = np.take_along_axis(p, np.repeat(top, size, axis=0), axis=1)
-        share = np.take_along_axis(share, top, axis=1)
-        share /= share.sum(axis=1, keepdims=True)
-    else:
-        top = np.tile(np.arange(langs), (docs, 1))
+    top = np.tile(np.arange(langs), (docs, 1))
     penalty = np.log(np.add.reduceat(n, starts))
     best, chosen, inside = np.full(docs, np.inf), share.copy(), np.ones_like(share, bool)
     for k in range(share.shape[1], 0, -1):
@@ -112,7 +105,7 @@ def mixture(p: np.ndarray, n: np.ndarray, starts: np.ndarray, rounds: int, most:
     return top, chosen
 
 
-def predicted(names: list[str], shared, rounds: int, most: int, text_at: int, slice_docs: int = 128):
+def predicted(names: list[str], shared, rounds: int, text_at: int, slice_docs: int = 128):
     def run(batches):
         table = np.frombuffer(shared.value, np.float32).reshape(BUCKETS, len(names))
         for batch in batches:
@@ -130,7 +123,7 @@ def predicted(names: list[str], shared, rounds: int, most: int, text_at: int, sl
                 if not which:
                     continue
                 starts = np.cumsum([0] + [len(x) for x in idx[:-1]])
-                top, share = mixture(table[np.concatenate(idx)], np.concatenate(cnt).astype(np.float32), starts, rounds, most)
+                top, share = mixture(table[np.concatenate(idx)], np.concatenate(cnt).astype(np.float32), starts, rounds)
                 for r, t, s in zip(which, top, share):
                     k = int(s.argmax())
                     lang[r], score[r] = names[t[k]], min(1.0, max(0.0, float(s[k])))
@@ -141,7 +134,7 @@ def predicted(names: list[str], shared, rounds: int, most: int, text_at: int, sl
     return run
 
 
-def annotate(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", rounds: int = 6, most: int = 4) -> DataFrame:
+def annotate(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang", rounds: int = 6) -> DataFrame:
     """(row, lang_pred, score, shares) for every row of ``docs``; ``row`` holds its columns as they are."""
     names, table = learn(train, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
@@ -149,22 +142,22 @@ def annotate(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col
     kind = rows.schema["row"].dataType
     schema = T.StructType([T.StructField("row", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("shares", T.MapType(T.StringType(), T.DoubleType()))])
-    return rows.mapInArrow(predicted(names, shared, rounds, most, docs.columns.index(text_col)), schema)
+    return rows.mapInArrow(predicted(names, shared, rounds, docs.columns.index(text_col)), schema)
 
 
 def identify(docs: DataFrame, train: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", rounds: int = 6, most: int = 4, parts: int = 4, part: int = 2) -> DataFrame:
+             lang_col: str = "lang", rounds: int = 6, parts: int = 4, part: int = 2) -> DataFrame:
     """Predicted language of every row of ``docs``.
 
     Learns from the rows of ``train`` (``docs`` itself if None) whose id is not held out. Returns doc_id, held_out,
     lang_pred, score (share of the predicted language) and shares (map of the chosen languages to their shares;
-    at most ``most`` languages enter the selection). A null text or one without a letter is ``und`` with score 0,
+    the selection starts from all learned languages). A null text or one without a letter is ``und`` with score 0,
     and so is everything if there is nothing to learn from. Ties go to the language first by name. Repeated rows
     get equal results, an empty table gives no rows, other columns are ignored.
     """
     known = (docs if train is None else train).where(~is_held_out(id_col, parts, part))
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col, parts, part).alias("held_out"), F.col(text_col).alias("text"))
-    out = annotate(rows, known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), rounds=rounds, most=most)
+    out = annotate(rows, known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), rounds=rounds)
     return out.select("row.doc_id", "row.held_out", "lang_pred", "score", "shares")
 
 

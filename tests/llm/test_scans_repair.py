@@ -14,7 +14,7 @@ import pytest
 from messy import CLASH, corpus, edge_cases, frame, words
 from pyspark.sql import functions as F
 
-from shoalspark.llm import collocations, conversations, licences
+from shoalspark.llm import collocations, conversations, language, licences
 from shoalspark.llm.scan import slices
 from shoalspark.shipping import ship_package
 
@@ -262,3 +262,14 @@ def test_blocks_equal_single_steps():
         assert (at[0], cost) == (vector, total) == (before[0], totals[0])
         for v in range(len(t.vectors)):
             assert [conversations.trace(s, v, k)[1] for k in range(4)] == states[4 * v:4 * v + 4]
+
+
+def test_a_text_in_five_of_seven_languages():
+    """No number of languages is cut off before the penalised choice."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.full(400, 0.05), 7).T + 1e-6
+    p /= p.sum(axis=0)
+    n = np.round(20_000 * p[:, [0, 1, 3, 4, 6]].mean(axis=1)).astype(np.float32)
+    seen = np.flatnonzero(n)
+    top, share = language.mixture(p[seen].astype(np.float32), n[seen], np.array([0]), rounds=6)
+    assert sorted(top[0][share[0] > 0]) == [0, 1, 3, 4, 6] and np.allclose(share[0][share[0] > 0], 0.2, atol=0.02)
