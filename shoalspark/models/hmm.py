@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from shoalspark.functions import special as S
 from shoalspark.functions.expr import beta_log_density, second_bucket, shape_to_prec, stationary3
+from shoalspark.models import logits as L
 from shoalspark.operators.reshape import flag_pairs, matrix_long, params_wide, tidy_param_names
 from shoalspark.operators.summary import median_qi, poisson_weights
 from shoalspark.staging import shuffle_partitions, stage
@@ -188,7 +189,8 @@ def _forward(x, s, lens, tpm, delta, shapes, at=None):
 
 
 def _expected_counts(x, s, lens, tpm, delta, shapes, at=None, behind=None):
-    """Expected transitions (sequence, stratum of the destination row, from, to) and log-likelihood.
+    """Expected transitions (sequence, stratum of the destination row, from, to), law of the first state (zeros
+    for a later piece) and log-likelihood.
 
     ``at`` is the filtered law in front of a piece, ``behind`` the likelihood of what follows it by state.
     """
@@ -210,7 +212,10 @@ def _expected_counts(x, s, lens, tpm, delta, shapes, at=None, behind=None):
     if at is not None:  # the step into a piece
         xi = at[:, :, None] * tpm[s[:, 0]] * (b[:, 0] * beta / scale[:, 0, None])[:, None, :]
         counts[rows, s[:, 0]] += np.where(np.isnan(xi), 0.0, xi)
-    return counts, loglik
+    first = alpha[:, 0] * beta
+    if at is not None:
+        first = np.where(np.isnan(at[:, :1]), first, 0.0)
+    return counts, first, loglik
 
 
 def _viterbi(x, s, lens, tpm, delta, shapes, at=None, behind=None):
@@ -395,7 +400,7 @@ def expected_counts(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata,
     def run(batches):
         for pdf in batches:
             for part, (x, s, lens), (at, behind) in _blocks(pdf):
-                counts, _ = _expected_counts(x, s, lens, mats, delta, shapes, at, behind)
+                counts, *_ = _expected_counts(x, s, lens, mats, delta, shapes, at, behind)
                 seen = np.zeros((len(lens), k), dtype=bool)
                 for i, n in enumerate(lens):
                     seen[i, np.unique(s[i, :n])] = True
@@ -409,25 +414,37 @@ def expected_counts(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata,
     return out.groupBy(*entity, "s").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(9)]).alias("c")) if cut else out
 
 
-def _round(seqs: DataFrame, entity: Sequence[str], mats: np.ndarray, delta: np.ndarray, shapes) -> tuple[np.ndarray, float]:
-    """Total expected counts per stratum and total log-likelihood: 9 K + 1 numbers back."""
-    k = len(mats)
-    bounded, _ = _bounded(seqs, entity, mats, delta, shapes)
-
-    def run(batches):
-        total = np.zeros(9 * k + 1)
-        for pdf in batches:
-            for _, (x, s, lens), (at, behind) in _blocks(pdf):
-                counts, ll = _expected_counts(x, s, lens, mats, delta, shapes, at, behind)
-                total[:-1] += counts.sum(axis=0).ravel()
-                total[-1] += ll.sum()
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+def _rounds(seqs: DataFrame, entity: Sequence[str], stacks: Sequence[tuple[np.ndarray, np.ndarray]], shapes) -> list[tuple]:
+    """For each (matrices, start laws): expected counts, expected first states and log-likelihood, 12 K + 1 numbers back.
 
-    rows = bounded.select("x", "s", "at", "behind").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    flat = np.zeros(9 * k + 1)
-    for r in rows:
-        flat[r["i"]] = r["v"]
-    return flat[:-1].reshape(k, 3, 3), float(flat[-1])
+    One pass over the series serves all of them; with entities in pieces it is one each, as the pieces' bounds differ.
+    """
+    k = len(stacks[0][0])
+    size = 12 * k + 1
+    first, cut = _bounded(seqs, entity, *stacks[0], shapes)
+    tables = [(first, [0] if cut else range(len(stacks)))]
+    if cut:
+        tables += [(_bounded(seqs, entity, *pair, shapes)[0], [w]) for w, pair in enumerate(stacks[1:], start=1)]
+
+    def run_with(which):
+        def run(batches):
+            total = np.zeros((len(which), size))
+            for pdf in batches:
+                for _, (x, s, lens), (at, behind) in _blocks(pdf):
+                    for row, w in enumerate(which):
+                        counts, law, ll = _expected_counts(x, s, lens, *stacks[w], shapes, at, behind)
+                        starts = np.zeros((k, 3))
+                        np.add.at(starts, s[:, 0], law)
+                        total[row] += np.concatenate([counts.sum(axis=0).ravel(), starts.ravel(), [ll.sum()]])
+            yield pd.DataFrame({"w": np.repeat(list(which), size), "i": np.tile(np.arange(size), len(which)), "v": total.ravel()})
+        return run
+
+    flat = np.zeros((len(stacks), size))
+    for table, which in tables:
+        rows = table.select("x", "s", "at", "behind").mapInPandas(run_with(list(which)), "w int, i int, v double")
+        for r in rows.groupBy("w", "i").agg(F.sum("v").alias("v")).collect():
+            flat[r["w"], r["i"]] = r["v"]
+    return [(f[:9 * k].reshape(k, 3, 3), f[9 * k:-1].reshape(k, 3), float(f[-1])) for f in flat]
 
 
 def _normalise(counts: np.ndarray, fallback: np.ndarray) -> np.ndarray:
@@ -448,6 +465,8 @@ class HmmFit:
     initial: object
     trace: list[float]
     converged: bool
+    design: L.LogitDesign | None = None
+    beta: np.ndarray | None = None
 
     def transitions(self) -> DataFrame:
         """(strata, p) with the matrix as array of rows."""
@@ -458,21 +477,45 @@ class HmmFit:
         return self.seqs.sparkSession.createDataFrame(
             [(i + 1, v, self.converged) for i, v in enumerate(self.trace)], "round int, loglik double, converged boolean")
 
+    def coefficients(self) -> DataFrame:
+        """(from, to, term, estimate) of the log odds against staying, for a fit with a formula."""
+        if self.design is None:
+            raise ValueError("a fit without a formula has matrices only")
+        rows = [(f"state{i + 1}", f"state{j + 1}", name, float(v))
+                for (i, j), row in zip(self.design.moves, self.beta) for name, v in zip(self.design.names, row)]
+        return self.seqs.sparkSession.createDataFrame(rows, "`from` string, `to` string, term string, estimate double")
+
     def counts(self) -> DataFrame:
         return expected_counts(self.seqs, self.entity, self.tpm, self.strata, self.initial, self.shapes)
 
 
+def _cell_step(mats: np.ndarray, counts: np.ndarray, starts: np.ndarray | None, steps: int) -> np.ndarray:
+    """Next matrices, each cell by itself: shares of the counts, or Newton steps where the start law depends on them."""
+    if starts is None:
+        return _normalise(counts, mats)
+    out = mats.copy()
+    for s in range(len(mats)):
+        one = L.design_of((), [()], [], mats[s] > 0)
+        out[s:s + 1] = L.matrices(one, L.ascend(one, L.coefficients_of(one, mats[s:s + 1]), counts[s:s + 1], starts[s:s + 1], steps))
+    return out
+
+
 def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_cols: Sequence[str] = ("part",),
                     start=START, zeros: Sequence[tuple[int, int]] = (), shapes=SHAPES, max_iter: int = 100,
-                    tol: float = 1e-6, initial="stationary", time: str = "time", strict: bool = True) -> HmmFit:
-    """Transition matrix per stratum by EM with fixed emissions.
+                    tol: float = 1e-6, initial="stationary", time: str = "time", strict: bool = True,
+                    formula: str | Sequence[str] | None = None, levels: Mapping[str, Sequence[str]] | None = None,
+                    newton: int = 25) -> HmmFit:
+    """Transition matrices by EM with fixed emissions, one per stratum or log odds linear in a formula.
 
     The stratum of the destination row governs a step. ``zeros`` are (from, to) pairs that stay
-    impossible. With the stationary start law, refreshed each round, the law's own dependence on
-    the matrix is left out of the M-step; with a fixed law EM is exact. A fish effect on the
+    impossible. With ``formula`` (``"part + treatment"``, over ``strata_cols``) the log odds of each move against
+    staying have a coefficient per column of it, treatment contrasts against the first of ``levels``; without one
+    every stratum has a matrix of its own. A round takes up to ``newton`` Newton steps on the expected log probability. Under
+    the stationary start law these include the law's own dependence on the matrix, and steps are halved where they would
+    lower it, so the likelihood never falls. A fish effect on the
     transitions is not part of this fit, see ``shrink_by_entity``. Rounds end when the relative gain is
     below ``tol``; not getting there in ``max_iter`` rounds is an error unless ``strict`` is off. The matrices
-    belong to the last logged likelihood.
+    belong to the last logged likelihood. Staying must be possible in every state.
     """
     # the series is staged before its covariate cells are listed, so its frames are read once
     rows = stage(df.select(*dict.fromkeys([*entity, *strata_cols, time, value])))
@@ -482,17 +525,90 @@ def fit_transitions(df: DataFrame, entity: Sequence[str], value: str, strata_col
     for i, j in zeros:
         mats[:, i - 1, j - 1] = 0.0
     mats = mats / mats.sum(axis=-1, keepdims=True)
+    design = beta = None
+    if formula is not None:
+        design = L.design_of(strata.cols, strata.levels, formula, (mats > 0).all(axis=0), levels)
+        beta = L.coefficients_of(design, mats)
+        mats = L.matrices(design, beta)
     trace: list[float] = []
-    converged, counts = False, None
+    converged, sums = False, None
     while not converged and len(trace) < max_iter:
-        if counts is not None:
-            mats = _normalise(counts, mats)
-        counts, ll = _round(seqs, entity, mats, _start_law(mats, initial), shapes)
+        if sums is not None:
+            if design is None:
+                mats = _cell_step(mats, *sums, newton)
+            else:
+                beta = L.ascend(design, beta, *sums, newton)
+                mats = L.matrices(design, beta)
+        counts, starts, ll = _rounds(seqs, entity, [(mats, _start_law(mats, initial))], shapes)[0]
+        sums = counts, starts if initial == "stationary" else None
         trace.append(ll)
         converged = len(trace) > 1 and abs(trace[-1] - trace[-2]) < tol * (1 + abs(ll))
     if strict and not converged:
         raise RuntimeError(f"no convergence in {max_iter} rounds; raise max_iter or tol, or pass strict=False")
-    return HmmFit(rows, seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace, converged)
+    return HmmFit(rows, seqs, tuple(entity), strata, mats, tuple(shapes), initial, trace, converged, design, beta)
+
+
+def information(fit: HmmFit, step: float = 1e-4) -> np.ndarray:
+    """Observed information of a formula's coefficients, (move, term) by (move, term).
+
+    The likelihood's gradient is that of the expected log probability under the same matrices, known exactly from one pass;
+    its central differences by coefficient are the information, with what the hidden states hide left out. All
+    2 x coefficients passes are one job.
+    """
+    if fit.design is None:
+        raise ValueError("information is that of a formula's coefficients")
+    base = fit.beta.ravel()
+    stacks = []
+    for a in range(len(base)):
+        for sign in (1, -1):
+            moved = base.copy()
+            moved[a] += sign * step
+            mats = L.matrices(fit.design, moved.reshape(fit.beta.shape))
+            stacks.append((mats, _start_law(mats, fit.initial)))
+    sums = _rounds(fit.seqs, fit.entity, stacks, fit.shapes)
+    scores = [L.score(fit.design, mats, counts, starts if fit.initial == "stationary" else None).ravel()
+              for (mats, _), (counts, starts, _) in zip(stacks, sums)]
+    out = -np.stack([(up - down) / (2 * step) for up, down in zip(scores[::2], scores[1::2])])
+    return (out + out.T) / 2
+
+
+def covariance(info: np.ndarray) -> np.ndarray:
+    """Inverse of the information; one that is not positive definite is an error (a coefficient on its way to infinity)."""
+    values = np.linalg.eigvalsh(info)
+    if values[0] <= 1e-8 * max(1.0, values[-1]):
+        raise ValueError("the information is not positive definite: some move is not identified; name it in zeros or simplify the formula")
+    return np.linalg.inv(info)
+
+
+def coefficient_table(fit: HmmFit, info: np.ndarray) -> DataFrame:
+    """``fit.coefficients()`` with standard error ``se``, ``lower`` and ``upper`` at 95 %."""
+    se = np.sqrt(np.diagonal(covariance(info)))
+    rows = [(f"state{i + 1}", f"state{j + 1}", name, float(v), float(e), float(v - 1.959963984540054 * e), float(v + 1.959963984540054 * e))
+            for ((i, j), name), v, e in zip([(m, n) for m in fit.design.moves for n in fit.design.names], fit.beta.ravel(), se)]
+    return fit.seqs.sparkSession.createDataFrame(
+        rows, "`from` string, `to` string, term string, estimate double, se double, lower double, upper double")
+
+
+def law_draws(fit: HmmFit, info: np.ndarray, reps: int = 1000, seed: int = 1) -> DataFrame:
+    """Transition matrices of ``reps`` normal draws of the coefficients: (strata, s, draw, p), as ``draws`` returns them.
+
+    A draw's numbers depend on ``seed`` and its own number alone, so a retried task repeats them.
+    """
+    root = np.linalg.cholesky(covariance(info))
+    design, base, k = fit.design, fit.beta, len(fit.tpm)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for d in pdf["draw"]:
+                z = np.random.default_rng([seed, int(d)]).standard_normal(len(root))
+                mats = L.matrices(design, base + (root @ z).reshape(base.shape))
+                out += [(s, int(d), mats[s].tolist()) for s in range(k)]
+            yield pd.DataFrame(out, columns=["s", "draw", "p"])
+
+    numbers = fit.seqs.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("draw"))
+    drawn = numbers.mapInPandas(run, "s int, draw int, p array<array<double>>")
+    return _label_strata(drawn, fit).select(*fit.strata.cols, "s", "draw", "p")
 
 
 def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",

@@ -411,6 +411,28 @@ def long_matrix(source: str, keys: str) -> str:
 DENS = FORWARD[:FORWARD.index(", fwd AS (")]
 twin("hmm_em_three", ", ".join([DENS, MAT0, *[t for k in range(3) for t in (e_step(k, "part, treatment"), m_step(k))]]),
      long_matrix("mat3", "part, treatment"), "freq")
+# one Newton step from equal matrices: a least-squares fit of c_j / (n p_j) - c_i / (n p_i) with weights n, by part and treatment
+# additively; with two parts the part's effect is the weighted mean of the differences inside the treatments
+MOVES = [(i, j) for i, j in IJ if i != j and NEIGHBOURS[i - 1][j - 1] > 0]
+ADDITIVE = " UNION ALL ".join(
+    f"SELECT part, treatment, {i} AS i, {j} AS j, c{i}1 + c{i}2 + c{i}3 AS n, ln({NEIGHBOURS[i - 1][j - 1]} / {NEIGHBOURS[i - 1][i - 1]}e0) AS old, "
+    f"(c{i}{j} / {NEIGHBOURS[i - 1][j - 1]}e0 - c{i}{i} / {NEIGHBOURS[i - 1][i - 1]}e0) / (c{i}1 + c{i}2 + c{i}3) AS y FROM cnt0" for i, j in MOVES)
+twin("hmm_additive_step", ", ".join([DENS, MAT0, e_step(0, "part, treatment")]) + f""", work AS ({ADDITIVE}
+), sides AS (
+  SELECT treatment, i, j, sum(n) AS n, sum(n * y) AS ny, coalesce(sum(n) FILTER (part = 'After'), 0) AS na,
+    coalesce(sum(n) FILTER (part = 'Before'), 0) AS nb, sum(y) FILTER (part = 'After') - sum(y) FILTER (part = 'Before') AS gap
+  FROM work GROUP BY treatment, i, j
+), effect AS (
+  SELECT i, j, sum(na * nb / n * gap) / sum(na * nb / n) AS b FROM sides GROUP BY i, j
+), odds AS (
+  SELECT w.part, w.treatment, w.i, w.j, exp(w.old + (s.ny - s.na * b) / s.n + CASE WHEN w.part = 'After' THEN b ELSE 0 END) AS o
+  FROM work AS w JOIN sides AS s ON s.treatment = w.treatment AND s.i = w.i AND s.j = w.j JOIN effect AS e ON e.i = w.i AND e.j = w.j
+), wide AS (
+  SELECT part, treatment, {", ".join(f"coalesce(sum(o) FILTER (i = {i} AND j = {j}), 0) AS o{i}{j}" if i != j else f"1e0 AS o{i}{j}" for i, j in IJ)}
+  FROM odds GROUP BY part, treatment
+), mat1 AS (
+  SELECT part, treatment, {", ".join(f"o{i}{j} / (o{i}1 + o{i}2 + o{i}3) AS p{i}{j}" for i, j in IJ)} FROM wide
+)""", long_matrix("mat1", "part, treatment"), "freq")
 N = [f"(c{i}1 + c{i}2 + c{i}3)" for i in (1, 2, 3)]
 SPREAD = [f"p{i}{j} * (1 - p{i}{j})" for i, j in IJ]
 twin("hmm_entity_given", ", ".join([DENS, MAT0, e_step(0, "fish, part, treatment")]) + f""", joined AS (

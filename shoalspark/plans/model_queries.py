@@ -360,6 +360,38 @@ def hmm_em_three(spark, sf_dir):
     return H.tpm_long(fit.transitions(), ["part", "treatment"])
 
 
+def additive_fit(spark, sf_dir, **options):
+    """Log odds of the moves additive in part and treatment, without the direct moves."""
+    return H.fit_transitions(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part", "treatment"], H.START_NEIGHBOURS, zeros=[(1, 3), (3, 1)],
+                             formula="part + treatment", levels={"part": ["Before", "After"]}, **options)
+
+
+@query
+def hmm_additive_step(spark, sf_dir):
+    """One Newton step of the additive log odds from the starting matrix, from a fixed start law."""
+    fit = additive_fit(spark, sf_dir, max_iter=2, tol=0.0, initial="uniform", strict=False, newton=1)
+    return H.tpm_long(fit.transitions(), ["part", "treatment"])
+
+
+@query
+def hmm_additive_transitions(spark, sf_dir):
+    return H.tpm_long(additive_fit(spark, sf_dir, max_iter=300, tol=1e-7).transitions(), ["part", "treatment"])
+
+
+@query
+def hmm_additive_coefficients(spark, sf_dir):
+    """Coefficients of the additive log odds with standard errors from the observed information."""
+    fit = additive_fit(spark, sf_dir, max_iter=300, tol=1e-7)
+    return H.coefficient_table(fit, H.information(fit))
+
+
+@query
+def hmm_law_state_interval(spark, sf_dir):
+    """Interval of each state's probability from 1000 normal draws of the coefficients."""
+    fit = additive_fit(spark, sf_dir, max_iter=300, tol=1e-7)
+    return H.state_interval(H.with_stationary(stage(H.law_draws(fit, H.information(fit)))), ["part", "treatment"])
+
+
 @query
 def hmm_entity_given(spark, sf_dir):
     """Matrices per fish under given ones, pooled as strongly as the counts suggest."""

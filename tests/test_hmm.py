@@ -205,3 +205,108 @@ def test_one_entity_with_half_of_all_steps(spark):
     assert a.keys() == b.keys() and all(a[k]["state"] == b[k]["state"] for k in a)
     a, b = both(lambda q: H.pseudo_residuals(q, ["fish"], TPM, STRATA), ["fish", "time"])
     assert a.keys() == b.keys() and all(a[k]["residual"] == pytest.approx(b[k]["residual"], abs=1e-9) for k in a)
+
+
+def crossed_steps(spark, sharp: bool = False):
+    """Series of 24 fish over part x treatment whose log odds are additive; ``sharp`` shows the states nearly plainly."""
+    rng = np.random.default_rng(11)
+    shapes = ((300.0, 2700.0), (1500.0, 1500.0), (2700.0, 300.0)) if sharp else H.SHAPES
+    rows, kept = [], {}
+    for fish in range(24):
+        treatment, z = ["a", "b", "c"][fish % 3], int(rng.integers(3))
+        for t in range(1, 161):
+            part = "After" if t > 80 else "Before"
+            if t > 1:
+                eta = -1.6 + 0.7 * (part == "After") + 0.5 * (treatment == "b") - 0.4 * (treatment == "c")
+                p = np.array([1.0 if j == z else (0.0 if abs(j - z) == 2 else math.exp(eta)) for j in range(3)])
+                new = int(rng.choice(3, p=p / p.sum()))
+                kept.setdefault((part, treatment), np.zeros((3, 3)))[z, new] += 1
+                z = new
+            rows.append((fish, treatment, part, float(rng.beta(*shapes[z])), t))
+    df = spark.createDataFrame(rows, "fish int, treatment string, part string, x double, time int").repartition(4)
+    return df, shapes, kept
+
+
+FORMULA = {"strata_cols": ["part", "treatment"], "start": H.START_NEIGHBOURS, "zeros": [(1, 3), (3, 1)], "levels": {"part": ["Before", "After"]}}
+
+
+def test_full_formula_is_the_saturated_fit(spark):
+    df, shapes, _ = crossed_steps(spark)
+    for initial in ("uniform", "stationary"):
+        full = H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part*treatment", initial=initial, max_iter=6, tol=0.0, strict=False)
+        cells = H.fit_transitions(df, ["fish"], "x", **FORMULA, initial=initial, max_iter=6, tol=0.0, strict=False)
+        assert len(full.design.names) == 6 and full.coefficients().count() == 24
+        assert np.allclose(full.trace, cells.trace, rtol=1e-9) and np.allclose(full.tpm, cells.tpm, atol=1e-5)
+
+
+def test_additive_formula(spark):
+    df, shapes, _ = crossed_steps(spark)
+    fit = H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part + treatment", max_iter=200, tol=1e-9)
+    assert all(b >= a - 1e-8 for a, b in zip(fit.trace, fit.trace[1:]))
+    assert fit.design.names == ("(Intercept)", "partAfter", "treatmentb", "treatmentc")
+    odds = {lv: np.log(m[1, 0] / m[1, 1]) for lv, m in zip(fit.strata.levels, fit.tpm)}
+    assert all(odds["After", t] - odds["Before", t] == pytest.approx(odds["After", "a"] - odds["Before", "a"], abs=1e-9) for t in "abc")
+    # the gradient vanishes at the optimum, and is the likelihood's own: central differences of the log-likelihood
+    seqs, beta = fit.seqs, fit.beta + 0.3
+    def at(b):
+        m = H.L.matrices(fit.design, b)
+        return H._rounds(seqs, ["fish"], [(m, H.stationary(m))], H.SHAPES)[0]
+    counts, starts, _ = at(beta)
+    exact = H.L.score(fit.design, H.L.matrices(fit.design, beta), counts, starts)
+    for m, c in ((0, 0), (1, 2), (3, 1)):
+        step = np.zeros_like(beta)
+        step[m, c] = 1e-4
+        assert exact[m, c] == pytest.approx((at(beta + step)[2] - at(beta - step)[2]) / 2e-4, rel=1e-5, abs=1e-5)
+
+
+def test_stationary_start_never_lowers_the_likelihood(spark):
+    """Two steps a fish, so that the start law carries much of the likelihood."""
+    df, *_ = crossed_steps(spark)
+    short = df.where("time in (80, 81)").withColumn("time", F.col("time") - 79)
+    for formula in (None, "part"):
+        fit = H.fit_transitions(short, ["fish"], "x", ["part"], max_iter=30, tol=0.0, strict=False, formula=formula)
+        assert all(b >= a - 1e-9 for a, b in zip(fit.trace, fit.trace[1:])) and fit.trace[-1] > fit.trace[0]
+
+
+def test_information_and_draws_when_the_states_are_plain(spark):
+    """Nearly nothing is hidden: the information is that of a multinomial regression on the moves made."""
+    df, shapes, kept = crossed_steps(spark, sharp=True)
+    fit = H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part + treatment", shapes=shapes, initial="uniform", tol=1e-12)
+    info = H.information(fit)
+    totals = np.stack([kept[lv].sum(axis=1) for lv in fit.strata.levels])
+    assert np.allclose(info, H.L.curvature(fit.design, fit.tpm, totals), rtol=1e-3, atol=1e-3)
+    cov = H.covariance(info)
+    table = {(r["from"], r["to"], r["term"]): r for r in H.coefficient_table(fit, info).collect()}
+    truth = {"(Intercept)": -1.6, "partAfter": 0.7, "treatmentb": 0.5, "treatmentc": -0.4}
+    assert len(table) == 16 and all(abs(r["estimate"] - truth[k[2]]) < 4 * r["se"] for k, r in table.items())
+    d = H.law_draws(fit, info, reps=2000).cache()
+    assert d.count() == 2000 * 6
+    first = d.where("part = 'Before' and treatment = 'a'").select(F.log(F.col("p")[1][0] / F.col("p")[1][1]).alias("o"))
+    row = first.agg(F.avg("o"), F.stddev("o")).first()
+    at = [m for m, ij in enumerate(fit.design.moves) if ij == (1, 0)][0] * 4
+    assert row[0] == pytest.approx(fit.beta.ravel()[at], abs=0.1 * math.sqrt(cov[at, at])) and row[1] == pytest.approx(math.sqrt(cov[at, at]), rel=0.08)
+    again = H.law_draws(fit, info, reps=2000).repartition(3)
+    assert d.exceptAll(again).isEmpty()
+    states = H.state_interval(H.marginal_draws(fit.counts(), d.where("draw <= 50"), fit, strength=5.0), ["part", "treatment"])
+    assert states.count() == 18
+
+
+def test_formula_errors(spark):
+    df, *_ = crossed_steps(spark)
+    with pytest.raises(ValueError, match="no covariate"):
+        H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part + tank")
+    with pytest.raises(ValueError, match="staying"):
+        H.L.design_of(("part",), [("A",)], "part", np.ones((3, 3)) - np.eye(3))
+    with pytest.raises(ValueError, match="not positive definite"):
+        H.covariance(np.diag([1.0, 0.0]))
+
+
+def test_information_with_an_entity_in_pieces(spark, monkeypatch):
+    df, *_ = crossed_steps(spark)
+    whole = H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part", max_iter=3, tol=0.0, strict=False)
+    monkeypatch.setattr(H.sequences, "__defaults__", ("time", 50))
+    cut = H.fit_transitions(df, ["fish"], "x", **FORMULA, formula="part", max_iter=3, tol=0.0, strict=False)
+    assert cut.seqs.where("cut").count() > 24 and np.allclose(cut.trace, whole.trace, rtol=1e-10)
+    stacks = [(m, H.stationary(m)) for m in (whole.tpm, H._normalise(whole.tpm + 0.05 * (whole.tpm > 0), whole.tpm))]
+    for a, b in zip(H._rounds(cut.seqs, ["fish"], stacks, H.SHAPES), H._rounds(whole.seqs, ["fish"], stacks, H.SHAPES)):
+        assert all(np.allclose(x, y, rtol=1e-9) for x, y in zip(a, b))
