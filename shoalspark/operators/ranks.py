@@ -70,18 +70,29 @@ def narrow_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
     return rows.groupBy(*keys).agg(F.percentile(value, [float(p) for p in probs]).alias("quantiles"))
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+def _slot(v: Column, lo: Column, hi: Column, slots: int) -> Column:
+    """Which of ``slots`` equal parts of [lo, hi] holds ``v``, from 1; infinite ends stand for very large ones."""
+    v, lo, hi = (F.greatest(F.lit(-8e307), F.least(F.lit(8e307), c)) for c in (v, lo, hi))
+    part = F.try_divide(v - lo, hi - lo)
+    inside = F.least(F.lit(slots), F.floor(part * slots).cast("int") + 1)
+    return F.when(part.isNull() | F.isnan(part), F.lit(1)).otherwise(inside)
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], slots: int = 4096,
+                    slot_values: int = 1_000_000) -> DataFrame:
     """Exact interpolated quantiles by key as the array ``quantiles`` (null for an empty group).
 
     Two passes over the rows, whatever the group sizes. The first takes each key's count with a mergeable
     sketch, which brackets every wanted order statistic. The second counts the rows below each bracket and the
-    copies of each value inside it, both combined before the shuffle; only the values inside are ranked.
+    copies of each value inside it, both combined before the shuffle. A histogram of ``slots`` equal parts of a bracket names
+    the parts that hold the wanted ranks; parts of more than ``slot_values`` distinct values are divided again, and only
+    the values of the last parts are sorted.
     """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).cast("double").alias(value))
+    rows = df.select(*keys, F.col(value).cast("double").alias("__v"))
     if not keys:
-        keyed = rows.withColumn("__all", F.lit(0))
-        return group_quantiles(keyed, ["__all"], value, probs).drop("__all")
+        keyed = rows.select(F.lit(0).alias("__all"), F.col("__v").alias(value))
+        return group_quantiles(keyed, ["__all"], value, probs, slots, slot_values).drop("__all")
     probs = [float(p) for p in probs]
     accuracy = 10_000
     # the sketch is off by at most n / accuracy ranks, and both neighbours must lie inside
@@ -90,8 +101,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     high = [min(1.0, p + slack) for p in probs]
     k = len(probs)
     sketch = stage(rows.groupBy(*keys).agg(
-        F.count(value).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max"),
-        F.percentile_approx(value, low + high, accuracy).alias("__q")))
+        F.count("__v").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", low + high, accuracy).alias("__q")))
     # a small group is bracketed whole: one rank may be more than the slack
     whole = F.col("__n") <= accuracy
     brackets = F.array(*[
@@ -99,33 +110,47 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                  F.when(whole | F.lit(low[i] == 0.0), F.col("__min")).otherwise(F.col("__q")[i]).alias("lo"),
                  F.when(whole | F.lit(high[i] == 1.0), F.col("__max")).otherwise(F.col("__q")[k + i]).alias("hi"))
         for i in range(k)])
-    bounds = small_side(sketch.select(*keys, brackets.alias("__b")))
-    v = F.col(value)
+    bounds = small_side(sketch.select(*keys, "__n", brackets.alias("__b")))
+    v, group = F.col("__v"), [*keys, "__i", "__before"]
     tagged = rows.alias("r").join(bounds.alias("s"), same_keys("r", "s", keys)).where(v.isNotNull()) \
-        .select(*[f"r.{c}" for c in keys], f"r.{value}", F.explode(F.filter("__b", lambda b: v <= b["hi"])).alias("b")) \
-        .select(*keys, F.col("b.i").alias("__i"), F.when(v >= F.col("b.lo"), v).alias(value))
-    counted = stage(tagged.groupBy(*keys, "__i", value).agg(F.count("*").alias("__copies")))
-    below = counted.where(v.isNull()).select(*keys, "__i", F.col("__copies").alias("__below"))
-    ranked = value_ranks(counted, [*keys, "__i"], value, weight="__copies")
-    joined = ranked.alias("a").join(small_side(below).alias("t"), same_keys("a", "t", [*keys, "__i"]), "left") \
-        .join(small_side(sketch.select(*keys, "__n")).alias("c"), same_keys("a", "c", keys))
-    first = F.col("before") + F.coalesce(F.col("__below"), F.lit(0)) + 1
-    last = first + F.col("a.n") - 1
-    h = (F.col("__n") - 1) * F.array(*[F.lit(p) for p in probs])[F.col("a.__i")] + 1
+        .select(*[f"r.{c}" for c in keys], "__n", v, F.explode(F.filter("__b", lambda b: v <= b["hi"])).alias("b"))
+    within = v >= F.col("b.lo")
+    tagged = tagged.select(*keys, "__n", F.col("b.i").alias("__i"), F.lit(0).cast("bigint").alias("__before"), F.when(within, v).alias("__v"),
+                           F.when(within, _slot(v, F.col("b.lo"), F.col("b.hi"), slots)).otherwise(F.lit(0)).alias("__slot"))
+    counted = stage(tagged.groupBy(*group, "__n", "__slot", "__v").agg(F.count("*").alias("__copies")))
+
+    h = (F.col("__n") - 1) * F.array(*[F.lit(p) for p in probs])[F.col("__i")] + 1
     lo_rank, hi_rank = F.floor(h), F.least(F.floor(h) + 1, F.col("__n"))
-    stat = joined.select(*[f"a.{c}" for c in keys], "a.__i", (h - F.floor(h)).alias("__w"),
-                         F.when(lo_rank.between(first, last), F.col(f"a.{value}")).alias("__lo"),
-                         F.when(hi_rank.between(first, last), F.col(f"a.{value}")).alias("__hi"))
-    per = stat.groupBy(*keys, "__i").agg(F.max("__w").alias("w"), F.max("__lo").alias("lo"),
-                                         F.max("__hi").alias("hi"))
-    lost = F.col("lo").isNull() | ((F.col("w") > 0) & F.col("hi").isNull())
-    per = per.withColumn("lo", F.when(~lost, F.col("lo")).otherwise(
-        F.raise_error("order statistic outside its bracket").cast("double")))
-    q = F.when(F.col("w") == 0, F.col("lo")).otherwise(F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo")))
+    upto = Window.partitionBy(*group).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)  # at most slots + 1 rows
+    most = None
+    while True:
+        sizes = counted.groupBy(*group, "__n", "__slot").agg(F.sum("__copies").alias("__size"), F.count("*").alias("__d"),
+                                                             F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        placed = sizes.withColumn("__offset", F.col("__before") + F.coalesce(F.sum("__size").over(upto), F.lit(0)))
+        wanted = lo_rank.between(F.col("__offset") + 1, F.col("__offset") + F.col("__size")) \
+            | hi_rank.between(F.col("__offset") + 1, F.col("__offset") + F.col("__size"))
+        chosen = stage(placed.where(wanted & (F.col("__slot") > 0)).select(*group, "__slot", "__offset", "__lo", "__hi", "__d"))
+        before, most = most, chosen.agg(F.max("__d")).first()[0] or 0
+        left = counted.alias("a").join(chosen.alias("b"), same_keys("a", "b", [*group, "__slot"])) \
+            .select(*[f"a.{c}" for c in keys], "a.__i", "a.__n", "a.__v", "a.__copies", F.col("b.__offset").alias("__before"), "b.__lo", "b.__hi")
+        if most <= slot_values or most == before:  # the same again: values beyond what a division can tell apart
+            break
+        counted = stage(left.withColumn("__slot", _slot(v, F.col("__lo"), F.col("__hi"), slots)).drop("__lo", "__hi"))
+
+    running = Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = left.withColumn("__last", F.col("__before") + F.sum("__copies").over(running))
+    first = F.col("__last") - F.col("__copies") + 1
+    per = ranked.groupBy(*keys, "__i", "__n").agg(F.max(F.when(lo_rank.between(first, F.col("__last")), v)).alias("lo"),
+                                                  F.max(F.when(hi_rank.between(first, F.col("__last")), v)).alias("hi"))
+    w = h - F.floor(h)
+    q = F.when(w == 0, F.col("lo")).otherwise(F.col("lo") + w * (F.col("hi") - F.col("lo")))
+    per = per.where(F.col("lo").isNotNull() & ((w == 0) | F.col("hi").isNotNull()))
     packed = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", q.alias("q")))).alias("p"))
     found = packed.select(*keys, F.transform("p", lambda s: s["q"]).alias("quantiles"))
-    return sketch.select(*keys).alias("k").join(found.alias("f"), same_keys("k", "f", keys), "left") \
-        .select(*[f"k.{c}" for c in keys], "f.quantiles")
+    lost = (F.col("__n") > 0) & (F.coalesce(F.size("quantiles"), F.lit(0)) != k)
+    whole_answer = F.when(lost, F.raise_error("order statistic outside its bracket").cast("array<double>")).otherwise(F.col("quantiles"))
+    return sketch.select(*keys, "__n").alias("k").join(found.alias("f"), same_keys("k", "f", keys), "left") \
+        .select(*[f"k.{c}" for c in keys], whole_answer.alias("quantiles"))
 
 
 def expanded(ranked: DataFrame, keys: Sequence[str], value: str, slice_rows: int = 65_536) -> DataFrame:

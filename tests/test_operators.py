@@ -172,6 +172,22 @@ def test_quantiles_of_hot_groups_equal_builtin(spark, shape):
     assert hot["hot"] == pytest.approx(list(want), rel=1e-12)
 
 
+def test_group_quantiles_divide_parts_again(spark):
+    """Few parts and small ones, so that every bracket is divided more than once; heavy tails, ties and infinite ends."""
+    rng = np.random.default_rng(8)
+    v = {"tail": np.exp(rng.normal(0, 3, 3000)), "ties": rng.integers(0, 9, 3000) / 7, "near": 1e9 + rng.random(3000) * 1e-3,
+         "ends": np.r_[-np.inf, rng.normal(0, 1, 500), np.inf, np.inf], "one": np.array([4.5])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs], "k string, v double").repartition(6)
+    probs = [0.025, 0.31, 0.5, 0.975]
+    got = {r["k"]: r["quantiles"] for r in R.group_quantiles(df, ["k"], "v", probs, slots=64, slot_values=20).where("k <> 'ends'").collect()}
+    assert set(got) == {"tail", "ties", "near", "one"}
+    for k, q in got.items():
+        assert q == pytest.approx(list(np.quantile(v[k], probs)), rel=1e-12), k
+    ends = R.group_quantiles(df.where("k = 'ends'"), [], "v", probs).first()["quantiles"]
+    assert ends == pytest.approx(list(np.quantile(v["ends"], probs)), rel=1e-12)
+    assert R.group_quantiles(df.where("false"), ["k"], "v", probs).count() == 0
+
+
 def test_qq_points(spark):
     df = spark.createDataFrame([(float(x),) for x in [3, 1, 1, 2, 5]], "v double")
     got = sorted((r["rank"], r["sample"], r["theoretical"]) for r in R.qq_points(df, "v").collect())
