@@ -6,8 +6,8 @@ confirmed as recurring from one row per run (about one for 22 words). Only where
 runs, at the ends of shared passages, are single windows compared, once per distinct run. This tells for every
 document which earlier documents hold its windows first. Those earlier documents are the dictionary: the
 texts of one holder, cut in blocks of half a window, are compiled to an automaton, and the documents that repeat
-it stream through. A block found is extended word by word, and stretches of a whole window or more are
-covered. Every shared window contains a block, so none is missed, and only equal words are ever removed.
+it stream through. A block found is compared with its surroundings in the holder, and stretches of a whole window or
+more are covered. Every shared window contains a block, so none is missed, and only equal words are ever removed.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from shoalspark.staging import small_side, stage
 GRAM = 8
 #: rows a task holds before it hands them over
 ROWS_OUT = 100_000
+#: places of a block compared at once
+PLACES = 8192
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -122,49 +124,62 @@ def window_rows(width: int):
 
 
 class Passages:
-    """Automaton over the blocks of one holder's texts."""
+    """Automaton over the blocks of one holder's texts.
+
+    A window holds a whole block of its text, the first of which starts fewer than a block's words after the window. So a block
+    found needs no more than its surroundings, from a block before it to a window after its start, to tell which windows
+    around it are shared. Blocks of equal surroundings, as a repetitive text has them, are kept once, and the places
+    of a block in a document are compared together: time is linear in the document for each surrounding.
+    """
 
     def __init__(self, width: int):
         self.width, self.block = width, width // 2
         self.number: dict[bytes, int] = {}
-        self.texts: list[np.ndarray] = []
-        self.blocks: dict[str, list[tuple[int, int]]] = {}
+        self.blocks: dict[str, dict[bytes, None]] = {}
         self.automaton = None
 
     def add(self, words: list[bytes]) -> None:
-        ids = np.fromiter((self.number.setdefault(x, len(self.number)) for x in words), np.int64, len(words))
+        ids = np.fromiter((self.number.setdefault(x, len(self.number)) for x in words), np.int32, len(words))
+        around = np.concatenate([np.full(self.block - 1, -2, np.int32), ids, np.full(self.width, -2, np.int32)])
         for at in range(0, len(words) - self.block + 1, self.block):
             key = b" " + b" ".join(words[at:at + self.block]) + b" "
-            self.blocks.setdefault(key.decode("latin-1"), []).append((len(self.texts), at))
-        self.texts.append(ids)
+            self.blocks.setdefault(key.decode("latin-1"), {})[around[at:at + self.block - 1 + self.width].tobytes()] = None
 
     def covered(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a window of the holder."""
-        out = np.zeros(len(words), bool)
-        if not self.blocks or len(words) < self.width:
-            return out
+        n, before = len(words), self.block - 1
+        if not self.blocks or n < self.width:
+            return np.zeros(n, bool)
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
-            for key, places in self.blocks.items():
-                self.automaton.add_word(key, (len(key), places))
+            for k, key in enumerate(self.blocks):
+                self.automaton.add_word(key, (k, len(key)))
             self.automaton.make_automaton()
-        get = self.number.get
-        ids = np.fromiter((get(x, -1) for x in words), np.int64, len(words))
-        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            self.around = [np.stack([np.frombuffer(x, np.int32) for x in found]) for found in self.blocks.values()]
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        aligned = set()
-        for end, (size, places) in self.automaton.iter(line):
-            q = int(np.searchsorted(starts, end - size + 1))
-            aligned.update((t, q - at) for t, at in places)
-        for t, shift in aligned:
-            own = self.texts[t]
-            lo, hi = max(0, -shift), min(len(own), len(ids) - shift)
-            same = np.concatenate([[False], own[lo:hi] == ids[lo + shift:hi + shift], [False]])
-            edge = np.flatnonzero(same[1:] != same[:-1])
-            for a, b in zip(edge[::2], edge[1::2]):
-                if b - a >= self.width:
-                    out[lo + shift + a:lo + shift + b] = True
-        return out
+        hits = np.fromiter(((k, end - size + 1) for end, (k, size) in self.automaton.iter(line)), np.dtype((np.int64, 2)))
+        if not len(hits):
+            return np.zeros(n, bool)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)])
+        hits[:, 1] = np.searchsorted(starts, hits[:, 1])
+        hits = hits[np.argsort(hits[:, 0], kind="stable")]
+        get = self.number.get
+        ids = np.fromiter((get(x, -1) for x in words), np.int32, n)
+        views = np.lib.stride_tricks.sliding_window_view(
+            np.concatenate([np.full(before, -1, np.int32), ids, np.full(self.width, -1, np.int32)]), before + self.width)
+        edges = np.zeros(n + 1, np.int64)
+        for part in np.split(hits, np.flatnonzero(np.diff(hits[:, 0])) + 1):
+            for lo in range(0, len(part), PLACES):
+                at = part[lo:lo + PLACES, 1]
+                here = views[at]
+                for own in self.around[part[0, 0]]:
+                    differs = here != own
+                    left = np.where(differs[:, :before].any(axis=1), differs[:, :before][:, ::-1].argmax(axis=1), before)
+                    right = np.where(differs[:, before:].any(axis=1), differs[:, before:].argmax(axis=1), self.width)
+                    whole = left + right >= self.width
+                    np.add.at(edges, at[whole] - left[whole], 1)
+                    np.add.at(edges, at[whole] + right[whole], -1)
+        return np.cumsum(edges[:n]) > 0
 
 
 def located(width: int):
@@ -218,7 +233,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Returns doc_id, text (kept words joined by one blank), n_words and n_removed for every row. Words are runs of
     anything but ASCII space; windows are judged on the input. A null or empty text has no words; repeats inside
-    one document stay. Rows that share an id are one document; null ids are one document that orders last.
+    one document stay. A very long text costs time linear in its words, a repetitive one too. Rows that share an id are one document; null ids are one document that orders last.
     An empty table gives no rows. Other columns are ignored. Tables of up to ``broadcast_rows`` rows are broadcast
     so that texts without repeats are not shuffled; larger ones join by shuffle with the same result.
     """

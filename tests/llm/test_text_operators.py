@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import hashlib
 import random
 from collections import defaultdict
@@ -73,6 +74,29 @@ def plain_repeats(rows, width):
     return sorted(out, key=repr)
 
 
+def test_passages_of_repetitive_texts():
+    """Against all windows listed, over texts of few words; one word repeated takes time linear in its number."""
+    rng = random.Random(3)
+    for _ in range(600):
+        width, words = rng.choice([5, 6, 9, 10]), [b"a", b"b", b"c", b"dd"][:rng.choice([1, 2, 3, 4])]
+        holder = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        if rng.random() < 0.5:
+            holder = (holder[:7] or [b"a"]) * rng.randint(1, 8)
+        at = rng.randint(0, len(holder))
+        doc = [rng.choice([*words, b"z"]) for _ in range(rng.randint(0, 20))] + holder[at:at + rng.randint(0, 30)]
+        windows = {tuple(holder[i:i + width]) for i in range(len(holder) - width + 1)}
+        want = [False] * len(doc)
+        for i in range(len(doc) - width + 1):
+            if tuple(doc[i:i + width]) in windows:
+                want[i:i + width] = [True] * width
+        passages = phrases.Passages(width)
+        passages.add(holder)
+        assert passages.covered(doc).tolist() == want
+    start, passages = time.perf_counter(), phrases.Passages(50)
+    passages.add([b"w"] * 64_000)
+    assert passages.covered([b"w"] * 64_000).all() and time.perf_counter() - start < 2
+
+
 @pytest.mark.parametrize("seed, limit", [(7, 200_000), (8, 3)])
 def test_repeated_phrases(spark, seed, limit):
     rng = random.Random(seed)
