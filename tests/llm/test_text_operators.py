@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import time
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
