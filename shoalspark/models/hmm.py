@@ -552,8 +552,8 @@ def information(fit: HmmFit, step: float = 1e-4) -> np.ndarray:
     """Observed information of a formula's coefficients, (move, term) by (move, term).
 
     The likelihood's gradient is that of the expected log probability under the same matrices, known exactly from one pass;
-    its central differences by coefficient are the information, with what the hidden states hide left out. All
-    2 x coefficients passes are one job.
+    its central differences by coefficient are the information, with what the hidden states hide left out. The
+    2 x coefficients evaluations share one pass over the series unless an entity is in pieces.
     """
     if fit.design is None:
         raise ValueError("information is that of a formula's coefficients")

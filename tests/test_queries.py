@@ -15,7 +15,7 @@ SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 #: those that are cheap on both sides at the large scale, where group sizes and means differ from the small one
 AT_LARGE = ["cue_share_by_part", "cue_share_crossed", "cue_share_untracked", "duplicate_frame_rows", "speed_fish_minute",
             "real_minute_lookup", "median_interval", "lmm_coef_tests", "lmm_share_anova", "gamma_glm", "cohort_folders",
-            "hmm_em_three", "hmm_transition_interval"]
+            "hmm_em_three", "hmm_additive_step", "hmm_transition_interval"]
 
 
 def test_contract(spark):
