@@ -188,30 +188,38 @@ def _forward(x, s, lens, tpm, delta, shapes, at=None):
     return alpha, pred, b, scale, loglik
 
 
-def _expected_counts(x, s, lens, tpm, delta, shapes, at=None, behind=None):
+def _last_beta(alpha, lens, behind):
+    """Scaled likelihood of what follows the last step of each sequence, by state."""
+    if behind is None:
+        return np.ones((len(lens), 3))
+    given = np.where(np.isnan(behind), 1.0, behind)
+    return given / (alpha[np.arange(len(lens)), lens - 1] * given).sum(axis=1, keepdims=True)
+
+
+def _expected_counts(x, s, lens, tpm, delta, shapes, at=None, behind=None, cells=None):
     """Expected transitions (sequence, stratum of the destination row, from, to), law of the first state (zeros
     for a later piece) and log-likelihood.
 
-    ``at`` is the filtered law in front of a piece, ``behind`` the likelihood of what follows it by state.
+    ``at`` is the filtered law in front of a piece, ``behind`` the likelihood of what follows it by state. With
+    ``cells`` every sequence has matrices of its own: ``tpm`` holds that many for each, one sequence after the other,
+    ``s`` points into it and counts come by place in a sequence's own.
     """
     alpha, _, b, scale, loglik = _forward(x, s, lens, tpm, delta, shapes, at)
     n, t_max = x.shape
-    counts = np.zeros((n, len(tpm), 3, 3))
+    k = len(tpm) if cells is None else cells
+    counts = np.zeros((n, k, 3, 3))
     rows = np.arange(n)
-    beta = np.ones((n, 3))
-    if behind is not None:
-        given = np.where(np.isnan(behind), 1.0, behind)
-        beta = given / (alpha[rows, lens - 1] * given).sum(axis=1, keepdims=True)
+    beta = _last_beta(alpha, lens, behind)
     for t in range(t_max - 1, 0, -1):
         live = t < lens
         g = tpm[s[:, t]]
         ahead = b[:, t] * beta / scale[:, t, None]
         xi = alpha[:, t - 1, :, None] * g * ahead[:, None, :]
-        counts[rows, s[:, t]] += np.where(live[:, None, None], xi, 0.0)
+        counts[rows, s[:, t] % k] += np.where(live[:, None, None], xi, 0.0)
         beta = np.where(live[:, None], (g * ahead[:, None, :]).sum(axis=2), beta)
     if at is not None:  # the step into a piece
         xi = at[:, :, None] * tpm[s[:, 0]] * (b[:, 0] * beta / scale[:, 0, None])[:, None, :]
-        counts[rows, s[:, 0]] += np.where(np.isnan(xi), 0.0, xi)
+        counts[rows, s[:, 0] % k] += np.where(np.isnan(xi), 0.0, xi)
     first = alpha[:, 0] * beta
     if at is not None:
         first = np.where(np.isnan(at[:, :1]), first, 0.0)
@@ -246,7 +254,7 @@ def _viterbi(x, s, lens, tpm, delta, shapes, at=None, behind=None):
     return path + 1
 
 
-def _given(column: pd.Series) -> np.ndarray:
+def _given(column: Sequence) -> np.ndarray:
     """Three numbers a row, not-a-number where a piece has no neighbour on that side."""
     return np.array([v if v is not None else [np.nan] * 3 for v in column], dtype=float).reshape(-1, 3)
 
@@ -325,6 +333,28 @@ def _chain(products: list[np.ndarray], best: bool):
     return at, behind[::-1]
 
 
+def _chained(maps: DataFrame, best: bool = False) -> DataFrame:
+    """Products (``key, piece, m``) to what bounds every piece (``key, piece, at, behind``); a key's products pass in order."""
+    def run(batches):
+        key, pieces, ms = None, [], []
+
+        def told():
+            at, behind = _chain(ms, best)
+            return pd.DataFrame({"key": key, "piece": pieces, "at": at, "behind": behind}) if ms else pd.DataFrame(columns=["key", "piece", "at", "behind"])
+        for pdf in batches:
+            for now, piece, m in zip(pdf["key"], pdf["piece"], pdf["m"]):
+                if ms and now != key:
+                    yield told()
+                    pieces, ms = [], []
+                key = now
+                pieces.append(piece)
+                ms.append(np.asarray(m, dtype=float).reshape(4, 3))
+        if ms:
+            yield told()
+
+    return maps.repartition("key").sortWithinPartitions("key", "piece").mapInPandas(run, "key string, piece bigint, at array<double>, behind array<double>")
+
+
 def _bounded(seqs: DataFrame, entity: Sequence[str], mats: np.ndarray, delta: np.ndarray, shapes, best: bool = False) -> tuple[DataFrame, bool]:
     """``seqs`` with ``at`` and ``behind``, what bounds a piece of a cut entity, and whether there are such entities.
 
@@ -343,27 +373,9 @@ def _bounded(seqs: DataFrame, entity: Sequence[str], mats: np.ndarray, delta: np
                     m = _product(*_pad(part["x"].to_numpy(), part["s"].to_numpy()), mats, delta, shapes, best)
                     yield pd.DataFrame({"key": part["key"].to_numpy(), "piece": part["piece"].to_numpy(), "m": list(m.reshape(-1, 12))})
 
-    def chained(batches):
-        key, pieces, ms = None, [], []
-
-        def told():
-            at, behind = _chain(ms, best)
-            return pd.DataFrame({"key": key, "piece": pieces, "at": at, "behind": behind}) if ms else pd.DataFrame(columns=["key", "piece", "at", "behind"])
-        for pdf in batches:
-            for now, piece, m in zip(pdf["key"], pdf["piece"], pdf["m"]):
-                if ms and now != key:
-                    yield told()
-                    pieces, ms = [], []
-                key = now
-                pieces.append(piece)
-                ms.append(np.asarray(m, dtype=float).reshape(4, 3))
-        if ms:
-            yield told()
-
     keyed = seqs.withColumn("__key", F.to_json(F.struct(*entity)))  # pandas would read numbers beside missing ones as floats
     maps = keyed.where("cut").select(F.col("__key").alias("key"), "piece", "x", "s").mapInPandas(products, "key string, piece bigint, m array<double>")
-    chain = maps.repartition("key").sortWithinPartitions("key", "piece").mapInPandas(chained, "key string, piece bigint, at array<double>, behind array<double>")
-    chain = stage(chain.withColumnsRenamed({"key": "__key"}))
+    chain = stage(_chained(maps, best).withColumnsRenamed({"key": "__key"}))
     return keyed.join(chain, ["__key", "piece"], "left").drop("__key"), True
 
 
@@ -630,19 +642,36 @@ def viterbi(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial
     return rows.select(*entity, F.col("q.t").alias("time"), F.col("q.x").alias("value"), F.col("q.s").alias("s"), F.col("q.z").alias("state"))
 
 
+def _surrounded(x, s, lens, tpm, delta, shapes, at=None, behind=None):
+    """Law of each step's state given every other step of its sequence."""
+    alpha, law, b, scale, _ = _forward(x, s, lens, tpm, delta, shapes, at)
+    beta = _last_beta(alpha, lens, behind)
+    for t in range(x.shape[1] - 1, -1, -1):
+        live = (t < lens)[:, None]
+        law[:, t] = np.where(live, law[:, t] * beta, law[:, t])
+        beta = np.where(live, (tpm[s[:, t]] * (b[:, t] * beta / scale[:, t, None])[:, None, :]).sum(axis=2), beta)
+    return law / law.sum(axis=-1, keepdims=True)
+
+
 def pseudo_residuals(seqs: DataFrame, entity: Sequence[str], tpm, strata: Strata, initial="stationary",
-                     shapes=SHAPES) -> DataFrame:
-    """Forecast pseudo-residual per (entity, time): normal quantile of the predictive CDF."""
+                     shapes=SHAPES, kind: str = "forecast") -> DataFrame:
+    """Pseudo-residual per (entity, time): normal quantile of the step's distribution function at its value.
+
+    The distribution is that given the steps before (``kind="forecast"``) or given all other steps of the entity, before
+    and after (``kind="conditional"``).
+    """
+    if kind not in ("forecast", "conditional"):
+        raise ValueError(f"unknown kind of residual: {kind}")
     mats = _matrices(tpm, strata)
     delta = _start_law(mats, initial)
     bounded, _ = _bounded(seqs, entity, mats, delta, shapes)
 
     def run(batches):
         for pdf in batches:
-            for part, (x, s, lens), (at, _) in _blocks(pdf):
-                _, pred, *_ = _forward(x, s, lens, mats, delta, shapes, at)
+            for part, (x, s, lens), (at, behind) in _blocks(pdf):
+                law = _forward(x, s, lens, mats, delta, shapes, at)[1] if kind == "forecast" else _surrounded(x, s, lens, mats, delta, shapes, at, behind)
                 cdf = np.stack([S.betainc(a, b, np.clip(x, EPS, 1 - EPS)) for a, b in shapes], axis=-1)
-                u = np.clip((pred * cdf).sum(axis=-1), 1e-12, 1 - 1e-12)
+                u = np.clip((law * cdf).sum(axis=-1), 1e-12, 1 - 1e-12)
                 z = S.norm_ppf(u)
                 yield part[[*entity, "t"]].assign(r=[z[i, :n] for i, n in enumerate(lens)])
 

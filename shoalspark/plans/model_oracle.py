@@ -348,7 +348,7 @@ XI = ", ".join(f"f.a{i} * {0.8 if i == j else 0.1}e0 * d.d{j} * w.w{j} AS x{i}{j
 TOTAL = " + ".join(f"x{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
 LONG = " UNION ALL ".join(f"SELECT part, 'state{i}' AS \"from\", 'state{j}' AS \"to\", sum(x{i}{j} / ({TOTAL})) AS c FROM xi GROUP BY part"
                           for i in (1, 2, 3) for j in (1, 2, 3))
-twin("hmm_em_step", FORWARD + f""", bwd AS (
+BACKWARD = FORWARD + f""", bwd AS (
   SELECT fish, treatment, time, 1e0 AS w1, 1e0 AS w2, 1e0 AS w3 FROM dens
   JOIN (SELECT fish, treatment, max(time) AS time FROM emit GROUP BY ALL) AS m USING (fish, treatment, time)
   UNION ALL
@@ -356,12 +356,46 @@ twin("hmm_em_step", FORWARD + f""", bwd AS (
   FROM (SELECT w.fish, w.treatment, w.time - 1 AS time, {flow(H, 1)} AS h1, {flow(H, 2)} AS h2, {flow(H, 3)} AS h3
     FROM bwd AS w JOIN dens AS d ON d.fish = w.fish AND d.treatment = w.treatment AND d.time = w.time
     WHERE w.time > 1) AS s
-), xi AS (
+)"""
+twin("hmm_em_step", BACKWARD + f""", xi AS (
   SELECT d.part, {XI} FROM dens AS d
   JOIN fwd AS f ON f.fish = d.fish AND f.treatment = d.treatment AND f.time = d.time - 1
   JOIN bwd AS w ON w.fish = d.fish AND w.treatment = d.treatment AND w.time = d.time
 ), counts AS ({LONG})""",
      'SELECT part, "from", "to", c / sum(c) OVER (PARTITION BY part, "from") AS freq FROM counts', "freq")
+OTHERS = "(" + " + ".join(f"g{j} * w{j}" for j in (1, 2, 3)) + ")"
+twin("hmm_conditional_residuals", BACKWARD + f""", cdf AS (
+  SELECT d.fish, d.treatment, CAST(d.time AS BIGINT) AS time, n_cuex, {LAW[0]} AS g1, {LAW[1]} AS g2, {LAW[2]} AS g3, w.w1, w.w2, w.w3
+  FROM dens AS d LEFT JOIN fwd AS f ON f.fish = d.fish AND f.treatment = d.treatment AND f.time = d.time - 1
+  JOIN bwd AS w ON w.fish = d.fish AND w.treatment = d.treatment AND w.time = d.time
+), level AS (
+  SELECT fish, treatment, time, (g1 * w1 * {beta_cdf(3, 10)} + g2 * w2 * {beta_cdf(200, 200)} + g3 * w3 * {beta_cdf(10, 3)}) / {OTHERS} AS u FROM cdf
+)""" + quantile_ctes("cr", "level", "u"), "SELECT fish, treatment, time, z AS residual FROM cr", "residual")
+
+
+def effect_rows(i: int) -> str:
+    """The two moves out of state ``i``: their 2 x 2 system, curvature plus 1 / 0.5^2, solved by Cramer's rule."""
+    j, k = [v for v in (1, 2, 3) if v != i]
+    n = f"(c{i}1 + c{i}2 + c{i}3)"
+    a, off = f"({n} * 0.09e0 + 4e0)", f"({n} * -0.01e0)"
+    r = {v: f"(c{i}{v} - 0.1e0 * {n})" for v in (j, k)}
+    det = f"({a} * {a} - {off} * {off})"
+    return " UNION ALL ".join(
+        f"SELECT fish, treatment, 'state{i}' AS \"from\", 'state{v}' AS \"to\", ({a} * {r[v]} - {off} * {r[w]}) / {det} AS effect FROM sums"
+        for v, w in ((j, k), (k, j)))
+
+
+PAIRS = " + ".join(f"x{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+twin("hmm_effect_step", BACKWARD + f""", xi AS (
+  SELECT d.fish, d.treatment, {XI} FROM dens AS d
+  JOIN fwd AS f ON f.fish = d.fish AND f.treatment = d.treatment AND f.time = d.time - 1
+  JOIN bwd AS w ON w.fish = d.fish AND w.treatment = d.treatment AND w.time = d.time
+), found AS (
+  SELECT fish, treatment, {", ".join(f"sum(x{i}{j} / ({PAIRS})) AS c{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))} FROM xi GROUP BY fish, treatment
+), sums AS (
+  SELECT fish, treatment, {", ".join(f"coalesce(c{i}{j}, 0) AS c{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))}
+  FROM (SELECT DISTINCT fish, treatment FROM dens) AS e LEFT JOIN found USING (fish, treatment)
+)""", " UNION ALL ".join(effect_rows(i) for i in (1, 2, 3)), "effect")
 
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoalspark.functions import expr as X
+from shoalspark.models import effects
 from shoalspark.models import hmm as H
 from shoalspark.models.gamma import gamma_glm as fit_gamma
 from shoalspark.models.lmm import compare_models, lmm, lmm_candidates
@@ -445,6 +446,38 @@ def hmm_forecast_residuals(spark, sf_dir):
     return H.pseudo_residuals(seqs, FISH, H.START, strata, "uniform")
 
 
+@query
+def hmm_conditional_residuals(spark, sf_dir):
+    """Pseudo-residuals given all other seconds of a fish, under the starting matrix."""
+    seqs, strata = packed(spark, sf_dir)
+    return H.pseudo_residuals(seqs, FISH, H.START, strata, "uniform", kind="conditional")
+
+
+def effect_fit(spark, sf_dir, **options):
+    """Log odds of the moves by part, plus normal intercepts of the fish, without the direct moves."""
+    return effects.fit_effects(one_hertz(spark, sf_dir), FISH, "n_cuex", ["part"], "part", H.START_NEIGHBOURS, zeros=[(1, 3), (3, 1)],
+                         levels={"part": ["Before", "After"]}, max_iter=300, tol=1e-6, **options)
+
+
+@query
+def hmm_effect_step(spark, sf_dir):
+    """Intercepts of every fish after one penalised Newton step from the starting matrix."""
+    seqs, strata = packed(spark, sf_dir)
+    return effects.one_step(seqs, FISH, H.START, strata, 0.5)
+
+
+@query
+def hmm_effect_deviations(spark, sf_dir):
+    """How far fish scatter in the log odds of each move."""
+    return effect_fit(spark, sf_dir).deviations()
+
+
+@query
+def hmm_effect_transitions(spark, sf_dir):
+    """Matrix of every fish and part under a fit with fish intercepts."""
+    return H.tpm_long(effect_fit(spark, sf_dir).transitions(), [*FISH, "part"])
+
+
 @query
 def hmm_stationary(spark, sf_dir):
     return H.with_stationary(hard_matrices(spark, sf_dir)).drop("p")

@@ -54,9 +54,17 @@ def test_against_enumeration(steps, piece_steps):
     counts = {(r["fish"], r["s"]): np.array(r["c"]).reshape(3, 3)
               for r in H.expected_counts(seqs, ["fish"], TPM, STRATA).collect()}
     resid = {(r["fish"], r["time"]): r["residual"] for r in H.pseudo_residuals(seqs, ["fish"], TPM, STRATA).collect()}
+    around = {(r["fish"], r["time"]): r["residual"]
+              for r in H.pseudo_residuals(seqs, ["fish"], TPM, STRATA, kind="conditional").collect()}
     for k, (xs, ps) in SEQS.items():
-        paths, _ = brute(xs, ps, delta)
+        paths, dens = brute(xs, ps, delta)
         total = sum(paths.values())
+        for t, x in enumerate(xs):  # the law of a state given all other steps
+            law = np.zeros(3)
+            for path, w in paths.items():
+                law[path[t]] += w / dens[t][path[t]]
+            u = sum(law[j] / law.sum() * float(S.betainc(a, b, x)) for j, (a, b) in enumerate(H.SHAPES))
+            assert around[k, t + 1] == pytest.approx(float(S.norm_ppf(np.array([u]))[0]), abs=1e-8)
         assert ll[k] == pytest.approx(math.log(total), abs=1e-10)
         best = max(paths, key=paths.get)
         assert [decoded[k][t + 1] - 1 for t in range(len(xs))] == list(best)
@@ -205,6 +213,8 @@ def test_one_entity_with_half_of_all_steps(spark):
     assert a.keys() == b.keys() and all(a[k]["state"] == b[k]["state"] for k in a)
     a, b = both(lambda q: H.pseudo_residuals(q, ["fish"], TPM, STRATA), ["fish", "time"])
     assert a.keys() == b.keys() and all(a[k]["residual"] == pytest.approx(b[k]["residual"], abs=1e-9) for k in a)
+    a, b = both(lambda q: H.pseudo_residuals(q, ["fish"], TPM, STRATA, kind="conditional"), ["fish", "time"])
+    assert a.keys() == b.keys() and all(a[k]["residual"] == pytest.approx(b[k]["residual"], abs=1e-8) for k in a)
 
 
 def crossed_steps(spark, sharp: bool = False):
