@@ -2,7 +2,7 @@
 
 The log odds of a move against staying are a formula's value in the row's covariate cell plus an intercept of the entity,
 normal around zero with a standard deviation per move. An entity's intercepts are found where its series lies, so a
-round returns only sums over entities: a step for the coefficients and second moments of the intercepts.
+round returns only sums over entities: scores and curvatures of the coefficients and of the variances.
 """
 
 from __future__ import annotations
@@ -128,8 +128,8 @@ def _spread(law: Law, slopes):
 
 
 def _terms(law: Law, modes, counts, starts, ll, slopes):
-    """An entity's share of all sums: score and curvature of the coefficients with its intercepts eliminated, second
-    moments of the intercepts, Laplace's log-likelihood; also the standard errors of its intercepts."""
+    """An entity's share of all sums: score and curvature of the coefficients with its intercepts eliminated, twice
+    the score and the information of the logarithms of the variances, Laplace's log-likelihood; also the standard errors of its intercepts."""
     x, m, q = law.design.x, len(law.design.moves), len(law.design.names)
     n = len(modes)
     mats = law.stack(modes)
@@ -143,7 +143,8 @@ def _terms(law: Law, modes, counts, starts, ll, slopes):
     spread, logdet = _spread(law, slopes)
     variance = np.diagonal(spread, axis1=1, axis2=2)
     laplace = ll - 0.5 * (modes ** 2 * law.precision).sum(axis=1) + 0.5 * np.log(law.precision).sum() - 0.5 * logdet
-    stats = np.concatenate([score, curve.reshape(n, -1), modes ** 2 + variance, laplace[:, None], np.ones((n, 1))], axis=1)
+    stats = np.concatenate([score, curve.reshape(n, -1), (modes ** 2 + variance) * law.precision - 1, (1 - variance * law.precision) ** 2,
+                            laplace[:, None], np.ones((n, 1))], axis=1)
     return stats, np.sqrt(variance)
 
 
@@ -332,7 +333,7 @@ def keyed(seqs: DataFrame, entity: Sequence[str]) -> DataFrame:
 
 
 def _evaluate(seqs: DataFrame, cut: bool, law: Law, table: DataFrame | None, most: int, tol: float) -> tuple[np.ndarray, DataFrame | None]:
-    size = law.design.size + law.design.size ** 2 + len(law.design.moves) + 3
+    size = law.design.size + law.design.size ** 2 + 2 * len(law.design.moves) + 2 + 1
     if not cut:
         return _sums(_whole(seqs, law, most, tol, "sums"), size), None
     told = _pieced(seqs.where("cut"), table, law)
@@ -346,8 +347,9 @@ def fit_effects(df: DataFrame, entity: Sequence[str], value: str, strata_cols: S
     """Log odds of the moves as a formula plus normal entity intercepts, emissions fixed.
 
     A round finds every entity's intercepts at the present coefficients (penalised likelihood, Newton steps on expected counts),
-    then moves the coefficients by a Newton step with the intercepts eliminated, and sets each variance to the mean of squared intercept
-    plus its variance given the series (from the observed information). Entities in several pieces keep their intercepts in a table and
+    then moves the coefficients by a Newton step with the intercepts eliminated, and the variances by a scoring step towards the mean of squared
+    intercept plus its variance given the series (from the observed information); the latter is bounded, and by half as much after a round that lost
+    likelihood. Entities in several pieces keep their intercepts in a table and
     take one step a round. Rounds end when Laplace's log-likelihood, logged in ``trace``, changes by less than ``tol`` relatively;
     not getting there in ``max_iter`` rounds, or an entity still moving by over ``inner_tol`` after ``inner`` steps, is an error unless
     ``strict`` is off. The coefficients maximise the penalised likelihood jointly with the intercepts, which is close to Laplace's own
@@ -367,11 +369,11 @@ def fit_effects(df: DataFrame, entity: Sequence[str], value: str, strata_cols: S
         raise ValueError("no move is possible, so there is nothing to fit")
     law = Law(design, L.coefficients_of(design, mats), np.full(m, float(sd)), initial, tuple(shapes))
     table = seqs.where("cut and piece = first_piece").select(F.col("__key").alias("key"), F.array(*[F.lit(0.0)] * m).alias("b")) if cut else None
-    trace, converged, reached = [], False, law
+    trace, converged, reached, limit = [], False, law, 1.0
     while not converged and len(trace) < max_iter:
         total, told = _evaluate(seqs, cut, law, table, inner, inner_tol)
         score, curve = total[:m * q], total[m * q:m * q + (m * q) ** 2].reshape(m * q, m * q)
-        moments, (value_now, n, stuck) = total[-3 - m:-3], total[-3:]
+        (pull, weight), (value_now, _, stuck) = total[-3 - 2 * m:-3].reshape(2, m), total[-3:]
         if strict and stuck:
             raise RuntimeError(f"intercepts of {int(stuck)} entities still move after {inner} steps; raise inner or inner_tol")
         reached, trace = law, [*trace, float(value_now)]
@@ -383,8 +385,11 @@ def fit_effects(df: DataFrame, entity: Sequence[str], value: str, strata_cols: S
         move = np.linalg.solve(curve, score).reshape(m, q)
         furthest = np.abs(design.x @ move.T).max()
         move *= min(1.0, 1.0 / furthest) if furthest > 0 else 1.0
-        if not converged and n:
-            law = Law(design, law.beta + move, np.sqrt(np.maximum(moments / n, 1e-8)), initial, tuple(shapes))
+        if len(trace) > 1 and trace[-1] < trace[-2]:
+            limit /= 2
+        if not converged:
+            wider = np.clip(pull / np.maximum(weight, 1e-12), -limit, limit)
+            law = Law(design, law.beta + move, np.sqrt(np.maximum(law.sd ** 2 * np.exp(wider), 1e-8)), initial, tuple(shapes))
     if strict and not converged:
         raise RuntimeError(f"no convergence in {max_iter} rounds; raise max_iter or tol, or pass strict=False")
     found = _whole(seqs, reached, inner, inner_tol, "modes")
