@@ -24,7 +24,7 @@ from shoalspark.functions.expr import beta_log_density, second_bucket, shape_to_
 from shoalspark.models import logits as L
 from shoalspark.operators.reshape import flag_pairs, matrix_long, params_wide, tidy_param_names
 from shoalspark.operators.summary import median_qi, poisson_weights
-from shoalspark.staging import shuffle_partitions, stage
+from shoalspark.staging import shuffle_partitions, small_side, stage
 
 # fixed values: state shapes, names and starting transitions of the behaviour model
 SHAPES = ((3.0, 10.0), (200.0, 200.0), (10.0, 3.0))
@@ -33,6 +33,7 @@ START = ((0.8, 0.1, 0.1), (0.1, 0.8, 0.1), (0.1, 0.1, 0.8))
 START_NEIGHBOURS = ((0.8, 0.2, 0.0), (0.1, 0.8, 0.1), (0.0, 0.2, 0.8))
 
 BLOCK = 512
+STRETCH = 4096
 EPS = 1e-9
 
 
@@ -43,7 +44,9 @@ def series(df: DataFrame, entity: Sequence[str], values: Mapping[str, str], by:
            secs: str = "secs", width: float = 1.0, na_rm: bool = True) -> DataFrame:
     """One row per (entity, bucket): mean of each value, incomplete rows dropped, ``time`` = 1..n.
 
-    With ``na_rm=False`` one missing frame makes its whole bucket missing. Dropped buckets close up.
+    With ``na_rm=False`` one missing frame makes its whole bucket missing. Dropped buckets close up. Buckets are numbered inside
+    stretches of ``STRETCH`` and the stretches' counts summed up, so no task holds an entity; buckets shared by several
+    ``by`` follow their order.
     """
     def mean(c: str) -> Column:
         avg = F.avg(c)
@@ -51,10 +54,14 @@ def series(df: DataFrame, entity: Sequence[str], values: Mapping[str, str], by:
 
     means = df.groupBy(*entity, *by, second_bucket(secs, width).alias("secs")) \
         .agg(*[mean(c).alias(name) for name, c in values.items()]).dropna("any")
-    # one exchange by entity serves the numbering, the packing and the compute-bound recursions
-    means = means.repartition(shuffle_partitions(df.sparkSession), *entity)
-    order = Window.partitionBy(*entity).orderBy("secs")
-    return means.withColumn("time", F.row_number().over(order))
+    row = F.struct("secs", *by, *values)
+    packed = stage(means.groupBy(*entity, F.floor(F.col("secs") / STRETCH).cast("bigint").alias("__stretch"))
+                   .agg(F.array_sort(F.collect_list(row)).alias("__rows")).withColumn("__n", F.size("__rows")))
+    earlier = Window.partitionBy(*entity).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    first = small_side(packed.select(*entity, "__stretch", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")))
+    rows = packed.join(first, [*entity, "__stretch"]).select(*entity, "__before", F.posexplode("__rows").alias("__at", "__row"))
+    return rows.select(*entity, *[F.col(f"__row.{c}").alias(c) for c in (*by, "secs", *values)],
+                       (F.col("__before") + F.col("__at") + 1).cast("int").alias("time"))
 
 
 def emission(df: DataFrame, value: str, shapes: Sequence[tuple[float, float]] = SHAPES) -> DataFrame:

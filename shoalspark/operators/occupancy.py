@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalspark.operators.enrich import ENTITY, PARTS, TRIAL_SECONDS
+from shoalspark.staging import small_side, stage
 
 
 def time_in_zone(df: DataFrame, keys: Sequence[str], zone: str, entity: Sequence[str] = ENTITY,
@@ -35,44 +36,54 @@ def time_in_zone(df: DataFrame, keys: Sequence[str], zone: str, entity: Sequence
 
 
 def zero_fill(df: DataFrame, entity: Sequence[str], levels: Mapping[str, Sequence | None],
-              measure: str = "sum", fill: float = 0.0, carry: Sequence[str] = ()) -> DataFrame:
+              measure: str = "sum", fill: float = 0.0, carry: Sequence[str] = (), block: int = 2048) -> DataFrame:
     """Every combination of an observed ``entity`` and the ``levels``; missing measures become ``fill``.
 
     ``entity`` lists columns whose observed combinations form one axis. A level list of None means
     the values observed anywhere in ``df`` (null included); a value outside a declared list is an
-    error. Each entity's cells, at most as many as there are level combinations, are packed in a
-    map by cell number and looked up while the levels are exploded: one shuffle of the aggregated
-    table, no join. ``carry`` columns are kept where the cell exists and null elsewhere.
+    error. Observed levels lie in blocks of about ``block`` by a hash of their text. An entity's cells are packed in one map per
+    combination of blocks and looked up while the blocks' levels are exploded, so neither an axis nor an entity's cells
+    are ever in one row. ``carry`` columns are kept where the cell exists and null elsewhere.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    missing = "\u0000"
-    axes, labels = {}, {}
-    for name, values in levels.items():
-        if values is None:
-            # structs keep a null level in the set
-            level = F.struct(F.col(name).alias("v"), F.coalesce(F.col(name).cast("string"), F.lit(missing)).alias("l"))
-            seen = df.select(F.array_sort(F.collect_set(level)).alias("s")) \
-                .select(F.struct(F.col("s.v").alias("v"), F.col("s.l").alias("l"))).scalar()
-            axes[name], labels[name] = seen["v"], seen["l"]
+    label = {name: F.coalesce(F.col(name).cast("string"), F.lit("\u0000")) for name in levels}
+    observed = [name for name, values in levels.items() if values is None]
+    if observed:
+        df = stage(df.select(*dict.fromkeys([*entity, *levels, measure, *carry])))
+    tables, blocks, part = {}, {}, {}
+    for name in observed:
+        seen = stage(df.select(F.col(name).alias("v"), label[name].alias("l")).distinct())
+        blocks[name] = max(1, -(-seen.count() // block))
+        part[name] = lambda text, name=name: F.pmod(F.xxhash64(text), F.lit(blocks[name])).cast("int")
+        tables[name] = small_side(seen.groupBy(part[name](F.col("l")).alias(f"__in_{name}"))
+                                  .agg(F.sort_array(F.collect_list(F.struct("l", "v"))).alias(f"__levels_{name}")), 64)
+
+    def declared(name: str) -> Column:
+        known = F.array(*[F.coalesce(F.lit(v).cast(types[name]).cast("string"), F.lit("\u0000")) for v in levels[name]])
+        wrong = F.raise_error(F.concat(F.lit(f"undeclared level of {name}: "), label[name])).cast("string")
+        return F.when(F.array_contains(known, label[name]), label[name]).otherwise(wrong)
+
+    inside = [f"__in_{name}" for name in observed]
+    place = F.concat_ws("\u0001", *[label[name] if name in part else declared(name) for name in levels]) if levels else F.lit("")
+    cells = df.select(*entity, *[part[name](label[name]).alias(f"__in_{name}") for name in observed],
+                      F.struct(place.alias("k"), F.struct(measure, *carry).alias("v")).alias("__cell"))
+    if any(n > 1 for n in blocks.values()):
+        # an entity meets every block, also those without a cell of its own
+        bare = df.select(*entity).distinct()
+        for name in observed:
+            bare = bare.withColumn(f"__in_{name}", F.explode(F.sequence(F.lit(0), F.lit(blocks[name] - 1))))
+        cells = cells.unionByName(bare.withColumn("__cell", F.lit(None).cast(cells.schema["__cell"].dataType)))
+    grid = cells.groupBy(*entity, *inside).agg(F.map_from_entries(F.collect_list("__cell")).alias("__cells"))
+    for name in levels:
+        if name in part:
+            grid = grid.join(tables[name], f"__in_{name}").withColumn("__level", F.explode(f"__levels_{name}")).drop(f"__levels_{name}") \
+                .withColumns({name: F.col("__level.v"), f"__label_{name}": F.col("__level.l")}).drop("__level")
         else:
-            axes[name] = F.array(*[F.lit(v).cast(types[name]) for v in values])
-            labels[name] = F.array(*[F.coalesce(F.lit(v).cast(types[name]).cast("string"), F.lit(missing)) for v in values])
-
-    number = F.lit(0)
-    for name in axes:
-        label = F.coalesce(F.col(name).cast("string"), F.lit(missing))
-        at = F.array_position(labels[name], label)
-        known = F.when(at > 0, at - 1).otherwise(F.raise_error(
-            F.concat(F.lit(f"undeclared level of {name}: "), label)).cast("bigint"))
-        number = number * F.size(axes[name]) + known
-    packed = df.select(*entity, number.cast("int").alias("__k"), F.struct(measure, *carry).alias("__v")) \
-        .groupBy(*entity).agg(F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__cells"))
-    grid, number = packed, F.lit(0)
-    for name, axis in axes.items():
-        grid = grid.select("*", F.posexplode(axis).alias(f"__at_{name}", name))
-        number = number * F.size(axis) + F.col(f"__at_{name}")
-    grid = grid.withColumn("__hit", F.try_element_at("__cells", number))
-    return grid.select(*entity, *axes, F.coalesce(F.col(f"__hit.{measure}"), F.lit(fill)).alias(measure),
+            grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v).cast(types[name]) for v in levels[name]]))) \
+                .withColumn(f"__label_{name}", label[name])
+    place = F.concat_ws("\u0001", *[f"__label_{name}" for name in levels]) if levels else F.lit("")
+    grid = grid.withColumn("__hit", F.try_element_at("__cells", place))
+    return grid.select(*entity, *levels, F.coalesce(F.col(f"__hit.{measure}"), F.lit(fill)).alias(measure),
                        *[F.col(f"__hit.{c}").alias(c) for c in carry])
 
 

@@ -152,6 +152,22 @@ def test_stationary_column_and_series(spark):
     assert [(r["secs"], r["time"]) for r in strict] == [(3, 1)]
 
 
+def test_series_numbers_run_through_stretches(spark, monkeypatch):
+    """An entity over many stretches, with gaps, empty stretches and a second shared by two parts."""
+    monkeypatch.setattr(H, "STRETCH", 7)
+    kept = [s for s in range(200) if s % 5 and not 60 <= s < 90]
+    rows = [(f, "After" if s > 100 else "Before", s + 0.5, s / 200) for f in ("a", "b") for s in kept if f == "a" or s > 150]
+    rows.append(("a", "Before", 101.7, 0.9))
+    df = spark.createDataFrame(rows, "fish string, part string, secs double, x double").repartition(5)
+    got = sorted(H.series(df, ["fish"], {"v": "x"}).collect(), key=lambda r: (r["fish"], r["time"]))
+    want = [("a", s + 1, p, 0.9 if (s, p) == (101, "Before") else s / 200) for s in kept
+            for p in (["After", "Before"] if s == 101 else ["After" if s > 100 else "Before"])]
+    want += [("b", s + 1, "After", s / 200) for s in kept if s > 150]
+    assert [(r["fish"], r["secs"], r["part"], r["v"]) for r in got] == want
+    assert [r["time"] for r in got] == [*range(1, len(kept) + 2), *range(1, len(want) - len(kept))]
+    assert H.series(df, ["fish"], {"v": "x"}).columns == ["fish", "part", "secs", "v", "time"]
+
+
 def test_state_parameters(spark):
     rows = [(f"n_cuex.{s}.state{i}.(Intercept)", math.log(v))
             for i, (a, b) in enumerate(H.SHAPES, 1) for s, v in (("shape1", a), ("shape2", b))]

@@ -92,6 +92,22 @@ def test_zero_fill(sparse):
         {("1", 1): "t", ("1", 2): "t", ("2", 1): "t", ("2", 2): None}
 
 
+def test_zero_fill_over_large_observed_axes(spark):
+    """Two axes in several blocks each, one declared: every combination once, all measures in place, no axis in one row."""
+    df = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "a").alias("fish"),  # a null entity is one of its own
+                                  F.when(F.col("id") != 7, F.col("id") % 500).alias("minute"),
+                                  F.concat(F.lit("z"), F.floor(F.col("id") / 300).cast("string")).alias("zone"),
+                                  F.when(F.col("id") % 3 == 0, "on").otherwise("off").alias("light"), (F.col("id") + 1.0).alias("sum"))
+    filled = O.zero_fill(df, ["fish"], {"minute": None, "light": ["on", "off"], "zone": None}, block=4)
+    assert "collect_set" not in filled._jdf.queryExecution().toString()
+    rows = filled.collect()
+    combos = {(r["fish"], r["minute"], r["light"], r["zone"]): r["sum"] for r in rows}
+    assert len(rows) == len(combos) == 2 * 501 * 2 * 10
+    want = {(r["fish"], r["minute"], r["light"], r["zone"]): r["sum"] for r in df.collect()}
+    assert {k: v for k, v in combos.items() if v} == want
+    assert O.zero_fill(df.limit(0), ["fish"], {"minute": None, "zone": None}).count() == 0
+
+
 def test_zero_fill_refuses_undeclared_levels(sparse):
     with pytest.raises(Exception, match="undeclared level of minute"):
         O.zero_fill(sparse, ["fish"], {"minute": [1], "zone": None}).collect()
