@@ -20,6 +20,24 @@ OLS = CUE_MINUTE + """, two AS (
 )"""
 twin("ols_part", OLS, f"SELECT *, {t_tail('t', 'df')} AS p FROM (SELECT *, estimate / se AS t FROM coefs) AS c",
      "estimate se t p")
+
+
+def by_day(y: str) -> str:
+    return f"""work AS (SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, {y} AS y FROM lineitem WHERE l_shipdate IS NOT NULL AND {y} IS NOT NULL
+), days AS (SELECT day, avg(y) AS m, count(*) AS n, sum(y) AS total FROM work GROUP BY day
+), spread AS (SELECT sum((y - m) * (y - m)) AS rss, count(*) - count(DISTINCT day) AS df, count(DISTINCT day) - 1 AS k FROM work JOIN days USING (day)
+), base AS (SELECT m AS m0, n AS n0 FROM days ORDER BY day LIMIT 1)"""
+
+
+twin("ols_day_levels", by_day("l_quantity"),
+     """SELECT CASE WHEN day = (SELECT min(day) FROM days) THEN '(Intercept)' ELSE 'day' || day END AS term,
+       CASE WHEN day = (SELECT min(day) FROM days) THEN m0 ELSE m - m0 END AS estimate,
+       sqrt(rss / df * (1e0 / n0 + CASE WHEN day = (SELECT min(day) FROM days) THEN 0 ELSE 1e0 / n END)) AS se, CAST(df AS INTEGER) AS df
+     FROM days, spread, base""", "estimate se")
+twin("ols_day_anova", by_day("l_discount") + """, between AS (
+  SELECT sum(n * (m - g) * (m - g)) AS ss FROM days, (SELECT avg(y) AS g FROM work) AS w
+)""", """SELECT 'day' AS term, CAST(k AS INTEGER) AS df, ss AS sum_sq, ss / k / (rss / df) AS f FROM between, spread
+     UNION ALL SELECT 'Residuals', CAST(df AS INTEGER), rss, NULL FROM spread""", "sum_sq f")
 twin("ols_part_anova", OLS,
      f"""SELECT 'part' AS term, CAST(1 AS INTEGER) AS df, tss - rss AS sum_sq, f, {t_tail('sqrt(f)', '(n - 2)')} AS p FROM fit
      UNION ALL SELECT 'Residuals', CAST(n - 2 AS INTEGER), rss, NULL, NULL FROM fit""", "sum_sq f p")

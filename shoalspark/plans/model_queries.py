@@ -12,6 +12,7 @@ from shoalspark.models import hmm as H
 from shoalspark.models.gamma import gamma_glm as fit_gamma
 from shoalspark.models.lmm import compare_models, lmm, lmm_candidates
 from shoalspark.models.ols import ols
+from shoalspark.models.sparse import sparse_ols
 from shoalspark.operators import enrich as E
 from shoalspark.operators import reshape as RS
 from shoalspark.operators import summary as SM
@@ -86,6 +87,22 @@ def ols_part(spark, sf_dir):
     return ols(cue_minute(spark, sf_dir), "sum ~ part", levels=LEVELS).coef()
 
 
+def by_day(spark, sf_dir, formula):
+    """A factor of some 2500 levels, as many at any scale."""
+    return sparse_ols(load(spark, sf_dir, "lineitem").withColumn("day", F.date_format("l_shipdate", "yyyy-MM-dd")), formula)
+
+
+@query
+def ols_day_levels(spark, sf_dir):
+    """Every day's mean quantity against the first day's, with standard errors."""
+    return by_day(spark, sf_dir, "l_quantity ~ day").coef().select("term", "estimate", "se", "df")
+
+
+@query
+def ols_day_anova(spark, sf_dir):
+    return by_day(spark, sf_dir, "l_discount ~ day").anova().select("term", "df", "sum_sq", "f")
+
+
 @query
 def ols_part_anova(spark, sf_dir):
     return ols(cue_minute(spark, sf_dir), "sum ~ part", levels=LEVELS).anova()
