@@ -82,9 +82,9 @@ def text_hash(text_col: str) -> Column:
 
 
 def slots(rows: DataFrame, *key: str) -> DataFrame:
-    """(key, position, kind, value) of every placeholder of the texts in ``rows`` (key, text)."""
-    placed = rows.select(*key, F.posexplode(tokens(F.col("text"))).alias("position", "token")) \
-        .select(*key, "position", template_word(F.col("token")).alias("kind"), "token").where(F.col("kind").isin(PLACEHOLDERS))
+    """(key, position, kind, value) of every placeholder of the texts in ``rows`` (key, text); other words make no rows."""
+    listed = F.transform(tokens(F.col("text")), lambda t, i: F.struct(i.alias("position"), template_word(t).alias("kind"), t.alias("token")))
+    placed = rows.select(*key, F.inline(F.filter(listed, lambda s: s["kind"].isin(PLACEHOLDERS))))
     return placed.select(*key, "position", "kind", slot_value(F.col("token")).alias("value"))
 
 
@@ -153,11 +153,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     likely = stage(covered(runs).select("doc", "th", "item"))
     aligned = runs.join(likely, ["doc", "th", "item"]).select("doc", "th", "item", "shift", "size", "at", F.array_min("at").alias("low"),
                                                              (F.array_max("at") + width - 1).alias("high"))
-    texts = rows.join(likely.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
+    here = slots(items.where("text is not null"), "item").select("item", F.col("position").alias("q"), "kind", F.col("value").alias("from"))
+    asked = stage(aligned.join(here, "item").where("q between low and high")
+                  .select("doc", "th", "item", "shift", "kind", "from", (F.col("q") + F.col("shift")).alias("p")))
+    # texts that hold only items without slots are not tokenised again
+    texts = rows.join(asked.select("doc", "th").distinct(), ["doc", "th"], "left_semi")
     there = slots(texts.where("text is not null"), "doc", "th") \
         .select("doc", "th", F.col("position").alias("p"), "kind", F.col("value").alias("to"))
-    here = slots(items.where("text is not null"), "item").select("item", F.col("position").alias("q"), "kind", F.col("value").alias("from"))
-    asked = aligned.join(here, "item").where("q between low and high").withColumn("p", F.col("q") + F.col("shift"))
     pairs = asked.join(there, ["doc", "th", "p", "kind"]).select("doc", "th", "item", "shift", "kind", "from", "to").distinct()
     filled = pairs.groupBy("doc", "th", "item", "shift", "kind", "from") \
         .agg(F.count("*").alias("values"), F.max(F.col("from") != F.col("to")).alias("other"))

@@ -120,3 +120,30 @@ def test_long_texts(spark):
     text = "pens 3 " * 60_000 + "which of the 4 boxes holds 3 pens today " + "Bob " * 60_000
     bench = spark.createDataFrame([(1, "which of the 7 boxes holds 5 pens today")], "item_id bigint, text string")
     assert [(r.doc_id, r.kind) for r in templates.leaks(frame(spark, [(5, text, None, None, 1)]), bench).collect()] == [(5, "reparameterised")]
+
+
+def test_slots_make_rows_of_placeholders_only(spark):
+    text = "On the 4th Anna ran 12 km, 3.5 of them with Bob"
+    df = templates.slots(spark.createDataFrame([(1, text), (2, "no slot in here")], "item bigint, text string"), "item")
+    want = {(1, i, w, v) for i, (w, v) in enumerate(plain_tokens(text)) if w.startswith("<")}
+    assert {tuple(r) for r in df.collect()} == want
+    made, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        made += [node.metrics().apply("numOutputRows").value()] if node.nodeName() == "Generate" else []
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert made == [len(want)]
+
+
+def test_texts_without_slots_to_compare_are_not_tokenised_again(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "the quick fox leaps over every lazy dog"), (2, "add 3 kg of salt to 3 l of water")], "item_id bigint, text string")
+    docs = [(i, "see the quick fox leaps over every lazy dog at 5 pm", "en", "s", 1) for i in range(5)] + [(9, "add 5 g of salt to 5 ml of water", "en", "s", 1)]
+    given, plain = {}, templates.slots
+
+    def noted(rows, *key):
+        given[key] = given.get(key, 0) + rows.count()
+        return plain(rows, *key)
+    monkeypatch.setattr(templates, "slots", noted)
+    found = {(r.doc_id, r.item_id, r.kind) for r in templates.leaks(frame(spark, docs), bench).collect()}
+    assert found == {(i, 1, "verbatim") for i in range(5)} | {(9, 2, "reparameterised")}
+    assert given == {("item",): 2, ("doc", "th"): 1}
