@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from messy import CLASH, corpus, edge_cases, frame, words
 from pyspark.sql import functions as F
 
+from shoalspark import staging
 from shoalspark.llm import collocations, conversations, language, licences
 from shoalspark.llm.scan import slices
 from shoalspark.shipping import ship_package
@@ -150,6 +156,65 @@ def test_trie_holds_its_paths_only(seed):
     assert (held == paths).all() and (trie.phrase[state[state >= 0]] == np.arange(len(paths))).all()
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_words_are_found_whatever_their_hashes(monkeypatch, same):
+    rng = random.Random(31)
+    every = sorted({bytes(rng.choices(b"abcxyz\xc3\xa9", k=rng.randrange(1, 9))) for _ in range(3000)} | {b"q" * 70000})
+    if same:
+        monkeypatch.setattr(collocations, "hashes", lambda words, made=collocations.hashes: made(words) % np.uint64(7))
+    held = collocations.Vocabulary(pa.array(every[::2], pa.binary()))
+    asked = [b"", *rng.sample(every, 400), b"", every[-1]]
+    got = held.find(pa.array([b"left out", *asked], pa.binary()).slice(1))
+    kept = held.words.to_pylist()
+    assert [kept[i] if i >= 0 else None for i in got] == [w if w in set(every[::2]) else None for w in asked]
+    none = collocations.Vocabulary(pa.array([], pa.binary()))
+    assert len(none) == 0 and none.find(pa.array([b"a", b""], pa.binary())).tolist() == [-1, -1]
+
+
+def test_memory_of_a_pass_over_many_candidates():
+    n, vocabulary = 200_000, 20_000
+    pairs = np.unique(np.random.default_rng(32).integers(0, vocabulary, (n, 2)), axis=0)
+    n = len(pairs)
+    phrases = [f"w{a} w{b}".encode() for a, b in pairs]
+    part = pa.table({"number": np.arange(n) * 3, "lang": ["en"] * n, "phrase": pa.array(phrases, pa.binary())})
+
+    def texts(of):
+        return collocations.encoded([pa.RecordBatch.from_pydict({"lang": ["en"], "text": pa.array([b". ".join(of)])})])
+
+    tracemalloc.start()
+    try:
+        held = collocations.Candidates(part.to_batches(10_000), 2)
+        assert tracemalloc.get_traced_memory()[1] < 160 * n
+        shared = SimpleNamespace(value=held)
+        before = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        few = [b for b in collocations.passed(shared, True, False, True, 10)(texts(phrases[:1000]))]
+        assert tracemalloc.get_traced_memory()[1] - before < 20 * n
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in few) == 1000
+    counts, most = Counter(), 0
+    for batch in collocations.passed(shared, True, True, True, 10)(texts(phrases + phrases[::5])):
+        most = max(most, batch.num_rows)
+        counts.update(dict(zip(batch.column("number").to_pylist(), batch.column("n").to_pylist())))
+    del counts[None]  # surveyed phrases
+    assert counts == {3 * i: 1 + (i % 5 == 0) for i in range(n)} and most <= 1 << 16
+
+
+def test_staged_texts_lie_in_small_blocks(spark):
+    rng = random.Random(33)
+    docs = spark.createDataFrame([(rng.randbytes(1 << 20).hex(), "en") for _ in range(12)], "text string, lang string").coalesce(1)
+    made = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(collocations, "stage", lambda df, made=made, **options: made.append(staging.stage(df, **options)) or made[-1])
+        assert collocations.phrase_counts(docs, longest=1)[0].collect()[0].n == 12
+    blocks = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in made[0].inputFiles()]
+    assert sum(b.num_rows for b in blocks) == 12 == made[0].count()
+    assert max(b.row_group(i).total_byte_size for b in blocks for i in range(b.num_row_groups)) < 16 << 20
+    with collocations.few_rows(spark):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1"
+
+
 # --- conversations
 
 
